@@ -1,5 +1,5 @@
 """Queries over the test tables, one module a family, each with QUERIES and SQL."""
 
-from quire.queries import trees
+from quire.queries import artifacts_drift, trees, workbooks
 
-CORE = [trees]
+CORE = [trees, artifacts_drift, workbooks]
