@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing, splitting
+from quire.llm import language, leakage, packing, residue, splitting
 from quire.session import read
 
 
@@ -45,7 +45,47 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("pack_id").agg(F.count("*").alias("containers"), F.ceil(F.sum("t") / F.first("capacity")).alias("at_least"), F.round(F.sum("t") / F.sum("capacity"), 4).alias("fill"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def _model(spark: SparkSession, sf_dir: str) -> language.Model:
+    return language.train(read(spark, sf_dir, "documents"), id="doc_id", text="text", label="lang")
+
+
+_VIEWS = {"id": "source_object_id", "text": "main_text"}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.issues(read(spark, sf_dir, "document_views"), _model(spark, sf_dir), **_VIEWS, label="language").withColumnRenamed("id", "object_id")
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(read(spark, sf_dir, "document_views"), _model(spark, sf_dir), **_VIEWS).withColumnRenamed("id", "object_id")
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(read(spark, sf_dir, "document_views"), _model(spark, sf_dir), **_VIEWS).withColumnRenamed("id", "object_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"), id="doc_id", text="text", item_id="item_id", passage="passage")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold each leaked item."""
+    items = read(spark, sf_dir, "eval_items").select("item_id", "suite")
+    return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("texts")).join(items, "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residues(read(spark, sf_dir, "documents"), id="doc_id", text="text")
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.clean(read(spark, sf_dir, "documents"), id="doc_id", text="text").select("doc_id", "source", "n_chars")
+
+
+QUERIES = {
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_clean": p10_clean,
+}
 
 SQL = {
     "p6_found": r"""
