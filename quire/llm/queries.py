@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, leakage, packing, residue, splitting
+from quire.llm import language, leakage, packing, residue, similar, splitting
 from quire.session import read
 
 
@@ -82,9 +82,17 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.clean(read(spark, sf_dir, "documents"), id="doc_id", text="text").select("doc_id", "source", "n_chars")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.unit_vectors(read(spark, sf_dir, "vector_records"), id="record_id", vector="embedding", model="embedding_model", dimension="embedding_dimension", usable=F.col("embedding_status") == "embedded")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_pairs(_records(spark, sf_dir), k=10, least=0.90).select("record_id_a", "record_id_b")
+
+
 QUERIES = {
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill,
-    "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p3_found": p3_found, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_clean": p10_clean,
 }
 
 SQL = {
