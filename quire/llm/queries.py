@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, leakage, packing, residue, similar, splitting
+from quire.llm import language, leakage, packing, residue, scannoise, similar, splitting
 from quire.session import read
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = scannoise.texts_of(read(spark, sf_dir, "parsed_docs"), "object_id", "text", "parsed_text")
+    return parsed.unionByName(scannoise.texts_of(read(spark, sf_dir, "document_views"), "source_object_id", "main_text", "view_main_text"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scannoise.defects(_scanned(spark, sf_dir))
+    return d.select(F.col("id").alias("object_id"), F.col("field").alias("in_field"), "defect")
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = scannoise.repaired(_scanned(spark, sf_dir))
+    return r.select(F.col("id").alias("object_id"), F.col("field").alias("in_field"), "text")
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(
         read(spark, sf_dir, "chunks"), read(spark, sf_dir, "chunk_configs"), id="chunk_id", text="text", key="config_hash",
@@ -91,6 +106,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_repaired": p1_repaired,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p3_found": p3_found, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_clean": p10_clean,
 }
