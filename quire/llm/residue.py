@@ -51,6 +51,11 @@ HTTP/1.1 #
 Error # unauthorized
 Error # too many requests
 Error # forbidden
+Error # gone
+Error # request timeout
+Error # method not allowed
+Error # not implemented
+Error # conflict
 Error # not found
 Error # service unavailable
 Error # bad gateway
@@ -107,6 +112,21 @@ at page.View.render View.java #
 Traceback most recent call last
 File render.py line # in build
 Segmentation fault core dumped
+upstream connect error or disconnect before headers, reset reason #
+Connection refused
+Connection timed out
+This page isn't working
+This site can't be reached
+Temporarily unavailable
+# Gone
+HTTP/1.1 # Gone
+Gone #
+Forbidden #
+Not Found #
+Bad Gateway #
+Service Unavailable #
+Too Many Requests #
+Gateway Time-out #
 Zugriff verweigert
 Bitte melden Sie sich erneut an
 Die angeforderte Seite wurde nicht gefunden Fehler #
@@ -115,6 +135,10 @@ Interner Fehler
 Interner Serverfehler
 Der Dienst ist vorübergehend nicht verfügbar
 Ihre Sitzung ist abgelaufen
+Vorgang # wurde abgebrochen
+Es ist ein Fehler aufgetreten
+Bitte versuchen Sie es später erneut
+Der Server antwortet nicht
 Erreur # le serveur ne répond pas
 Service momentanément indisponible
 Réessayez dans quelques instants
@@ -122,16 +146,26 @@ Cette page n'existe plus ou a été déplacée
 Accès refusé
 Votre session a expiré
 Page introuvable
+Une erreur est survenue
+Veuillez réessayer plus tard
+Veuillez vous reconnecter
 Acceso denegado
 Inicie sesión de nuevo
 No se ha podido encontrar la página solicitada
 Se ha producido un error interno
 Servicio no disponible temporalmente
+El servidor no responde
+Inténtelo de nuevo más tarde
+Página no encontrada
+Su sesión ha caducado
 Acesso negado
 Acesso recusado
 Inicie sessão novamente
 A página pedida não foi encontrada
 Página não encontrada
+Página não encontrada #
+Ocorreu um erro ao abrir a página
+Volte a tentar mais tarde
 Ocorreu um erro interno
 Serviço temporariamente indisponível
 O servidor não responde
@@ -148,6 +182,17 @@ You need to enable JavaScript if you want to see the content
 Please enable JavaScript if you want to see the content
 Scripting is off
 Turn on JavaScript and reload the page
+Please enable JavaScript to run this app
+JavaScript must be allowed
+JavaScript must be allowed to read the text
+JavaScript must be allowed and try again
+JavaScript must be allowed before opening the archive
+JavaScript must be allowed if you want to see the content
+Allow cookies and scripts if you want to see the content
+Allow cookies and scripts
+Allow cookies and scripts and try again
+This page needs JavaScript
+Scripts are disabled
 Turn on JavaScript and reload the page to read the text
 JavaScript is disabled in your browser
 JavaScript is required to view this page
@@ -182,6 +227,10 @@ VOCABULARIES = [  # dummy words, in any order
     "asdf qwer jkl zxcv qwerty asdfgh",
     "text follows",
     "blah bla blindtext",
+    "dummy sample placeholder text",
+    "test testing",
+    "content goes here",
+    "aaa bbb ccc",
     "texto texto aqui ejemplo exemplo",
 ]
 
@@ -222,10 +271,16 @@ class Exemplars:
         self.weight["#"] = 0.1
         self.other = sum(self.weight.values()) / max(1, len(self.weight))
         self.total = [sum(self.weight[t] for t in p) for _, p in self.phrases]
+        # a window that holds CONTAINMENT of a phrase holds one of its heaviest tokens, as long as these weigh more than the rest may miss
         self.index: dict[str, list[int]] = {}
         for k, (_, p) in enumerate(self.phrases):
-            for t in p:
+            left = (1 - CONTAINMENT) * self.total[k]
+            for t in sorted(p, key=lambda t: (-self.weight[t], t)):
                 self.index.setdefault(t, []).append(k)
+                left -= self.weight[t]
+                if left < 0:
+                    break
+        self.anchors = frozenset(self.index)
         self.dummy: dict[str, list[int]] = {}
         for k, v in enumerate(self.vocabularies):
             for t in v:
@@ -237,18 +292,14 @@ class Exemplars:
         if "\0" in have:
             found.add(PLACEHOLDER)
             have.discard("\0")
-        held: dict[int, float] = {}
-        for t in have:
-            if t != "#":
-                for k in self.index.get(t, ()):
-                    held[k] = held.get(k, 0.0) + weight[t]
-        if held:
+        hits = [k for t in have & self.anchors for k in self.index[t]]
+        if hits:
             whole = sum(weight.get(t, other) for t in have)
-            for k, w in held.items():
+            for k in hits:
                 sort, phrase = self.phrases[k]
                 if sort not in found:
-                    w += weight["#"] if "#" in have and "#" in phrase else 0.0
-                    if w >= CONTAINMENT * self.total[k] and w >= COVERAGE * whole:
+                    w = sum(weight[t] for t in phrase & have)
+                    if w >= CONTAINMENT * self.total[k] - 1e-9 and w >= COVERAGE * whole:
                         found.add(sort)
         if FILLER not in found and len(toks) >= VOCABULARY_TOKENS:
             counts: dict[int, int] = {}
@@ -277,8 +328,9 @@ class Exemplars:
 def _frequencies(docs: DataFrame, names: list[str]) -> tuple[dict[str, int], int]:
     """Number of texts that hold each exemplar token, over all texts: one pass, as many counters as exemplar tokens."""
     toks = F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)), F.array(*map(F.lit, names)))
-    df = {r["t"]: r["n"] for r in docs.select(F.explode(toks).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    return df, docs.count()
+    each = F.concat(F.array(F.lit("")), toks)  # the empty token counts the texts
+    df = {r["t"]: r["n"] for r in docs.select(F.explode(each).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    return df, df.pop("", 0)
 
 
 def residues(docs: DataFrame, *, id: str, text: str, phrases: dict[str, str] = PHRASES, vocabularies: list[str] = VOCABULARIES) -> DataFrame:
