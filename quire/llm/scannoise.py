@@ -34,7 +34,7 @@ MIN_SHARE = 4e-6
 RATE = 4e-3  # of a true word, misread in one way: an upper estimate
 #: True characters and what they are misread as.
 CONFUSIONS = [
-    ("e", "c"), ("c", "e"), ("a", "ä"), ("ä", "a"), ("o", "ö"), ("ö", "o"), ("u", "ü"), ("ü", "u"), ("s", "5"), ("i", "l"), ("l", "i"), ("r", "i"), ("t", "f"), ("f", "t"), ("o", "0"), ("n", "ri"), ("l", "1"), ("i", "1"), ("d", "cl"),
+    ("e", "c"), ("c", "e"), ("a", "ä"), ("ä", "a"), ("ã", "a"), ("õ", "o"), ("o", "ö"), ("ö", "o"), ("u", "ü"), ("ü", "u"), ("s", "5"), ("i", "l"), ("l", "i"), ("r", "i"), ("t", "f"), ("f", "t"), ("o", "0"), ("n", "ri"), ("l", "1"), ("i", "1"), ("d", "cl"),
     ("u", "ii"), ("ü", "ii"), ("m", "rn"), ("rn", "m"), ("g", "9"), ("q", "9"), ("h", "b"), ("b", "h"), ("b", "6"), ("w", "vv"), ("vi", "w"), ("li", "h"), ("ri", "n"), ("rt", "n"), ("cl", "d"), ("é", "c"), ("é", "6"), ("è", "c"), ("ê", "c"), ("z", "2"), ("b", "8"), ("s", "8"), ("t", "7"),
     ("n", "u"), ("u", "n"), ("y", "v"), ("v", "y"), ("ß", "b"), ("ö", "6"), ("ó", "6"), ("ç", "c"), ("j", "i"), ("i", "j"), ("k", "lc"), ("h", "li"), ("nn", "m"), ("m", "nn"), ("g", "q"), ("c", "("), ("i", "|"), ("l", "|"),
 ]
