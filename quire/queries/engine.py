@@ -230,10 +230,9 @@ def html_table_shapes(spark, sf_dir):
 
 
 def table_guard(spark, sf_dir):
-    """Tokens a table shares with the next one of its field: precision and recall."""
-    c = _chunks(spark, sf_dir).filter("chunk_type = 'table_chunk'").dropDuplicates(["chunk_id"]).select("doc_id", "chunk_id", F.explode(X.analyze(F.col("text"))).alias("token"))
-    a, b = c.filter(F.substring("chunk_id", 1, 1) < "8"), c.filter(F.substring("chunk_id", 1, 1) >= "8")
-    o = retrieval.multiset_overlap(a.drop("chunk_id"), b.drop("chunk_id"), ["doc_id"], "token")
+    """Tokens that a document's tables share with its texts: precision and recall."""
+    c = _chunks(spark, sf_dir).dropDuplicates(["chunk_id"]).select("doc_id", "chunk_type", F.explode(X.analyze(F.col("text"))).alias("token"))
+    o = retrieval.multiset_overlap(c.filter("chunk_type = 'table_chunk'"), c.filter("chunk_type = 'text_chunk'"), ["doc_id"], "token")
     return o.select("doc_id", "overlap", F.round("precision", 9).alias("precision_"), F.round("recall", 9).alias("recall_"))
 
 
@@ -378,7 +377,7 @@ SELECT count(*) AS chunks, round(avg(n), 1) AS chars_mean, CAST(max(n) FILTER (p
     "request_order": "WITH a AS (SELECT source_uri, response_id AS asked, row_number() OVER (PARTITION BY source_uri ORDER BY received_at, response_id, loaded_at) AS k FROM workbook_responses), b AS (SELECT source_uri, response_id AS answered, row_number() OVER (PARTITION BY source_uri ORDER BY job_id NULLS FIRST, response_id, loaded_at) AS k FROM workbook_responses) SELECT source_uri, asked, answered FROM a JOIN b USING (source_uri, k)",
     "document_identity": f"WITH {_O}, {_V} SELECT o.object_id AS document_id, o.metadata.file_name AS file_name, o.metadata.size_bytes AS size_bytes, v.title, v.language, o.metadata.s3_bucket AS bucket, nullif(trim(trim(o.metadata.s3_etag), '\"'), '') AS etag FROM o LEFT JOIN v ON v.source_object_id = o.object_id",
     "markdown_rows": f"WITH {_C}, l AS (SELECT chunk_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS ls FROM c WHERE chunk_type = 'table_chunk' AND NOT text LIKE '<%') SELECT chunk_id, len(ls) AS lines, CASE WHEN len(ls) = 0 THEN 0 WHEN len(ls) > 1 AND regexp_full_match(ls[2], '\\s*\\|?[\\s:|-]+\\|?\\s*') THEN 2 ELSE 1 END AS header_lines FROM l",
-    "table_guard": f"WITH {_C}, t AS (SELECT doc_id, substr(chunk_id, 1, 1) < '8' AS a, unnest({_TOK.format('text')}) AS token FROM c WHERE chunk_type = 'table_chunk'), g AS (SELECT doc_id, token, count(*) FILTER (a) AS x, count(*) FILTER (NOT a) AS y FROM t GROUP BY ALL) SELECT doc_id, CAST(sum(least(x, y)) AS BIGINT) AS overlap, CASE WHEN sum(y) > 0 THEN round(sum(least(x, y)) / sum(y), 9) END AS precision_, CASE WHEN sum(x) > 0 THEN round(sum(least(x, y)) / sum(x), 9) END AS recall_ FROM g GROUP BY ALL",
+    "table_guard": f"WITH {_C}, t AS (SELECT doc_id, chunk_type = 'table_chunk' AS a, unnest({_TOK.format('text')}) AS token FROM c WHERE chunk_type IN ('table_chunk', 'text_chunk')), g AS (SELECT doc_id, token, count(*) FILTER (a) AS x, count(*) FILTER (NOT a) AS y FROM t GROUP BY ALL) SELECT doc_id, CAST(sum(least(x, y)) AS BIGINT) AS overlap, CASE WHEN sum(y) > 0 THEN round(sum(least(x, y)) / sum(y), 9) END AS precision_, CASE WHEN sum(x) > 0 THEN round(sum(least(x, y)) / sum(x), 9) END AS recall_ FROM g GROUP BY ALL",
     "table_markdown": "SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY ALL",
     "json_props": "SELECT event_id, TRY_CAST(json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.k') AS INT) AS k FROM events",
     "component_boxes": f"WITH {_P}, {_R}, {_B}, q AS (SELECT object_id, b.component_id AS component_id, {_BOX} AS x FROM f1) SELECT object_id, component_id, round((x[3] - x[1]) * (x[4] - x[2]), 6) AS area, printf('%.5f', x[1] / 640.0 * 100.0) AS left_pc, printf('%.5f', (x[3] - x[1]) / 640.0 * 100.0) AS width_pc, greatest(1536, CAST(ceil(x[4] / 128) * 128 AS INT)) AS edge FROM q WHERE x IS NOT NULL",
