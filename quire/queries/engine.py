@@ -107,7 +107,7 @@ def retrieval_vectors(spark, sf_dir):
     c = chunking.document_chunks(_doc_rows(spark, sf_dir), CONFIG)
     e = LocalHash(dimension=64)
     r = retrieval.with_vectors(retrieval.items(c), retrieval.vectors(c, e))
-    return r.select("record_id", F.col("embeddings")[0]["dimension"].alias("dimension"), F.round(F.col("embeddings")[0]["values"][0], 5).alias("first_value"), F.size("embeddings").alias("n"))
+    return r.select("record_id", F.col("embeddings")[0]["dimension"].alias("dimension"), F.col("embeddings")[0]["values"][0].alias("first_value"), F.size("embeddings").alias("n"))
 
 
 def fixed_overlap_chunks(spark, sf_dir):
@@ -385,3 +385,28 @@ SELECT count(*) AS chunks, round(avg(n), 1) AS chars_mean, CAST(max(n) FILTER (p
     "cell_normalize": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ';' || CASE WHEN l_discount = floor(l_discount) THEN CAST(CAST(l_discount AS BIGINT) AS VARCHAR) ELSE CAST(l_discount AS VARCHAR) END || ';' || CASE WHEN CAST(l_shipdate AS TIME) = TIME '00:00:00' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') END || ';' || l_returnflag AS cells FROM lineitem",
     "hash_embedding": """WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN substr(text, 1, 24000) ELSE ' ' END AS s FROM documents), h AS (SELECT doc_id, sha256('0:' || s) || sha256('1:' || s) AS x FROM t), b AS (SELECT doc_id, k, CAST('0x' || substr(x, k * 2 + 1, 2) AS INT) / 127.5 - 1.0 AS v FROM h, LATERAL (SELECT unnest(range(64)) AS k)), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM b GROUP BY ALL) SELECT b.doc_id, b.k, round(v / n, 6) AS value FROM b JOIN n USING (doc_id)""",
 }
+
+_PAGE1 = "CASE WHEN len(list_distinct(list_filter([TRY_CAST(regexp_extract(q, '^/page/(\\d+)/', 1) AS INT) FOR q IN {c}], lambda v: v IS NOT NULL))) = 1 THEN list_distinct(list_filter([TRY_CAST(regexp_extract(q, '^/page/(\\d+)/', 1) AS INT) FOR q IN {c}], lambda v: v IS NOT NULL))[1] END"
+_S = "regexp_replace(regexp_replace(coalesce({}, ''), '^\\s+', ''), '\\s+$', '')"
+_CHUNKS = f"""WITH {_P}, e AS (SELECT object_id AS doc_id, rows[1].extraction AS x FROM p WHERE rows[1].extraction IS NOT NULL),
+m AS (SELECT doc_id, x.main_text AS text, {_PAGE1.format(c='x.main_text_citations')} AS page, regexp_extract_all(x.main_text, '\\s*\\S+') AS ps FROM e WHERE regexp_matches(x.main_text, '\\S')),
+mw AS (SELECT doc_id, text, page, len(ps) AS n, unnest(ps) AS w, unnest(range(1, len(ps) + 1)) AS i FROM m), mo AS (SELECT *, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM mw), mq AS (SELECT doc_id, text, page, n, i, z - length(regexp_replace(w, '^\\s+', '')) AS a, z FROM mo),
+mk AS (SELECT doc_id, piece FROM (SELECT doc_id, max(n) AS n FROM mq GROUP BY doc_id), LATERAL (SELECT unnest(range(CAST(1 + greatest(0, ceil((n - 512) / 384.0)) AS BIGINT))) AS piece)),
+mc AS (SELECT mk.doc_id, 0 AS route, 0 AS fi, mk.piece, 'main_text' AS path, 'text_chunk' AS kind, 'main_text' AS comp, substr(a.text, CAST(a.a + 1 AS BIGINT), CAST(b.z - a.a AS BIGINT)) AS content, CAST(a.a AS BIGINT) AS s, CAST(b.z AS BIGINT) AS t, a.page, length(a.text) AS fc, NULL AS caption FROM mk JOIN mq a ON a.doc_id = mk.doc_id AND a.i = mk.piece * 384 + 1 JOIN mq b ON b.doc_id = mk.doc_id AND b.i = least(mk.piece * 384 + 512, b.n)),
+tu AS (SELECT doc_id, unnest(range(len(x.tables))) AS fi, unnest(x.tables) AS t FROM e), tt AS (SELECT doc_id, fi, t.content AS text, nullif({_S.format('t.caption')}, '') AS caption, CASE WHEN len(t.content_citations) > 0 THEN {_PAGE1.format(c='t.content_citations')} ELSE {_PAGE1.format(c='t.caption_citations')} END AS page FROM tu WHERE regexp_matches(t.content, '\\S')),
+tl AS (SELECT doc_id, fi, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM (SELECT doc_id, fi, string_split(text, chr(10)) AS ls FROM tt)), tp AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id, fi ORDER BY i) - length(x) - 1 AS a FROM tl), tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fi ORDER BY i) AS n FROM tp WHERE regexp_matches(x, '\\S')),
+th AS (SELECT doc_id, fi, max(CASE WHEN n = 2 AND regexp_full_match(x, '\\s*\\|?[\\s:|-]+\\|?\\s*') THEN 2 ELSE 1 END) AS head, count(*) AS total FROM tk GROUP BY ALL), te AS (SELECT doc_id, fi, max(a + length(x)) AS hz FROM tk JOIN th USING (doc_id, fi) WHERE n <= head GROUP BY ALL),
+tg AS (SELECT doc_id, fi, CAST(floor((n - head - 1) / 20) AS BIGINT) AS g, min(a) AS a, max(a + length(x)) AS z FROM tk JOIN th USING (doc_id, fi) WHERE n > head AND total - head > 20 GROUP BY ALL),
+tc AS (SELECT doc_id, 1 AS route, fi, g AS piece, 'tables[' || fi || ']' AS path, 'table_chunk' AS kind, 'table' AS comp, substr(text, 1, CAST(hz AS BIGINT)) || chr(10) || substr(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) AS content, CAST(a AS BIGINT) AS s, CAST(z AS BIGINT) AS t, page, length(text) AS fc, caption FROM tg JOIN te USING (doc_id, fi) JOIN tt USING (doc_id, fi)
+  UNION ALL SELECT doc_id, 1, fi, 0, 'tables[' || fi || ']', 'table_chunk', 'table', text, 0, length(text), page, length(text), caption FROM tt JOIN th USING (doc_id, fi) WHERE total - head <= 20),
+fu AS (SELECT doc_id, unnest(range(len(x.figures))) AS fi, unnest(x.figures) AS f FROM e), fx AS (SELECT doc_id, fi, concat_ws(chr(10) || chr(10), nullif({_S.format('f.caption')}, ''), nullif({_S.format('f.description')}, '')) AS content FROM fu),
+fc AS (SELECT doc_id, 2 AS route, fi, 0 AS piece, 'figures[' || fi || ']' AS path, 'figure_chunk' AS kind, 'figure' AS comp, content, 0 AS s, length(content) AS t, NULL::INT AS page, length(content) AS fc, NULL AS caption FROM fx WHERE content <> ''),
+ou AS (SELECT doc_id, unnest(range(len(x.formulas))) AS fi, unnest(x.formulas) AS content FROM e), oc AS (SELECT doc_id, 3 AS route, fi, 0 AS piece, 'formulas[' || fi || ']' AS path, 'text_chunk' AS kind, 'formula' AS comp, content, 0 AS s, length(content) AS t, NULL::INT AS page, length(content) AS fc, NULL AS caption FROM ou WHERE regexp_matches(content, '\\S')),
+ch AS (SELECT *, sha256(doc_id || path || s || ':' || t) AS id FROM (SELECT * FROM mc UNION ALL SELECT * FROM tc UNION ALL SELECT * FROM fc UNION ALL SELECT * FROM oc))
+"""
+SQL["document_chunks"] = _CHUNKS + 'SELECT id AS chunk_id, doc_id, path AS field_path, kind AS chunk_type, comp AS component_type, s AS start, t AS "end", page, fc AS field_chars, md5(content) AS content_md5 FROM ch'
+SQL["retrieval_items"] = _CHUNKS + f""", ix AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY route, fi, piece) - 1 AS k, {_TOK.format("CASE WHEN kind = 'text_chunk' THEN content ELSE concat_ws(chr(10), content, caption) END")} AS tk FROM ch)
+SELECT id AS record_id, doc_id AS source_object_id, CASE kind WHEN 'table_chunk' THEN 'table' WHEN 'figure_chunk' THEN 'image' ELSE 'text_chunk' END AS retrieval_type, CASE kind WHEN 'table_chunk' THEN 'table' WHEN 'figure_chunk' THEN 'image' ELSE 'text' END AS item_type, comp AS component_type,
+CAST(CASE WHEN kind = 'text_chunk' THEN k ELSE fi END AS INT) AS position_index, CASE WHEN len(tk) > 0 THEN CAST(len(tk) AS INT) END AS dl, list_sort(tk)[1] AS first_term, CASE WHEN len(tk) > 0 THEN CAST(len(list_distinct(tk)) AS INT) END AS terms FROM ix"""
+SQL["retrieval_vectors"] = _CHUNKS + """, tx AS (SELECT id, CASE WHEN caption <> '' AND NOT contains(content, caption) THEN caption || chr(10) || content ELSE content END AS s0 FROM ch), t AS (SELECT id, CASE WHEN regexp_matches(s0, '\\S') THEN substr(s0, 1, 24000) ELSE ' ' END AS x FROM tx), h AS (SELECT id, sha256('0:' || x) || sha256('1:' || x) AS x FROM t), b AS (SELECT id, k, CAST('0x' || substr(x, k * 2 + 1, 2) AS INT) / 127.5 - 1.0 AS v FROM h, LATERAL (SELECT unnest(range(64)) AS k)), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM b GROUP BY ALL)
+SELECT b.id AS record_id, 64 AS dimension, round(v / n, 6) AS first_value, 1 AS n FROM b JOIN n USING (id) WHERE k = 0"""

@@ -21,7 +21,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = hierarchy.nodes(_chunks(spark, sf_dir), **_LINKS, children="children", level="level")
-    return n.select(F.col("id").alias("chunk_id"), "state", "depth", "root", (F.col("subtree_size") - 1).alias("descendants"))
+    return n.select(F.col("id").alias("chunk_id"), "state", "depth", "root", F.when(F.col("state") != hierarchy.CYCLE, F.col("subtree_size") - 1).alias("descendants"))  # on a cycle every node is below itself
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,19 @@ SELECT chunk_id, state AS issue FROM lost_state
 UNION ALL SELECT chunk_id, 'orphan' FROM l WHERE parent IS NOT NULL AND NOT held
 UNION ALL SELECT d.chunk_id, 'level' FROM down d JOIN n USING (chunk_id) WHERE state = 'tree' AND level IS DISTINCT FROM depth
 UNION ALL SELECT chunk_id, 'children' FROM odd WHERE chunk_id IN (SELECT chunk_id FROM n)
+""",
+    "p5_hierarchy": _WALK
+    + """
+, below AS (SELECT a.at AS chunk_id, count(DISTINCT a.start) AS n FROM walk a WHERE a.start <> a.at GROUP BY ALL),
+up AS (SELECT d.chunk_id AS start, d.chunk_id AS node FROM down d UNION ALL SELECT up.start, l.parent FROM up JOIN l ON l.chunk_id = up.node WHERE l.held), under AS (SELECT node AS chunk_id, count(*) - 1 AS n FROM up GROUP BY ALL)
+SELECT d.chunk_id, d.state, d.depth, d.root, u.n AS descendants FROM down d JOIN under u USING (chunk_id)
+UNION ALL SELECT s.chunk_id, s.state, NULL, NULL, CASE WHEN s.state = 'below_cycle' THEN coalesce(b.n, 0) END FROM lost_state s LEFT JOIN below b USING (chunk_id)
+""",
+    "p5_descendants": _WALK
+    + """
+, free AS (SELECT * FROM l WHERE chunk_id NOT IN (SELECT chunk_id FROM lost_state WHERE state = 'cycle')),
+up AS (SELECT chunk_id AS descendant, parent AS ancestor, 1 AS distance FROM free WHERE parent IN (SELECT chunk_id FROM free) UNION ALL SELECT up.descendant, f.parent, distance + 1 FROM up JOIN free f ON f.chunk_id = up.ancestor WHERE f.parent IN (SELECT chunk_id FROM free))
+SELECT ancestor, descendant, distance FROM up
 """,
     "p5_paths": _WALK + "SELECT chunk_id, path FROM down",
 }
