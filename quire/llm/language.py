@@ -151,21 +151,26 @@ def train(docs: DataFrame, *, id: str, text: str, label: str, languages: list[st
 SEGMENTS = "id string, code string, confidence double, proportion double, main boolean, whole_sentences int, chars long"
 
 
-def languages(docs: DataFrame, model: Model, *, id: str, text: str, min_words: int = 3) -> DataFrame:
-    """One row per document and language in it. main marks the language of most text; whole_sentences counts its whole sentences."""
+def languages(docs: DataFrame, model: Model, *, id: str, text: str, label: str | None = None, min_words: int = 3) -> DataFrame:
+    """One row per document and language in it. main marks the language of most text; whole_sentences counts its whole sentences.
+
+    named is the code of the document's label, if a label column is given.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in _document(held.value, t, min_words)]
+            out = [(i, *r, n) for i, t, n in zip(*(c.to_pylist() for c in b.columns)) for r in _document(held.value, t, min_words)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.int64()))], names=["id", "code", "confidence", "proportion", "main", "whole_sentences", "chars"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.int64(), pa.string()))], names=["id", "code", "confidence", "proportion", "main", "whole_sentences", "chars", "named"])
 
-    return _texts(docs, id, text).mapInArrow(run, SEGMENTS).dropDuplicates(["id", "code"])
+    named = label_code(F.col(label)) if label else F.lit(None).cast("string")
+    found = _texts(docs, id, text, named).mapInArrow(run, SEGMENTS + ", named string").dropDuplicates(["id", "code"])
+    return found if label else found.drop("named")
 
 
-def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+def _texts(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), *[c.alias("named") for c in more]).filter(F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
 
 def _assigned(model: Model, text: str):
@@ -221,9 +226,6 @@ def segments(docs: DataFrame, model: Model, *, id: str, text: str) -> DataFrame:
 
 def issues(docs: DataFrame, model: Model, *, id: str, text: str, label: str) -> DataFrame:
     """id, issue (missing, wrong, mixed) and lang_code: the main language, for mixed each whole-sentence language besides it."""
-    found = languages(docs, model, id=id, text=text)
-    named = docs.select(F.col(id).cast("string").alias("id"), label_code(F.col(label)).alias("named")).dropDuplicates(["id"])
-    main = found.filter("main").select("id", "code").join(named, "id")
-    label_issue = main.select("id", F.when(F.col("named") == "", "missing").when(F.col("named") != F.col("code"), "wrong").alias("issue"), F.col("code").alias("lang_code")).filter("issue is not null")
-    mixed = found.filter("not main and whole_sentences > 0").select("id", F.lit("mixed").alias("issue"), F.col("code").alias("lang_code"))
-    return label_issue.unionByName(mixed)
+    found = languages(docs, model, id=id, text=text, label=label)
+    said = F.when(F.col("main") & (F.col("named") == ""), "missing").when(F.col("main") & (F.col("named") != F.col("code")), "wrong").when(~F.col("main") & (F.col("whole_sentences") > 0), "mixed")
+    return found.select("id", said.alias("issue"), F.col("code").alias("lang_code")).filter("issue is not null")
