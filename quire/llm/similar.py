@@ -223,15 +223,18 @@ def _search(k: int, least: float | None):
             lo, hi = np.searchsorted(cell, c, "left"), np.searchsorted(cell, c, "right")
             if lo == hi:
                 continue
-            rows = owner[wanted == c]
-            s = qv[rows] @ v[lo:hi].T
-            if s.shape[1] > 8 * (k + 1) and least is None:
-                near = np.argpartition(-s, k, axis=1)[:, : k + 1]
-                r, e = np.repeat(np.arange(len(rows)), k + 1), near.ravel()
-            else:
-                r, e = np.nonzero(s >= floor)
-            if len(r):
-                found.append((rows[r], e + lo, s[r, e]))
+            asked = owner[wanted == c]
+            for part_rows in np.array_split(asked, max(1, len(asked) * (hi - lo) // 8_000_000)):  # a block of cosines stays under 32 MB
+                s = qv[part_rows] @ v[lo:hi].T
+                n = np.count_nonzero(s >= floor, axis=1)
+                few, many = np.flatnonzero((n > 0) & (n <= k + 1)), np.flatnonzero(n > k + 1)
+                if len(few):
+                    r, e = np.nonzero(s[few] >= floor)
+                    found.append((part_rows[few[r]], e + lo, s[few[r], e]))
+                if len(many):  # only the best can be among the k most similar; one more, for the vector itself
+                    near = np.argpartition(-s[many], k, axis=1)[:, : k + 1]
+                    r, e = np.repeat(many, k + 1), near.ravel()
+                    found.append((part_rows[r], e + lo, s[r, e]))
         if not found:
             return
         r, e, s = (np.concatenate(x) for x in zip(*found))
