@@ -38,9 +38,13 @@ def lengths(items: DataFrame, id: str, text: str) -> DataFrame:
     return items.select(F.col(id), F.size(analyze(F.col(text))).alias("dl"))
 
 
-def corpus_stats(items: DataFrame, text: str, scope: list[str] | None = None) -> DataFrame:
-    """n_items with terms and their mean length (six decimals, 0.0 without items) of each scope."""
-    dl = items.select(*(scope or []), F.size(analyze(F.col(text))).alias("dl")).filter("dl > 0")
+def corpus_stats(items: DataFrame, text: str, scope: list[str] | None = None, id: str | None = None) -> DataFrame:
+    """n_items with terms and their mean length (six decimals, 0.0 without items) of each scope. id: repeated items count once.
+
+    Texts are reduced to lengths before anything is shuffled.
+    """
+    dl = items.select(*(scope or []), *([id] if id else []), F.size(analyze(F.col(text))).alias("dl")).filter("dl > 0")
+    dl = dl.dropDuplicates([id]) if id else dl
     aggs = [F.count("*").alias("n_items"), F.coalesce(F.round(F.sum("dl") / F.count("*"), 6), F.lit(0.0)).alias("avgdl")]
     return dl.groupBy(*scope).agg(*aggs) if scope else dl.agg(*aggs)
 

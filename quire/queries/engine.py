@@ -134,7 +134,7 @@ def term_frequency(spark, sf_dir):
 
 
 def corpus_stats(spark, sf_dir):
-    return lexical.corpus_stats(_chunks(spark, sf_dir).dropDuplicates(["chunk_id"]), "text", ["config_hash"])
+    return lexical.corpus_stats(_chunks(spark, sf_dir), "text", ["config_hash"], "chunk_id")
 
 
 def document_frequency(spark, sf_dir):
@@ -165,8 +165,8 @@ def counts_by_type(spark, sf_dir):
 
 
 def embedding_texts(spark, sf_dir):
-    c = _chunks(spark, sf_dir).dropDuplicates(["chunk_id"])
-    return c.select("chunk_id", F.length(chunking.embedding_text(F.col("text"), F.col("metadata.caption"))).alias("chars"))
+    c = _chunks(spark, sf_dir).select("chunk_id", F.length(chunking.embedding_text(F.col("text"), F.col("metadata.caption"))).alias("chars"))
+    return c.dropDuplicates(["chunk_id"])
 
 
 def skip_existing(spark, sf_dir):
@@ -212,9 +212,9 @@ def document_identity(spark, sf_dir):
 
 
 def markdown_rows(spark, sf_dir):
-    c = _chunks(spark, sf_dir).filter("chunk_type = 'table_chunk' and not text like '<%'").dropDuplicates(["chunk_id"])
-    lines = cells.markdown_lines(F.col("text"))
-    return c.select("chunk_id", F.size(lines).alias("lines"), cells.header_lines(lines).alias("header_lines"))
+    c = _chunks(spark, sf_dir).filter("chunk_type = 'table_chunk' and not text like '<%'")
+    counted = vectors.let(cells.markdown_lines(F.col("text")), lambda x: F.struct(F.size(x).alias("lines"), cells.header_lines(x).alias("header_lines")))
+    return c.select("chunk_id", counted.alias("n")).select("chunk_id", "n.*").dropDuplicates(["chunk_id"])
 
 
 def table_groups(spark, sf_dir):
@@ -224,9 +224,9 @@ def table_groups(spark, sf_dir):
 
 
 def html_table_shapes(spark, sf_dir):
-    c = _chunks(spark, sf_dir).filter("chunk_type = 'table_chunk' and text like '<%'").dropDuplicates(["chunk_id"])
+    c = _chunks(spark, sf_dir).filter("chunk_type = 'table_chunk' and text like '<%'")
     s = c.select("chunk_id", X.table_shape_py(F.col("text")).alias("s"), F.size(X.table_tokens_py(F.col("text"))).alias("tokens"), X.span_count(F.col("text"), "rowspan").alias("rowspans"))
-    return s.select("chunk_id", "s.n_rows", "s.n_columns", "tokens", "rowspans")
+    return s.select("chunk_id", "s.n_rows", "s.n_columns", "tokens", "rowspans").dropDuplicates(["chunk_id"])
 
 
 def table_guard(spark, sf_dir):
