@@ -117,7 +117,7 @@ WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, chunk_type, text, max_rows_pe
 l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS lines, string_split(regexp_replace(text, '<[tT][rR]\b', chr(1), 'g'), chr(1)) AS parts FROM c),
 n AS (SELECT *, CASE WHEN regexp_matches(text, '^\s*<') THEN len(list_filter(parts[2:], lambda x: regexp_matches(x, '(?i)<td\b')))
   ELSE len(lines) - 1 - CASE WHEN len(lines) > 1 AND regexp_full_match(lines[2], '\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*') THEN 1 ELSE 0 END END AS data_rows FROM l)
-SELECT chunk_id, CASE WHEN chunk_type = 'table_chunk' AND data_rows > max_rows_per_chunk THEN 'rows' ELSE 'chars' END AS limit_kind
-FROM n WHERE (chunk_type = 'table_chunk' AND data_rows > max_rows_per_chunk) OR length(text) > max_chars
+SELECT chunk_id, CASE WHEN chunk_type = 'table_chunk' THEN 'rows' ELSE 'chars' END AS limit_kind
+FROM n WHERE CASE WHEN chunk_type = 'table_chunk' THEN data_rows > max_rows_per_chunk ELSE length(text) > max_chars END
 """,
 }

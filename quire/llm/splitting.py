@@ -3,7 +3,7 @@
 Text: dynamic programming over boundary positions. A cut costs by kind of boundary (paragraph, line, sentence, clause, word, inside a
 word), a piece costs the square of its deviation from the even size; the cheapest sequence of cuts under the maximum length wins.
 Each piece but the first starts exactly ``overlap`` characters before the cut, so piece k+1 repeats the end of piece k.
-Tables: whole data rows, at most max_rows and (if a row allows it) max_chars a piece, the header repeated in every piece.
+Tables: limited by their data rows alone, whatever their length; pieces of at most max_rows whole rows, the header repeated in each.
 
 Defined results: characters are code points; offsets are [start, end) within the item's text and, plus the item's own start, in its
 document (-1 where the item's start is negative or null); table offsets cover the rows, not the repeated header; an overlap of half
@@ -108,18 +108,12 @@ def table_rows(text: str) -> tuple[str, list[tuple[int, int]], str]:
     return "\n".join(text[a:z] for a, z in lines[:head]) + "\n", lines[head:], ""
 
 
-def cut_table(text: str, max_rows: int, max_chars: int) -> list[tuple[int, int, str]]:
+def cut_table(text: str, max_rows: int) -> list[tuple[int, int, str]]:
+    """As few pieces as the limit allows, of sizes that differ by one row at most."""
     header, rows, close = table_rows(text)
     joint = "" if close or text.lstrip().startswith("<") else "\n"
-    groups: list[list[tuple[int, int]]] = []
-    room = max_chars - len(header) - len(close)
-    used = 0
-    for a, z in rows:
-        if not groups or len(groups[-1]) >= max_rows or used + len(joint) + z - a > room:
-            groups.append([])
-            used = -len(joint)
-        groups[-1].append((a, z))
-        used += len(joint) + z - a
+    n = -(-len(rows) // max_rows)
+    groups = [rows[k * len(rows) // n : (k + 1) * len(rows) // n] for k in range(n)]
     return [(g[0][0], g[-1][1], header + joint.join(text[a:z] for a, z in g) + close) for g in groups]
 
 
@@ -134,8 +128,8 @@ def data_rows(text: Column) -> Column:
 
 
 def oversized(items: DataFrame) -> DataFrame:
-    """Adds limit_kind and keeps the oversized. Columns id, kind_is_table, text, start, max_rows, max_chars, overlap."""
-    kind = F.when(F.col("is_table") & (data_rows(F.col("text")) > F.col("max_rows")), "rows").when(F.length("text") > F.col("max_chars"), "chars")
+    """Adds limit_kind and keeps the oversized. Columns id, is_table, text, start, max_rows, max_chars, overlap."""
+    kind = F.when(F.col("is_table"), F.when(data_rows(F.col("text")) > F.col("max_rows"), "rows")).when(F.length("text") > F.col("max_chars"), "chars")
     return items.withColumn("limit_kind", kind).filter("limit_kind is not null")
 
 
@@ -148,8 +142,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, cuts = r["text"], []
             max_chars, max_rows = r["max_chars"] or len(text), r["max_rows"] or 1 << 30
             if r["is_table"]:
-                cuts = cut_table(text, max(1, max_rows), max_chars)
-            if not cuts or (len(cuts) == 1 and len(cuts[0][2]) > max_chars):
+                cuts = cut_table(text, max(1, max_rows))
+            if not cuts:
                 cuts = [(a, z, text[a:z]) for a, z in cut_text(text, max_chars, r["overlap"] or 0)]
             base = r["start"] if r["start"] is not None and r["start"] >= 0 else None
             for k, (a, z, piece) in enumerate(cuts):
