@@ -51,7 +51,7 @@ _SQUEEZE = re.compile(r"[^\w']+|_+|\d+")
 def label_code(label: Column) -> Column:
     """Code of the language a label names, '' if it names none, the label itself if it names another language."""
     low = F.lower(F.regexp_replace(F.coalesce(label, F.lit("")), r"(?U)^\s+|\s+$", ""))
-    head = F.when(low.rlike(r"^[a-z]{2,3}[-_]"), F.regexp_extract(low, r"^([a-z]{2,3})", 1)).otherwise(low)
+    head = F.regexp_extract(low, r"^(\p{L}+)", 1)  # of en-US, pt_BR, English (UK)
     known = F.create_map(*[F.lit(x) for code, names in NAMES.items() for n in names.split() for x in (n, code)])
     none = F.array(*map(F.lit, NO_LANGUAGE))
     return F.when(F.array_contains(none, low) | ~low.rlike(r"\p{L}"), "").otherwise(F.coalesce(F.try_element_at(known, head), head))

@@ -36,9 +36,9 @@ def test_held_out_accuracy_and_mixtures(model):
 
 
 def test_labels(spark):
-    rows = [(x,) for x in ["EN", "en-US", " eng ", "Deutsch", "zxx", "", None, "--", "français", "it", "pt_BR", "Klingon", "por"]]
+    rows = [(x,) for x in ["EN", "en-US", " eng ", "Deutsch", "zxx", "", None, "--", "français", "it", "pt_BR", "Klingon", "por", "English (UK)"]]
     df = spark.createDataFrame(rows, "l string")
-    assert [r[0] for r in df.select(language.label_code(df.l)).collect()] == ["en", "en", "en", "de", "", "", "", "", "fr", "it", "pt", "klingon", "pt"]
+    assert [r[0] for r in df.select(language.label_code(df.l)).collect()] == ["en", "en", "en", "de", "", "", "", "", "fr", "it", "pt", "klingon", "pt", "en"]
 
 
 def test_issues_and_odd_rows(spark, model):
