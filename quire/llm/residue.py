@@ -247,6 +247,7 @@ _SLOT = re.compile(
         )
     )
 )
+_SLOT_SIGN = re.compile(r"[{}<>\[%$«@]|#\w|__|XX-|TBD_|TODO_|FIXME_|\.{6}|: to be ")  # every slot holds one of these
 _CODE = re.compile(r"(```|~~~).*?\1|(`+)(?!`)[^`\n]+?\2(?!`)", re.S)
 _TOKEN = re.compile(r"\x00|[^\W\d_]+|\d+")
 _UNIT = re.compile(r"\n+|(?<=[.!?])\s+")
@@ -258,7 +259,11 @@ def tokens(unit: str) -> list[str]:
 
 def units(text: str) -> list[str]:
     """Lines and sentences, without code, with every slot as one token."""
-    return [u for u in _UNIT.split(_SLOT.sub(" \x00 ", _CODE.sub(" ", text))) if u and u.strip()]
+    if "`" in text or "~~~" in text:
+        text = _CODE.sub(" ", text)
+    if _SLOT_SIGN.search(text):
+        text = _SLOT.sub(" \x00 ", text)
+    return [u for u in _UNIT.split(text) if u and u.strip()]
 
 
 class Exemplars:
