@@ -43,7 +43,8 @@ _PART = re.compile(r"[^\W_]+")
 _WRITTEN = re.compile(r"[(|]?[^\W_]+(?:[(|][^\W_]+)*")  # with signs that may be misread letters
 _BROKEN = re.compile(r"(?:[^\W_]+[-'’])*[^\W_]+[-‐­¬][ \t]*[\n\f]+\s*(?:[^\W_]+[-'’])*[^\W_]+")
 _CODE = re.compile(r"\d+|[a-z]\d+|(?=.*\d.*\d)[0-9a-f]{6,}|r[0-9a-f]{4}|[ivxlc]+")
-_ENDS = re.compile(r"([^\W_]+(?:[-'’][^\W_]+)*)[-‐­¬][ \t]*$")
+_ENDS = re.compile(r"(?<![^\W_])([^\W_]+(?:[-'’][^\W_]+)*)[-‐­¬][ \t]*$")
+_HYPHENS = ("-", "‐", "\xad", "¬")
 _STARTS = re.compile(r"^\s*([^\W_]+(?:[-'’][^\W_]+)*)")
 _SENTENCE_END = re.compile(r"[.!?:…][\"”»)\]]*$")
 _LINES = re.compile(r"[\n\f]")
@@ -70,7 +71,7 @@ def _near(a: str, b: str) -> bool:
     budget = min(len(a), len(b)) // 10
     if a == b:
         return True
-    if abs(len(a) - len(b)) > budget:
+    if abs(len(a) - len(b)) > budget or (Counter(a) - Counter(b)).total() > budget:  # letters that b lacks are edits at least
         return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -339,7 +340,8 @@ def repair(text: str, channel: Channel) -> tuple[str, set[str]]:
                 paragraphs.append(held)
             held = ""
             continue
-        left, right = _ENDS.search(held), _STARTS.match(s)
+        left = _ENDS.search(held) if held[-1:] in _HYPHENS else None
+        right = _STARTS.match(s) if left else None
         if left and right:
             word = channel.joined(left[1], right[1])
             if word is not None:
