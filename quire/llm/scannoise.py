@@ -41,7 +41,6 @@ CONFUSIONS = [
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _PART = re.compile(r"[^\W_]+")
 _WRITTEN = re.compile(r"[(|]?[^\W_]+(?:[(|][^\W_]+)*")  # with signs that may be misread letters
-_BROKEN = re.compile(r"(?:[^\W_]+[-'’])*[^\W_]+[-‐­¬][ \t]*[\n\f]+\s*(?:[^\W_]+[-'’])*[^\W_]+")
 _CODE = re.compile(r"\d+|[a-z]\d+|(?=.*\d.*\d)[0-9a-f]{6,}|r[0-9a-f]{4}|[ivxlc]+")
 _ENDS = re.compile(r"(?<![^\W_])([^\W_]+(?:[-'’][^\W_]+)*)[-‐­¬][ \t]*$")
 _HYPHENS = ("-", "‐", "\xad", "¬")
@@ -132,30 +131,40 @@ def head_lines(lines: list[str], pages: set[int]) -> set[int]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, hyphenated words and bigrams within lines; words cut at line ends are left out. Added up per task first."""
-    counts: Counter = Counter()
+    kinds: dict[str, Counter] = {"word": Counter(), "compound": Counter(), "pair": Counter(), "total": Counter()}
 
-    def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "key", "n"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, counts in kinds.items():
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "key", "n"])
+                counts.clear()
 
     for b in batches:
         for text in b.column(2).to_pylist():
-            for line in _LINES.split(_BROKEN.sub("\n", text.lower())):
-                parts = []
-                for t in _TOKEN.findall(line):
-                    if "-" in t:
-                        counts["compound", t] += 1
-                    parts += _PART.findall(t)
-                for w in parts:
-                    counts["word", w] += 1
-                for a, w in zip(parts, parts[1:]):
-                    counts["pair", f"{a} {w}"] += 1
-                counts["total", ""] += len(parts)
-        if len(counts) > 300_000:
-            yield flush()
-            counts.clear()
-    if counts:
-        yield flush()
+            words: list[str] = []
+            pairs: list[str] = []
+            cut_word = False
+            for line in _LINES.split(text.lower()):
+                s = line.strip()
+                if not s:
+                    continue
+                tokens = _TOKEN.findall(s)
+                if cut_word:
+                    tokens = tokens[1:]
+                cut_word = s[-1] in _HYPHENS
+                if cut_word:
+                    tokens = tokens[:-1]
+                parts = _PART.findall(" ".join(tokens))
+                words += parts
+                pairs += map(" ".join, zip(parts, parts[1:]))
+                if "-" in s:
+                    kinds["compound"].update(t for t in tokens if "-" in t)
+            kinds["word"].update(words)
+            kinds["pair"].update(pairs)
+            kinds["total"][""] += len(words)
+        if sum(map(len, kinds.values())) > 300_000:
+            yield from flush()
+    yield from flush()
 
 
 def inverse_edits(word: str, rules: list[tuple[str, str]], places: int = 2) -> dict[str, list[tuple[str, str]]]:
