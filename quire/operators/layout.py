@@ -40,7 +40,7 @@ def reading_order(b: DataFrame) -> DataFrame:
 
 def provenance(b: DataFrame) -> DataFrame:
     """Source of each document's order: native only if every block of every row is."""
-    return b.groupBy("object_id").agg(F.count_distinct("component_id").alias("block_count"), F.bool_and(F.coalesce(F.col("source") == NATIVE_SOURCE, F.lit(False))).alias("complete")).withColumn("source", F.when("complete", NATIVE_SOURCE).otherwise(CITED_SOURCE)) if "source" in b.columns else b.groupBy("object_id").agg(F.count_distinct("component_id").alias("block_count"))
+    return b.groupBy("object_id").agg(F.count_distinct("component_id").alias("block_count"), F.bool_and(F.coalesce(F.col("source") == NATIVE_SOURCE, F.lit(False))).alias("complete")).withColumn("source", F.when(F.col("complete"), NATIVE_SOURCE).otherwise(CITED_SOURCE)) if "source" in b.columns else b.groupBy("object_id").agg(F.count_distinct("component_id").alias("block_count"))
 
 
 def cited_blocks(docs: DataFrame) -> DataFrame:
