@@ -105,10 +105,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar_pairs(_records(spark, sf_dir), k=10, least=0.90).select("record_id_a", "record_id_b")
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar records of every usable record, of the same model, with their similarity."""
+    return similar.neighbours(_records(spark, sf_dir), k=10).select(F.col("a").alias("record_id"), F.col("b").alias("neighbour_id"), "similarity")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_repaired": p1_repaired,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill,
-    "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p3_found": p3_found, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_clean": p10_clean,
 }
 
 SQL = {

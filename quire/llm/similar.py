@@ -5,6 +5,11 @@ centroid pair. A query visits cells in the order of the summed distances of its
 for every first-half centroid, its next second-half centroid, and the least sum is taken until ``probes`` cells are visited. The
 entries of these cells are reranked by exact cosine (on 16-bit components, good to about 1e-5).
 
+This serves near copies (``similar_pairs``): they lie in the first few cells. The k nearest of every vector mostly are no near copies, so
+``neighbours`` without ``probes`` takes another index (``CellNeighbours``): centroids of whole vectors, about two times the root of the
+rows, and as many of them visited as hold ``recall`` of the true k nearest of ``TRIAL_ROWS`` sampled vectors, which are compared with all
+rows; so the number follows the data and their size. Ties at the k-th place between different vectors are cut in any order there.
+
 The centroids are fitted on a bounded sample (``fit_rows`` vectors a model); every vector is indexed and, unless restricted, a query.
 Where it runs: vectors are placed by first-half centroid (a shard), split further by hash where the sample says that a shard would
 exceed ``shard_rows``; a query goes to the shards of its cells only, once each. Exact copies are one class: the class is searched, and
@@ -31,6 +36,9 @@ FIT_ROWS = 16_000
 SHARD_ROWS = 40_000
 CELL_ROWS = 32
 PROBES = 8
+RECALL = 0.95
+TRIAL_ROWS = 400
+CELL_SHARD_ROWS = 100_000
 SCALE = 32767.0
 
 
@@ -252,32 +260,58 @@ def _search(k: int, least: float | None):
     return run
 
 
-class Neighbours:
-    """The classes of copies (checkpointed) and the neighbours found between them."""
+class Classes:
+    """The classes of copies (checkpointed, numbered by ``at``) and a sample of them."""
 
-    def __init__(self, vectors: DataFrame, k: int, least: float | None, probes: int, fit_rows: int, shard_rows: int, cell_rows: int, queries: Column | None):
+    def __init__(self, vectors: DataFrame, k: int, fit_rows: int, queries: Column | None):
         self.k, self.vectors = k, vectors
         # dense_rank <= k + 1 is limited before the shuffle too, so a class of copies moves k + 1 ids a task at most
         ranked = vectors.withColumn("rank", F.dense_rank().over(W.partitionBy("model", "dim", "vec").orderBy("id"))).filter(F.col("rank") <= k + 1)
         asks = F.max(queries if queries is not None else F.lit(True)).alias("asks")
-        self.classes = cut(ranked.groupBy("model", "dim", "vec").agg(F.sort_array(F.collect_set("id")).alias("ids"), asks).select("model", "dim", "vec", "ids", "asks", F.element_at("ids", 1).alias("id")))
+        self.classes = cut(ranked.groupBy("model", "dim", "vec").agg(F.sort_array(F.collect_set("id")).alias("ids"), asks).select("model", "dim", "vec", "ids", "asks", F.element_at("ids", 1).alias("id"), F.monotonically_increasing_id().alias("at")))
+        self.name = name = F.concat_ws("/", "model", "dim")
         kinds = self.classes.groupBy("model", "dim").count().collect()  # a row a model
         fits = F.create_map(*[x for r in kinds for x in (F.lit(f"{r['model']}/{r['dim']}"), F.lit(min(1.0, fit_rows / r["count"])))]) if kinds else None
-        self.index: dict[str, MultiIndex] = {}
-        base: dict[str, int] = {}
-        name = F.concat_ws("/", "model", "dim")
+        self.rows: dict[str, int] = {f"{r['model']}/{r['dim']}": r["count"] for r in sorted(kinds, key=lambda r: (r["model"], r["dim"]))}
+        self.sample: dict[str, np.ndarray] = {}
+        self.sample_at: dict[str, np.ndarray] = {}
         if kinds:
-            sampled = self.classes.filter(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < fits[name] * 1_000_000).select(name.alias("m"), "vec").limit(2 * fit_rows * len(kinds)).collect()
-            by: dict[str, list[bytes]] = {}
+            sampled = self.classes.filter(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < fits[name] * 1_000_000).select(name.alias("m"), "at", "vec").limit(2 * fit_rows * len(kinds)).collect()
+            by: dict[str, list] = {}
             for r in sampled:
-                by.setdefault(r["m"], []).append(bytes(r["vec"]))
-            at = 0
-            for r in sorted(kinds, key=lambda r: (r["model"], r["dim"])):
-                m = f"{r['model']}/{r['dim']}"
-                rows = by.get(m) or [bytes(x["vec"]) for x in self.classes.filter(name == m).select("vec").limit(1).collect()]
-                ix = self.index[m] = MultiIndex(np.stack([np.frombuffer(x, dtype=np.int16) for x in rows]).astype(np.float32) / SCALE, r["count"], cell_rows, shard_rows)
-                base[m], at = at, at + int(ix.salts.sum())
-        spread = self.classes.select("id", name.alias("model"), "dim", "vec", "asks").mapInArrow(_spread(self.index, base, probes), _SHARDED)
+                by.setdefault(r["m"], []).append(r)
+            for m in self.rows:
+                rows = by.get(m) or self.classes.filter(name == m).select("at", "vec").limit(1).collect()
+                self.sample[m] = np.stack([np.frombuffer(bytes(x["vec"]), dtype=np.int16) for x in rows]).astype(np.float32) / SCALE
+                self.sample_at[m] = np.array([x["at"] for x in rows], dtype=np.int64)
+
+    def copies(self) -> DataFrame:
+        """a, b, similarity: the first k others of every member of a class."""
+        k = self.k
+        many = self.classes.filter(F.size("ids") > 1)
+        within = many.select(F.explode("ids").alias("a"), F.col("ids").alias("bs"))
+        crowded = many.filter(F.size("ids") > k)
+        if not crowded.isEmpty():  # members beyond the first k + 1 of a class: copies of the first ones
+            rest = self.vectors.join(crowded.select("model", "dim", "vec", "ids"), ["model", "dim", "vec"]).filter(~F.array_contains("ids", F.col("id"))).select(F.col("id").alias("a"), F.col("ids").alias("bs")).distinct()
+            within = within.unionByName(rest)
+        return within.select("a", F.explode(F.slice(F.filter("bs", lambda x: x != F.col("a")), 1, k)).alias("b"), F.lit(1.0).alias("similarity"))
+
+    def named(self, across: DataFrame) -> DataFrame:
+        return across.unionByName(self.copies()).select(expand(F.col("a")).alias("a"), expand(F.col("b")).alias("b"), F.round("similarity", 4).alias("similarity"))
+
+
+class Neighbours(Classes):
+    """The neighbours found between the classes by the inverted multi-index."""
+
+    def __init__(self, vectors: DataFrame, k: int, least: float | None, probes: int, fit_rows: int, shard_rows: int, cell_rows: int, queries: Column | None):
+        super().__init__(vectors, k, fit_rows, queries)
+        self.index: dict[str, MultiIndex] = {}
+        base: dict[str, int] = {}
+        at = 0
+        for m, rows in self.rows.items():
+            ix = self.index[m] = MultiIndex(self.sample[m], rows, cell_rows, shard_rows)
+            base[m], at = at, at + int(ix.salts.sum())
+        spread = self.classes.select("id", self.name.alias("model"), "dim", "vec", "asks").mapInArrow(_spread(self.index, base, probes), _SHARDED)
         found = spread.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(k, least), "model string, a binary, b binary, similarity double")
         self.found = found
 
@@ -296,22 +330,244 @@ class Neighbours:
         before = F.coalesce(F.sum(F.size("ids_b")).over(W.partitionBy("model", "a").orderBy(F.desc("similarity"), "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         room = self.between_classes().withColumn("room", F.lit(k) - (F.size("ids_a") - 1) - before).filter("room > 0")
         across = room.select("similarity", F.explode("ids_a").alias("a"), F.slice("ids_b", 1, F.least(F.size("ids_b"), F.col("room").cast("int"))).alias("bs")).select("a", F.explode("bs").alias("b"), "similarity")
-        many = self.classes.filter(F.size("ids") > 1)
-        within = many.select(F.explode("ids").alias("a"), F.col("ids").alias("bs"))
-        crowded = many.filter(F.size("ids") > k)
-        if not crowded.isEmpty():  # members beyond the first k + 1 of a class: copies of the first ones
-            rest = self.vectors.join(crowded.select("model", "dim", "vec", "ids"), ["model", "dim", "vec"]).filter(~F.array_contains("ids", F.col("id"))).select(F.col("id").alias("a"), F.col("ids").alias("bs")).distinct()
-            within = within.unionByName(rest)
-        within = within.select("a", F.explode(F.slice(F.filter("bs", lambda x: x != F.col("a")), 1, k)).alias("b"), F.lit(1.0).alias("similarity"))
-        return across.unionByName(within).select(expand(F.col("a")).alias("a"), expand(F.col("b")).alias("b"), F.round("similarity", 4).alias("similarity"))
+        return self.named(across)
+
+
+class CellIndex:
+    """Centroids of whole vectors for one model. Near cells share a shard; a cell above shard_rows has several."""
+
+    def __init__(self, sample: np.ndarray, rows: int, shard_rows: int):
+        self.k = int(min(4096, len(sample), max(1, 2 ** round(np.log2(2 * rows**0.5)))))
+        self.centres = kmeans(sample, self.k, np.random.default_rng(7))
+        share = np.bincount(self.distances(sample).argmin(axis=1), minlength=self.k) / len(sample)
+        self.salts = np.maximum(1, np.ceil(share * rows / shard_rows)).astype(np.int64)
+        self.offset = np.zeros(self.k, np.int64)
+        self.shards, room = 0, 0.0
+        full = min(shard_rows, 1.05 * rows / np.ceil(rows / shard_rows))  # shards of like size
+        for c in self._near_order(np.arange(self.k), share):
+            need = share[c] * rows
+            if self.salts[c] > 1 or need > room or not self.shards:
+                self.shards, room = self.shards + int(self.salts[c]), full if self.salts[c] == 1 else 0.0
+            self.offset[c] = self.shards - self.salts[c]
+            room -= need
+        self.probes = self.k
+
+    def distances(self, v: np.ndarray) -> np.ndarray:
+        return (self.centres**2).sum(axis=1) - 2 * v @ self.centres.T
+
+    def _near_order(self, cells: np.ndarray, share: np.ndarray) -> list[int]:
+        """Cells in the order of a tree that halves them along their widest direction."""
+        if len(cells) < 3:
+            return cells.tolist()
+        x = self.centres[cells] - self.centres[cells].mean(axis=0)
+        cells = cells[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        cut_at = int(np.clip(np.searchsorted(np.cumsum(share[cells]), share[cells].sum() / 2), 1, len(cells) - 1))
+        return self._near_order(cells[:cut_at], share) + self._near_order(cells[cut_at:], share)
+
+    def nearest(self, d: np.ndarray) -> np.ndarray:
+        """The cells each row visits."""
+        if self.probes >= self.k:
+            return np.broadcast_to(np.arange(self.k), d.shape)
+        return np.argpartition(d, self.probes - 1, axis=1)[:, : self.probes]
+
+
+def _matrix(vec) -> np.ndarray:
+    raw = vec.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=np.int16).reshape(len(raw), -1).astype(np.float32) / SCALE
+
+
+def _by_model(batch: pa.RecordBatch, column: int, rows: int):
+    """A batch in parts of one model and at most so many rows."""
+    models = np.array(batch.column(column).to_pylist(), dtype=object)
+    for m in sorted(set(models)):
+        take = np.flatnonzero(models == m)
+        for part in np.array_split(take, -(-len(take) // rows)):
+            yield m, batch.take(pa.array(part))
+
+
+def _trial(indexes: dict[str, CellIndex], asked: dict[str, tuple[np.ndarray, np.ndarray]], k: int):
+    """at, model, vec -> for each asked vector its k most similar among the task's rows: similarity, and how many cells come before theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        ranks = {m: indexes[m].distances(v).argsort(axis=1).argsort(axis=1) for m, (_, v) in asked.items()}
+        for batch in batches:
+            for m, b in _by_model(batch, 1, 4000):
+                at, q = asked[m]
+                v = _matrix(b.column(2))
+                s = q @ v.T
+                s[at[:, None] == b.column(0).to_numpy()[None, :]] = -3
+                rank = ranks[m][:, indexes[m].distances(v).argmin(axis=1)]
+                if m in best:
+                    s, rank = np.concatenate([best[m][0], s], axis=1), np.concatenate([best[m][1], rank], axis=1)
+                if s.shape[1] > k:
+                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    s, rank = np.take_along_axis(s, top, 1), np.take_along_axis(rank, top, 1)
+                best[m] = s, rank
+        for m, (s, rank) in best.items():
+            r, c = np.nonzero(s > -3)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(r), pa.string()), pa.array(r.astype(np.int32)), pa.array(s[r, c].astype(np.float32)), pa.array(rank[r, c].astype(np.int32))], names=["model", "q", "similarity", "rank"])
+
+    return run
+
+
+_PLACED = "shard long, kind byte, at long, n byte, cell short, vec binary"
+
+
+def _place(indexes: dict[str, CellIndex], base: dict[str, int]):
+    """at, n, model, vec, asks -> every class as an entry of its shard, and as a query to each shard of the cells it visits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for m, b in _by_model(whole, 2, 4000):
+                ix, v = indexes[m], _matrix(b.column(3))
+                d = ix.distances(v)
+                cell = d.argmin(axis=1)
+                salt = np.arange(len(v)) % ix.salts[cell]
+                yield _rows(b, np.arange(len(v)), base[m] + ix.offset[cell] + salt, 0, cell)
+                q = np.flatnonzero(b.column(4).to_numpy(zero_copy_only=False))
+                if not len(q):
+                    continue
+                near = ix.nearest(d[q])
+                owner, near = np.repeat(q, near.shape[1]), near.ravel()
+                n = ix.salts[near]
+                shard = np.repeat(ix.offset[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                owner, shard = np.divmod(np.unique(np.repeat(owner, n) * ix.shards + shard), ix.shards)
+                yield _rows(b, owner, base[m] + shard, 1, np.zeros(len(owner)))  # its cells are found again in the shard, so they need not be sent
+
+    def _rows(b, rows, shard, kind, cell) -> pa.RecordBatch:
+        take = pa.array(rows)
+        return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(np.full(len(rows), kind, np.int8)), b.column(0).take(take), b.column(1).take(take), pa.array(cell.astype(np.int16)), b.column(3).take(take)], names=["shard", "kind", "at", "n", "cell", "vec"])
+
+    return run
+
+
+_HIT = np.dtype([("at", "<i8"), ("similarity", "<f4"), ("n", "i1")])
+
+
+def _search_cells(indexes: dict[str, CellIndex], base: dict[str, int], k: int):
+    """Entries of a shard come first, then its queries: at, n and the k + 1 best hits (perhaps itself) of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, table = None, [], None
+        for b in batches:
+            shards, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            change = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])])
+            for a, z in zip(change, np.r_[change[1:], len(shards)]):
+                if shards[a] != shard:
+                    shard, held, table = shards[a], [], None
+                part = b.slice(a, z - a)
+                if kinds[a] == 0:
+                    held.append(part)
+                elif held:
+                    table = table or _table(held)
+                    yield _block(indexes[max((m for m in base if base[m] <= shard), key=base.get)], table, part)
+
+    def _table(held):
+        cell = np.concatenate([p.column(4).to_numpy() for p in held])
+        order = np.argsort(cell, kind="stable")
+        at, n = (np.concatenate([p.column(c).to_numpy() for p in held])[order] for c in (2, 3))
+        return at, n, np.concatenate([_matrix(p.column(5)) for p in held])[order], cell[order]
+
+    def _block(ix, table, part):
+        at, n, v, cell = table
+        qv = _matrix(part.column(5))
+        near = ix.nearest(ix.distances(qv))
+        wanted = near.ravel()
+        order = np.argsort(wanted, kind="stable")
+        owner, wanted = order // near.shape[1], wanted[order]
+        best, entry = np.full((len(qv), k + 1), -2, np.float32), np.full((len(qv), k + 1), -1, np.int64)
+        for c in np.unique(cell):
+            lo, hi = np.searchsorted(cell, c, "left"), np.searchsorted(cell, c, "right")
+            asked = owner[np.searchsorted(wanted, c, "left") : np.searchsorted(wanted, c, "right")]
+            for rows in np.array_split(asked, max(1, len(asked) * (hi - lo) // 8_000_000)):  # a block of cosines stays under 32 MB
+                s = qv[rows] @ v[lo:hi].T
+                better = np.flatnonzero(s.max(axis=1) > best[rows].min(axis=1))
+                if not len(better):
+                    continue
+                rows = rows[better]
+                s = np.concatenate([best[rows], s[better]], axis=1)
+                e = np.concatenate([entry[rows], np.broadcast_to(np.arange(lo, hi), (len(rows), hi - lo))], axis=1)
+                top = np.argpartition(-s, k, axis=1)[:, : k + 1]
+                best[rows], entry[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(e, top, 1)
+        hit = entry >= 0
+        out = np.empty(int(hit.sum()), _HIT)
+        out["at"], out["similarity"], out["n"] = at[entry[hit]], best[hit], n[entry[hit]]
+        ends = np.r_[0, np.cumsum(hit.sum(axis=1))] * _HIT.itemsize
+        hits = pa.Array.from_buffers(pa.binary(), len(qv), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+        return pa.RecordBatch.from_arrays([part.column(2), part.column(3), hits], names=["at", "n", "hits"])
+
+    return run
+
+
+def _merge(k: int, least: float | None):
+    """at, n, hits of all shards -> a, b, similarity and how many members of b fit among the k most similar of a."""
+    floor = -2.0 if least is None else least - 2e-5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2).to_pylist()
+            owner = np.repeat(np.arange(len(lists)), [sum(map(len, x)) // _HIT.itemsize for x in lists])
+            h = np.frombuffer(b"".join(y for x in lists for y in x), dtype=_HIT)
+            a, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            keep = (h["at"] != a[owner]) & (h["similarity"] >= floor)
+            owner, h = owner[keep], h[keep]
+            order = np.lexsort((h["at"], -h["similarity"], owner))
+            owner, h = owner[order], h[order]
+            before = np.cumsum(h["n"], dtype=np.int64) - h["n"]
+            if len(h):
+                before -= before[np.searchsorted(owner, owner, "left")]
+            room = k - (n[owner].astype(np.int64) - 1) - before
+            keep = room > 0
+            owner, h, room = owner[keep], h[keep], room[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(a[owner]), pa.array(h["at"].copy()), pa.array(np.minimum(h["similarity"], 1).astype(np.float32)), pa.array(np.minimum(room, h["n"]).astype(np.int32))], names=["a_at", "b_at", "similarity", "fit"])
+
+    return run
+
+
+class CellNeighbours(Classes):
+    """The neighbours found between the classes in as many cells as the recall asks for."""
+
+    def __init__(self, vectors: DataFrame, k: int, least: float | None, recall: float, fit_rows: int, shard_rows: int, queries: Column | None):
+        if k > 126:
+            raise ValueError("k must be at most 126")  # class sizes up to k + 1 are bytes
+        super().__init__(vectors, k, fit_rows, queries)
+        self.index = {m: CellIndex(self.sample[m], rows, shard_rows) for m, rows in self.rows.items()}
+        asked = {m: (self.sample_at[m][:TRIAL_ROWS], self.sample[m][:TRIAL_ROWS]) for m in self.rows}
+        best = F.row_number().over(W.partitionBy("model", "q").orderBy(F.desc("similarity"), "rank"))
+        tried = self.classes.select("at", self.name.alias("model"), "vec").mapInArrow(_trial(self.index, asked, k), "model string, q int, similarity float, rank int").withColumn("best", best).filter(F.col("best") <= k)
+        ranks: dict[str, list[int]] = {}
+        for r in tried.select("model", "rank").collect() if self.rows else []:  # k rows for each asked vector
+            ranks.setdefault(r["model"], []).append(r["rank"])
+        base: dict[str, int] = {}
+        at = 0
+        for m, ix in self.index.items():
+            if m in ranks:
+                ix.probes = int(np.quantile(ranks[m], min(1.0, recall), method="higher")) + 1
+            base[m], at = at, at + ix.shards
+        placed = self.classes.select("at", F.size("ids").cast("byte").alias("n"), self.name.alias("model"), "vec", "asks").mapInArrow(_place(self.index, base), _PLACED)
+        hits = placed.repartitionById(max(1, at), F.col("shard").cast("int")).sortWithinPartitions("shard", "kind").mapInArrow(_search_cells(self.index, base, k), "at long, n byte, hits binary")
+        self.found = hits.groupBy("at").agg(F.first("n").alias("n"), F.collect_list("hits").alias("hits")).mapInArrow(_merge(k, least), "a_at long, b_at long, similarity float, fit int")
+
+    def pairs(self) -> DataFrame:
+        """a, b, similarity: b is among the k most similar of a."""
+        ids = self.classes.select("at", "ids")
+        across = self.found.join(ids.withColumnRenamed("at", "b_at"), "b_at").select("a_at", F.explode(F.slice("ids", F.lit(1), F.col("fit"))).alias("b"), "similarity")
+        across = across.join(ids.withColumnRenamed("at", "a_at"), "a_at").select(F.explode("ids").alias("a"), "b", F.col("similarity").cast("double").alias("similarity"))
+        return self.named(across)
+
 
+def neighbours(vectors: DataFrame, *, k: int = 10, least: float | None = None, probes: int | None = None, recall: float = RECALL, fit_rows: int = FIT_ROWS, shard_rows: int | None = None, cell_rows: int = CELL_ROWS, queries: Column | None = None) -> DataFrame:
+    """a, b, similarity for the k most similar b of every a (only those of at least ``least``). queries: which ids ask (a column over id).
 
-def neighbours(vectors: DataFrame, *, k: int = 10, least: float | None = None, probes: int = PROBES, fit_rows: int = FIT_ROWS, shard_rows: int = SHARD_ROWS, cell_rows: int = CELL_ROWS, queries: Column | None = None) -> DataFrame:
-    """a, b, similarity for the k most similar b of every a (only those of at least ``least``). queries: which ids ask (a column over id)."""
-    return Neighbours(vectors, k, least, probes, fit_rows, shard_rows, cell_rows, queries).pairs()
+    probes: cells of the multi-index to visit; without it, whole-vector cells are visited as far as ``recall`` of a sample's true neighbours asks.
+    """
+    if probes is None:
+        return CellNeighbours(vectors, k, least, recall, fit_rows, shard_rows or CELL_SHARD_ROWS, queries).pairs()
+    return Neighbours(vectors, k, least, probes, fit_rows, shard_rows or SHARD_ROWS, cell_rows, queries).pairs()
 
 
-def similar_pairs(vectors: DataFrame, *, k: int = 10, least: float = 0.9, **how) -> DataFrame:
+def similar_pairs(vectors: DataFrame, *, k: int = 10, least: float = 0.9, probes: int = PROBES, **how) -> DataFrame:
     """record_id_a < record_id_b, similarity: at least one is among the other's k most similar, with cosine of at least ``least``."""
-    n = neighbours(vectors, k=k, least=least, **how)
+    n = neighbours(vectors, k=k, least=least, probes=probes, **how)
     return n.groupBy(F.least("a", "b").alias("record_id_a"), F.greatest("a", "b").alias("record_id_b")).agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= least)

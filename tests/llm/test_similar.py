@@ -81,3 +81,26 @@ def test_visits_cells_in_order_of_summed_distance():
     for r in range(20):
         every = np.sort((d1[r][:, None] + d2[r][None, :]).ravel())[:30]
         assert np.allclose(d1[r, a[r]] + d2[r, b[r]], every, atol=1e-5) and len(set(zip(a[r], b[r]))) == 30
+
+
+@pytest.mark.parametrize("shard_rows", [300, 10**6])
+def test_every_vector_gets_its_k_neighbours(spark, shard_rows):
+    rng = np.random.default_rng(9)
+    rows = [(f"{i:06d}", [float(x) for x in rng.normal(size=12)], "m1" if i % 4 else "m2", 12, "ok", "") for i in range(3000)]
+    want = brute(rows, 10, -2)
+    got = {}
+    for r in similar.neighbours(units(spark, rows), k=10, shard_rows=shard_rows).collect():
+        got.setdefault(r["a"], {})[r["b"]] = r["similarity"]
+    assert {a: len(bs) for a, bs in got.items()} == dict.fromkeys(want, 10)
+    assert np.mean([len(got[a].keys() & {b for b, _ in bs}) / 10 for a, bs in want.items()]) >= 0.9
+    assert all(abs(got[a][b] - s) < 2e-4 for a, bs in want.items() for b, s in bs if b in got[a])
+
+
+def test_registered_query_gives_every_record_its_neighbours(spark, tmp_path):
+    from quire.llm import queries
+
+    rng = np.random.default_rng(2)
+    rows = [(f"{i:04x}", [float(x) for x in rng.normal(size=6)], "m", 6, "embedded" if i else "failed", "") for i in range(60)]
+    spark.createDataFrame(rows, "record_id string, embedding array<float>, embedding_model string, embedding_dimension int, embedding_status string, x string").write.parquet(str(tmp_path / "vector_records.parquet"))
+    got = queries.QUERIES["p3_neighbours"](spark, str(tmp_path)).groupBy("record_id").count().collect()
+    assert {(r[0], r[1]) for r in got} == {(x[0], 10) for x in rows[1:]}
