@@ -47,11 +47,23 @@ def parsed_documents(objects: DataFrame, providers: dict | None = None) -> tuple
     return docs, bad
 
 
-def run(objects: DataFrame, config: ChunkEmbedConfig, providers: dict | None = None) -> Output:
+def downloaded(got: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Downloaded entries as objects: those that were loaded, the others (without content), and the quarantine rows of the others."""
+    named = got.withColumns({"relative": F.concat(F.lit("s3://"), "bucket", F.lit("/"), "key"), "length": F.length("content").cast("long")})
+    ok, lost = named.filter("status = 'loaded'"), named.filter("status <> 'loaded'")
+    message = F.coalesce("error", F.concat(F.lit("The download ended as "), "status", F.lit(".")))
+    reason = F.struct(F.concat(F.lit("download_"), "status").alias("code"), F.lit("content").alias("field"), message.alias("message"))
+    bad = lost.select(ids.document_id(F.col("relative")).alias("document_id"), F.col("relative").alias("source_uri"), F.array(reason).alias("reasons"), F.lit("ingestion").alias("stage"), F.lit("quarantined").alias("status"))
+    return files.data_objects(ok, "presigned"), files.data_objects(lost, "presigned"), bad
+
+
+def run(objects: DataFrame, config: ChunkEmbedConfig, providers: dict | None = None, lost: DataFrame | None = None) -> Output:
+    """lost: quarantine rows of objects that could not be read."""
     docs, bad = parsed_documents(objects, providers)
     checked = documents.validated(docs)
     ok = documents.accepted(checked)
     out = documents.quarantined(checked).unionByName(bad.select(F.col("object_id").alias("document_id"), "source_uri", "reasons", F.lit("ingestion").alias("stage"), F.lit("quarantined").alias("status")))
+    out = out.unionByName(lost) if lost is not None else out
     first = F.element_at(F.col("rows"), 1)["extraction"]
     fields = ok.filter(first.isNotNull()).select(F.col("object_id").alias("doc_id"), *[first[c].alias(c) for c in ("language", "main_text", "main_text_citations", "tables", "figures", "formulas")])
     chunks = cut(chunking.document_chunks(fields, config))
@@ -89,14 +101,16 @@ def cli(argv: list[str] | None = None) -> str:
     mode = input_mode({"local": a.local, "inventory": a.inventory}, "local")
     spark = SparkSession.builder.appName("quire").getOrCreate()
     if mode == "local":
-        objects = files.data_objects(files.local_files(spark, InputConfig(a.local)))
+        objects, bad = files.data_objects(files.local_files(spark, InputConfig(a.local))), None
+        every = objects
     else:
         entries = files.inventory(spark, a.inventory)
-        got = files.download(files.select_entry(entries, a.object_key) if a.object_key else entries).filter("status = 'loaded'")
-        objects = files.data_objects(got.select(F.concat(F.lit("s3://"), "bucket", F.lit("/"), "key").alias("relative"), F.length("content").cast("long").alias("length"), "content"), "presigned")
+        got = cut(files.download(files.select_entry(entries, a.object_key) if a.object_key else entries))  # one request an entry
+        objects, lost, bad = downloaded(got)
+        every = objects.unionByName(lost)
     config = ChunkEmbedConfig(chunker=a.chunker, embedder_params={"dimension": a.dimension})
     run_id = f"run-{ids.config_hash({'t': time.time_ns()})[:12]}"
-    write(run(cut(objects), config), objects, f"{a.out}/{run_id}")
+    write(run(cut(objects), config, lost=bad), every, f"{a.out}/{run_id}")
     return run_id
 
 

@@ -97,6 +97,22 @@ def test_pipeline_end_to_end(spark, folder, tmp_path):
     assert [(r["run_id"], r["stages"]) for r in runs] == [("r1", ["ingested", "output"])]
 
 
+def test_inventory_run_keeps_lost_entries(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("One sentence. Another one.")
+    url = f"file://{tmp_path}/a.txt"
+    entries = [("good.txt", url, None), ("size.txt", url, 4), ("none.txt", f"file://{tmp_path}/none", None), ("large.txt", url, 1 << 40)]
+    path = tmp_path / "inv.json"
+    path.write_text(json.dumps({"bucket": "b", "files": [{"key": k, "presigned_url": u, "size": n} for k, u, n in entries]}))
+    run = f"{tmp_path}/runs/" + pipeline.cli(["--inventory", str(path), "--out", str(tmp_path / "runs"), "--dimension", "8"])
+    got = {r["source_uri"]: r for r in artifacts.read_stage(spark, run, "ingested").collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"s3://b/good.txt": "succeeded", "s3://b/size.txt": "quarantined", "s3://b/none.txt": "quarantined", "s3://b/large.txt": "quarantined"}
+    assert {k: r["reasons"][0]["code"] for k, r in got.items() if r["reasons"]} == {"s3://b/size.txt": "download_size_mismatch", "s3://b/none.txt": "download_failed", "s3://b/large.txt": "download_too_large"}
+    assert "No such file" in got["s3://b/none.txt"]["reasons"][0]["message"]
+    m = spark.read.json(f"{run}/manifests/ingested").first()
+    assert (m["document_count"], m["succeeded_count"], m["other_count"]) == (4, 1, 3)
+    assert artifacts.read_stage(spark, run, "output").count() == 4
+
+
 def test_inventory(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"12345")
     entry = lambda k, **kw: {"key": k, "presigned_url": f"file://{tmp_path}/a.bin", **kw}
