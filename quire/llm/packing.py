@@ -2,7 +2,8 @@
 
 An item is a vector (tokens with its separator, one segment, loss-bearing tokens); a container limits all three at once. The open
 container takes the fitting item whose vector has the greatest dot product with the room left, dimensions weighted by how scarce they
-are; when none fits it is closed. Only items above the token capacity are split, into full pieces and a rest.
+are; when none fits it is closed. Only items above the token capacity or the loss limit are split, into full pieces and a rest (loss is
+spread evenly over an item's tokens).
 
 Where it runs: sizes are counted in Arrow batches, then only ids and sizes move. Items are spread by hash over shards of about
 ``shard_items``, whatever their source, and each shard is packed by itself; the items of poorly filled containers of all shards are
@@ -102,7 +103,7 @@ def _pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     first = pdf.iloc[0]
     limits = np.array([first["capacity"] + first["separator"], first["max_segments"], first["max_loss"]], dtype=np.int64)
     pdf = pdf.sort_values(["id", "piece"], kind="stable").reset_index(drop=True)
-    vectors = np.stack([pdf["size"] + pdf["separator"], np.ones(len(pdf), np.int64), np.minimum(pdf["loss"], limits[2])], axis=1).astype(np.int64)
+    vectors = np.stack([pdf["size"] + pdf["separator"], np.ones(len(pdf), np.int64), pdf["loss"]], axis=1).astype(np.int64)
     pdf["bin"] = pack_vectors(vectors, limits)
     filled = pdf.groupby("bin")["size"].transform("sum") + pdf.groupby("bin")["size"].transform("count") * pdf["separator"] - pdf["separator"]
     pdf["filled"] = filled
@@ -121,10 +122,11 @@ def pack(sizes: DataFrame, limits: list[dict], *, loss_share: float = 1.0, shard
     rows = [F.struct(F.lit(x["pack_id"]).alias("pack_id"), *[F.lit(int(x.get(k) or d)).cast("long").alias(k) for k, d in (("capacity", 0), ("separator", 0), ("max_segments", max(1, x["capacity"] // 4)), ("max_loss", x["capacity"]))]) for x in limits]
     loss = F.col("loss") if "loss" in sizes.columns else F.ceil(F.col("tokens") * loss_share)
     each = sizes.filter("tokens > 0").select("id", F.col("tokens").cast("long").alias("tokens"), loss.cast("long").alias("all_loss"), F.explode(F.array(*rows)).alias("l")).select("id", "tokens", "all_loss", "l.*")
-    pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("tokens") - 1) / F.col("capacity")).cast("int"))))
-    start = F.col("piece") * F.col("capacity")
-    size = F.least(F.col("capacity"), F.col("tokens") - start)
-    items = cut(pieces.select("pack_id", "capacity", "separator", "max_segments", "max_loss", "id", "piece", start.cast("long").alias("token_start"), size.alias("size"), F.least(size, F.ceil(F.col("all_loss") * size / F.col("tokens"))).cast("long").alias("loss")))
+    step = F.expr("case when all_loss > 0 then least(capacity, max_loss * tokens div least(all_loss, tokens)) else capacity end")  # tokens a piece
+    pieces = each.withColumn("step", step).withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("tokens") - 1) / F.col("step")).cast("int"))))
+    start = F.col("piece") * F.col("step")
+    size = F.least(F.col("step"), F.col("tokens") - start)
+    items = cut(pieces.select("pack_id", "capacity", "separator", "max_segments", "max_loss", "id", "piece", start.cast("long").alias("token_start"), size.alias("size"), F.least(size, F.expr("(least(all_loss, tokens) * least(step, tokens - piece * step) + tokens - 1) div tokens")).cast("long").alias("loss")))
     full = items.filter("size = capacity and loss <= max_loss").withColumns({"shard": F.concat_ws("/", F.lit("full"), "id", "piece"), "bin": F.lit(0).cast("long"), "filled": F.col("size")})
     packed = cut(_pack_sharded(items.filter("not (size = capacity and loss <= max_loss)"), "a", shard_items))
     poor = F.col("filled") < POOR_FILL * F.col("capacity")

@@ -27,6 +27,17 @@ def test_every_item_once_and_all_limits_hold(spark):
     assert b.container.nunique() <= 1.08 * np.ceil(b.tokens.sum() / 40)
 
 
+def test_loss_limit_splits_items(spark):
+    df = spark.createDataFrame([("a", 90, 90), ("b", 50, 20), ("c", 250, 100), ("d", 100, 45), ("e", 7, 0), ("f", 99, 98)], "id string, tokens long, loss long")
+    out = packing.pack(df, [{"pack_id": "x", "capacity": 100, "separator": 1, "max_loss": 30}]).toPandas()
+    of = {r["id"]: (r["tokens"], r["loss"]) for r in df.collect()}
+    assert out.groupby("id").tokens.sum().to_dict() == {i: n for i, (n, _) in of.items()}
+    out["loss"] = [t * of[i][1] / of[i][0] for i, t in zip(out.id, out.tokens)]
+    assert out.groupby("container").loss.sum().max() <= 30
+    assert sorted(out[out.id == "a"].tokens) == [30, 30, 30] and len(out[out.id == "b"]) == 1
+    assert not out.duplicated(["id", "token_start"]).any()
+
+
 def test_dot_product_balances_dimensions():
     vectors = np.array([[60, 1, 10]] * 10 + [[40, 1, 60]] * 10)
     bins = packing.pack_vectors(vectors, np.array([100, 8, 70]))
