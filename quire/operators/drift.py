@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 BLOCK = 4096
 RENAME, MOVE, BOTH, DELETE, INSERT = 1.0, 1.2, 1.6, 1.0, 1.0
 _SHAPES = [
@@ -397,3 +399,54 @@ def unified(df: DataFrame, group: str, seq: str, payload: str, block: int = BLOC
 
     joined = rows.join(script, "grp", "left").select("grp", "seq", "p", "projection")
     return joined.mapInArrow(run, "grp string, seq long, fields string").dropDuplicates(["grp", "seq"])
+
+
+def cast_value(v, kind: str) -> str | None:
+    """A value as text of the one type of its path: text itself for strings, else JSON."""
+    if v is None or kind == "string" and isinstance(v, str):
+        return v
+    return json.dumps(float(v) if kind == "number" else v, sort_keys=True, ensure_ascii=False)
+
+
+def table(df: DataFrame, group: str, seq: str, payload: str, block: int = BLOCK) -> DataFrame:
+    """Every readable file with every current path of its group: grp, seq, path, type, value; null where the file has no value.
+
+    A path has one type in all files of all groups: its own, number for integers and numbers, else string (a value of another type
+    is then its JSON text). A path that only ever was null is a string.
+    """
+    files = cut(unified(df, group, seq, payload, block))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple] = set()
+        for batch in batches:
+            for g, fields in zip(*(c.to_pylist() for c in batch.columns)):
+                found |= {(g, path, json_type(v)) for path, v in json.loads(fields).items()}
+            if len(found) > 50_000:
+                yield _columns(found, ("grp", "path", "type"))
+                found = set()
+        if found:
+            yield _columns(found, ("grp", "path", "type"))
+
+    def _columns(rows, names) -> pa.RecordBatch:
+        types = {"seq": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, zip(*rows))], names=list(names))
+
+    paths = cut(files.select("grp", "fields").mapInArrow(seen, "grp string, path string, type string").distinct())
+    kinds = F.collect_set("type")
+    number = (F.size(kinds) == 2) & F.array_contains(kinds, "integer") & F.array_contains(kinds, "number")
+    typed = paths.groupBy("path").agg(F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).when(number, "number").otherwise("string").alias("type"))
+    full = paths.select("grp", "path").distinct().join(typed, "path").groupBy("grp").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "type"))))).alias("types"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, cache = [], {}
+            for g, n, fields, types in zip(*(c.to_pylist() for c in batch.columns)):
+                here = json.loads(fields)
+                of = cache.get(types)
+                if of is None:
+                    of = cache[types] = json.loads(types)
+                out += [(g, n, path, kind, cast_value(here.get(path), kind)) for path, kind in of.items()]
+            if out:
+                yield _columns(out, ("grp", "seq", "path", "type", "value"))
+
+    return files.join(full, "grp").select("grp", "seq", "fields", "types").mapInArrow(fill, "grp string, seq long, path string, type string, value string")

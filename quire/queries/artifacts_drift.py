@@ -17,8 +17,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = drift.unified(read(spark, sf_dir, "artifact_files"), *_FILES)
-    return t.select(t.grp.alias("deployment"), t.seq.cast("int").alias("seq_no"), "fields")
+    """Every readable file with every current path of its deployment, in one type a path."""
+    t = drift.table(read(spark, sf_dir, "artifact_files"), *_FILES)
+    return t.select(t.grp.alias("deployment"), t.seq.cast("int").alias("seq_no"), "path", "type", "value")
 
 
 def p2_changes_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,12 @@ def test_unified_uses_current_names_and_keeps_every_file(spark):
     assert out == {0: {"a.key": "x1", "k": 1}, 1: {"a.key": "x2", "k": 2}, 2: {"a.key": "x3", "k": 3}, 3: {"a.key": "x4"}}
     empty = spark.createDataFrame([], "d string, n int, p string")
     assert drift.changes(empty, "d", "n", "p").count() == 0 and drift.unified(empty, "d", "n", "p").count() == 0
+
+
+def test_table_fills_and_casts_every_path(spark):
+    rows = [("g", 0, '{"id": "x1", "n": 1, "m": 1}'), ("g", 1, '{"id": "x2", "n": 2.5, "m": "two"}'), ("g", 2, '{"id": "x3", "m": [1], "z": null}'), ("g", 3, "{"), ("h", 0, '{"n": 4}')]
+    got = drift.table(spark.createDataFrame(rows, "d string, n int, p string"), "d", "n", "p").collect()
+    out = {(r["grp"], r["seq"], r["path"]): (r["type"], r["value"]) for r in got}
+    want = {"id": ("string", ["x1", "x2", "x3"]), "m": ("string", ["1", "two", "[1]"]), "n": ("number", ["1.0", "2.5", None]), "z": ("string", [None] * 3)}
+    assert len(got) == len(out) and out == {("g", i, p): (t, v[i]) for p, (t, v) in want.items() for i in range(3)} | {("h", 0, "n"): ("number", "4.0")}
+    assert drift.table(spark.createDataFrame([], "d string, n int, p string"), "d", "n", "p").count() == 0
