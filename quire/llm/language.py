@@ -8,21 +8,23 @@ language and confidence, the proportions give the document's.
 The n-gram models are fitted on a bounded sample of labelled texts (at most ``per_language`` a language, chosen by a hash of the id);
 wrong labels among them are smoothed out by their number. Everything else reads all texts, whole.
 
-Sentences: paragraphs are unwrapped (line-end hyphens joined) and cut at sentence ends; what stands in quotes or brackets within a
-paragraph is left out, so quoted phrases count for no language. A segment is a whole sentence if it has at least ``min_words`` words.
+Sentences: texts are cut at paragraphs and sentence ends, and unwrapped for scoring (line-end hyphens joined). What stands in quotes or
+brackets within a paragraph (at most 120 characters, longer is text of its own) belongs to its sentence and is no evidence of a
+language. A sentence is whole if it has at least ``min_words`` words of its own.
 
 Defined results: null, empty, blank and number-only texts have no running words: no language, no segment, no issue; ties go to the
-language named first; rows with a null id are ignored; repeated ids count once (any of the rows); an empty table gives an empty
-table; extra columns are ignored.
+language named first; rows with a null id are ignored; repeated ids count once (the latest version, if a version
+column is given, then the greatest label and parts); an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +59,36 @@ def label_code(label: Column) -> Column:
     return F.when(F.array_contains(none, low) | ~low.rlike(r"\p{L}"), "").otherwise(F.coalesce(F.try_element_at(known, head), head))
 
 
-def sentences(text: str) -> list[str]:
-    flat = _WRAP.sub("", _QUOTED.sub(" ", text))
-    return [s for p in _PARAGRAPH.split(flat) for s in _SENTENCE.split(p.replace("\n", " ")) if _LETTERS.search(s)]
+def _blank(m: re.Match) -> str:
+    return " " * (m.end() - m.start())
+
+
+def spans(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Sentences as they are scored, where each one's part of the text starts, and its letters.
+
+    Every part reaches to the start of the next, so that the parts are the whole text. What stands in quotes or brackets belongs to the
+    sentence around it: it counts among its letters, but only the sentence's own words are scored. A part without words of its own
+    belongs to the sentence before it (at the head of a text, to the one after it).
+    """
+    own = _QUOTED.sub(_blank, text)  # as long as the text, so places stay
+    cuts = sorted({0, len(text), *(m.end() for m in _PARAGRAPH.finditer(own)), *(m.end() for m in _SENTENCE.finditer(own))})
+    said: list[str] = []
+    starts: list[int] = []
+    letters: list[int] = []
+    early = 0
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        part = own[a:z]
+        n = sum(map(len, _LETTERS.findall(text[a:z])))
+        if _LETTERS.search(part):
+            said.append(_WRAP.sub("", part).replace("\n", " ").strip())
+            starts.append(a if starts else 0)
+            letters.append(n + early)
+            early = 0
+        elif letters:
+            letters[-1] += n
+        else:
+            early += n
+    return said, starts, letters
 
 
 def grams(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +115,7 @@ class Model:
         counts = np.zeros((BUCKETS, len(texts)))
         for k, some in enumerate(texts.values()):
             for t in some:
-                s = sentences(t or "")
+                s, _, _ = spans(t or "")
                 if s:
                     h, _ = grams(s)
                     counts[:, k] += np.bincount(h.ravel(), minlength=BUCKETS)
@@ -148,46 +177,61 @@ def train(docs: DataFrame, *, id: str, text: str, label: str, languages: list[st
     return Model(texts)
 
 
-SEGMENTS = "id string, code string, confidence double, proportion double, main boolean, whole_sentences int, chars long"
+def _arrow(kinds: dict[str, pa.DataType]) -> pa.DataType:
+    return pa.list_(pa.struct([pa.field(n, k) for n, k in kinds.items()]))
 
 
-def languages(docs: DataFrame, model: Model, *, id: str, text: str, label: str | None = None, min_words: int = 3) -> DataFrame:
-    """One row per document and language in it. main marks the language of most text; whole_sentences counts its whole sentences.
+PARTS = {"code": pa.string(), "confidence": pa.float64(), "proportion": pa.float64(), "main": pa.bool_(), "whole_sentences": pa.int32(), "chars": pa.int64()}
+SEGMENTS = {"segment": pa.int32(), "code": pa.string(), "confidence": pa.float64(), "sentences": pa.int32(), "char_start": pa.int32(), "char_end": pa.int32(), "text": pa.string()}
+_SQL = {"string": "string", "double": "double", "bool": "boolean", "int32": "int", "int64": "long"}
+
+
+def _parts(docs: DataFrame, held: Broadcast, work: Callable[[Model, str], list[tuple]], kinds: dict[str, pa.DataType], *, id: str, text: str, more: dict[str, Column], version: str | None) -> DataFrame:
+    """A row per document: id, more, parts (what work makes of its text). Of repeated ids the row of the latest version counts.
 
-    named is the code of the document's label, if a label column is given.
+    Texts are scored where they are read. Taking repeated ids together first would shuffle all texts, to save the few that are repeated.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    some = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), (F.col(version) if version else F.lit(None)).cast("string").alias("version"), *[c.alias(n) for n, c in more.items()])
+    some = some.filter(F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    names, kind = list(kinds), _arrow(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(i, *r, n) for i, t, n in zip(*(c.to_pylist() for c in b.columns)) for r in _document(held.value, t, min_words)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.int64(), pa.string()))], names=["id", "code", "confidence", "proportion", "main", "whole_sentences", "chars", "named"])
+            found = [[dict(zip(names, r)) for r in work(held.value, t)] for t in b.column("text").to_pylist()]
+            keep = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, kind)], names=[*keep, "parts"])
+
+    fields = ", ".join(f"{n}: {_SQL[str(k)]}" for n, k in kinds.items())
+    schema = "".join(f"{n} string, " for n in ("id", "version", *more)) + f"parts array<struct<{fields}>>"
+    one = some.mapInArrow(run, schema).filter(F.size("parts") > 0)
+    last = one.groupBy("id").agg(F.max(F.struct("version", *more, "parts")).alias("last"))
+    return last.select("id", *[F.col(f"last.{n}").alias(n) for n in more], F.explode("last.parts").alias("part")).select("id", *more, "part.*")
 
-    named = label_code(F.col(label)) if label else F.lit(None).cast("string")
-    found = _texts(docs, id, text, named).mapInArrow(run, SEGMENTS + ", named string").dropDuplicates(["id", "code"])
-    return found if label else found.drop("named")
 
+def languages(docs: DataFrame, model: Model, *, id: str, text: str, label: str | None = None, version: str | None = None, min_words: int = 3) -> DataFrame:
+    """One row per document and language in it. main marks the language of most text; whole_sentences counts its whole sentences.
 
-def _texts(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
-    return docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), *[c.alias("named") for c in more]).filter(F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    named is the code of the document's label, if a label column is given; of rows with the same id the one of the latest version counts.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+    more = {"named": label_code(F.col(label))} if label else {}
+    return _parts(docs, held, lambda m, t: _document(m, t, min_words), PARTS, id=id, text=text, more=more, version=version)
 
 
 def _assigned(model: Model, text: str):
-    s = sentences(text)
+    s, starts, letters = spans(text)
     if not s:
         return None
-    ll = model.likelihoods(s)
-    size = np.array([max(1, sum(map(len, _LETTERS.findall(x)))) for x in s], dtype=np.float64)
-    chosen, pi, r = decompose(ll, size)
-    return s, ll, size, chosen, pi, r
+    size = np.maximum(1, letters).astype(np.float64)
+    chosen, pi, r = decompose(model.likelihoods(s), size)
+    return s, starts, size, chosen, r
 
 
 def _document(model: Model, text: str, min_words: int) -> list[tuple]:
     got = _assigned(model, text)
     if got is None:
         return []
-    s, _, size, chosen, _, r = got
+    s, _, size, chosen, r = got
     of = r.argmax(axis=1)
     chars = np.array([size[of == k].sum() for k in range(len(chosen))])
     main = int(np.argmax(chars))
@@ -201,31 +245,41 @@ def _document(model: Model, text: str, min_words: int) -> list[tuple]:
     return out
 
 
-def segments(docs: DataFrame, model: Model, *, id: str, text: str) -> DataFrame:
-    """Runs of neighbouring sentences of one language: id, segment, code, confidence, sentences, text (unwrapped)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _runs(model: Model, text: str) -> list[tuple]:
+    got = _assigned(model, text)
+    if got is None:
+        return []
+    _, starts, size, chosen, r = got
+    of = r.argmax(axis=1)
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+    ends = [*starts[1:], len(text)]
+    out = []
+    for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
+        conf = float((r[a:z, of[a]] * size[a:z]).sum() / size[a:z].sum())
+        out.append((k, model.languages[chosen[of[a]]], round(conf, 6), z - a, starts[a], ends[z - 1], text[starts[a] : ends[z - 1]]))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = _assigned(held.value, t)
-                if got is None:
-                    continue
-                s, _, size, chosen, _, r = got
-                of = r.argmax(axis=1)
-                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(s)]
-                for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    conf = float((r[a:z, of[a]] * size[a:z]).sum() / size[a:z].sum())
-                    out.append((i, k, held.value.languages[chosen[of[a]]], round(conf, 6), z - a, " ".join(s[a:z])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string()))], names=["id", "segment", "code", "confidence", "sentences", "text"])
-
-    return _texts(docs, id, text).mapInArrow(run, "id string, segment int, code string, confidence double, sentences int, text string").dropDuplicates(["id", "segment"])
-
-
-def issues(docs: DataFrame, model: Model, *, id: str, text: str, label: str) -> DataFrame:
-    """id, issue (missing, wrong, mixed) and lang_code: the main language, for mixed each whole-sentence language besides it."""
-    found = languages(docs, model, id=id, text=text, label=label)
-    said = F.when(F.col("main") & (F.col("named") == ""), "missing").when(F.col("main") & (F.col("named") != F.col("code")), "wrong").when(~F.col("main") & (F.col("whole_sentences") > 0), "mixed")
-    return found.select("id", said.alias("issue"), F.col("code").alias("lang_code")).filter("issue is not null")
+
+def segments(docs: DataFrame, model: Model, *, id: str, text: str, version: str | None = None) -> DataFrame:
+    """Runs of neighbouring sentences of one language: id, segment, code, confidence, sentences, char_start, char_end, text.
+
+    Together the segments of a document are its whole text; char_end is the char_start of the next one.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return _parts(docs, held, _runs, SEGMENTS, id=id, text=text, more={}, version=version)
+
+
+def issues(docs: DataFrame, model: Model, *, id: str, text: str, label: str, version: str | None = None) -> DataFrame:
+    """id, issue and lang_code: missing and wrong with the main language; mixed, if a sentence of another language is whole, with every
+    language of a whole sentence, the main one included."""
+    found = languages(docs, model, id=id, text=text, label=label, version=version)
+    each = found.groupBy("id").agg(
+        F.max("named").alias("named"),
+        F.max(F.when(F.col("main"), F.col("code"))).alias("main"),
+        F.collect_list(F.when(F.col("whole_sentences") > 0, F.col("code"))).alias("whole"),  # as many as there are languages
+    )
+    said = F.when(F.col("named") == "", "missing").when(F.col("named") != F.col("main"), "wrong")
+    label_rows = F.filter(F.array(F.struct(said.alias("issue"), F.col("main").alias("lang_code"))), lambda x: x.issue.isNotNull())
+    other = F.exists("whole", lambda c: c != F.col("main"))
+    mixed = F.when(other, F.transform("whole", lambda c: F.struct(F.lit("mixed").alias("issue"), c.alias("lang_code")))).otherwise(F.array())
+    return each.select("id", F.inline(F.concat(label_rows, mixed)))

@@ -64,7 +64,7 @@ def _model(spark: SparkSession, sf_dir: str) -> language.Model:
     return language.train(read(spark, sf_dir, "documents"), id="doc_id", text="text", label="lang")
 
 
-_VIEWS = {"id": "source_object_id", "text": "main_text"}
+_VIEWS = {"id": "source_object_id", "text": "main_text", "version": "loaded_at"}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,27 @@ def test_issues_and_odd_rows(spark, model):
     rows = [("a", en, "English"), ("b", en, None), ("c", en, "de-AT"), ("d", en + " " + sentence(rnd, "de", 12), "en"), ("e", "12 34\n56", None), ("f", "", None), ("g", None, "xx"), (None, de, ""), ("h", de, " "), ("h", de, " "), ("i", (en + "\n\n") * 400, "fr")]
     df = spark.createDataFrame(rows, "id string, main string, code string")
     got = sorted(map(tuple, language.issues(df, model, id="id", text="main", label="code").collect()))
-    assert got == [("b", "missing", "en"), ("c", "wrong", "en"), ("d", "mixed", "de"), ("h", "missing", "de"), ("i", "wrong", "en")]
+    assert got == [("b", "missing", "en"), ("c", "wrong", "en"), ("d", "mixed", "de"), ("d", "mixed", "en"), ("h", "missing", "de"), ("i", "wrong", "en")]
     seg = language.segments(df, model, id="id", text="main").filter("id = 'd'").orderBy("segment").collect()
     assert [s["code"] for s in seg] == ["en", "de"] and all(0.5 < s["confidence"] <= 1 for s in seg)
+    assert "".join(s["text"] for s in seg) == rows[3][1] and [s["char_start"] for s in seg] == [0, seg[0]["char_end"]]
     assert language.issues(df.limit(0), model, id="id", text="main", label="code").count() == 0
+
+
+def test_segments_hold_the_whole_text(model):
+    rnd = random.Random(5)
+    for _ in range(60):
+        parts = [sentence(rnd, rnd.choice(["en", "de", "fr"])) for _ in range(6)]
+        parts.insert(rnd.randrange(7), rnd.choice(['("la casa")', "[12]", "12 34", "„das Haus“", "\n\n", "\f"]))
+        text = rnd.choice(["", "12. ", "(x) "]) + rnd.choice([" ", "\n\n"]).join(parts)
+        runs = language._runs(model, text)
+        assert "".join(r[6] for r in runs) == text and all(text[r[4] : r[5]] == r[6] for r in runs)
+        assert sum(r[5] for r in language._document(model, text, 3)) == sum(map(str.isalpha, text))
+
+
+def test_repeated_ids_take_the_latest_version(spark, model):
+    rnd = random.Random(7)
+    en, de = [" ".join(sentence(rnd, c) for _ in range(5)) for c in ("en", "de")]
+    df = spark.createDataFrame([("a", en, None, "2024-01-01"), ("a", de, None, "2024-01-02"), ("a", de, None, "2024-01-02")], "id string, main string, code string, version string")
+    got = [tuple(r) for r in language.issues(df, model, id="id", text="main", label="code", version="version").collect()]
+    assert got == [("a", "missing", "de")]
