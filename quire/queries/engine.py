@@ -271,19 +271,6 @@ def strip_audit(spark, sf_dir):
     return a.select("artifact_id", strip_fields_py(F.col("payload")).alias("payload"))
 
 
-def workbook_documents(spark, sf_dir):
-    from quire.operators import workbook
-
-    w = workbook.normalize(read(spark, sf_dir, "workbook_responses"), "response_id", "source_uri", "body")
-    return w.select("response_id", "document_id", "title", "tables", "items", "embeddings", "avgdl")
-
-
-def workbook_items(spark, sf_dir):
-    from quire.operators import workbook
-
-    return workbook.items(read(spark, sf_dir, "workbook_responses"), "response_id", "source_uri", "body").select("response_id", "item_index", "item_id", "type", "component_type", "n_embeddings", "dl")
-
-
 def document_search(spark, sf_dir):
     """Documents whose name, title or id holds a text, whatever its case."""
     d = documents.latest(_views(spark, sf_dir), "source_object_id", "loaded_at")
@@ -291,7 +278,7 @@ def document_search(spark, sf_dir):
     return d.filter(F.contains(hay, F.lit("table summary"))).select("source_object_id", "title")
 
 
-QUERIES = {f.__name__: f for f in (doc_ids, source_fields, route_by_extension, validation_reasons, quarantine_split, document_view, schema_inference, reading_order, page_bounds, figure_filter, source_refs, document_chunks, retrieval_items, retrieval_vectors, fixed_overlap_chunks, sentence_group_chunks, paragraph_chunks, recursive_chunks, term_frequency, corpus_stats, document_frequency, hash_embedding, vector_norms, token_estimate, chunk_quality, counts_by_type, embedding_texts, skip_existing, skipped_count, missing_documents, chunk_vectors, request_order, document_identity, markdown_rows, table_groups, html_table_shapes, table_guard, table_markdown, cell_normalize, json_props, component_boxes, stage_manifest, strip_audit, workbook_documents, workbook_items, document_search)}
+QUERIES = {f.__name__: f for f in (doc_ids, source_fields, route_by_extension, validation_reasons, quarantine_split, document_view, schema_inference, reading_order, page_bounds, figure_filter, source_refs, document_chunks, retrieval_items, retrieval_vectors, fixed_overlap_chunks, sentence_group_chunks, paragraph_chunks, recursive_chunks, term_frequency, corpus_stats, document_frequency, hash_embedding, vector_norms, token_estimate, chunk_quality, counts_by_type, embedding_texts, skip_existing, skipped_count, missing_documents, chunk_vectors, request_order, document_identity, markdown_rows, table_groups, html_table_shapes, table_guard, table_markdown, cell_normalize, json_props, component_boxes, stage_manifest, strip_audit, document_search)}
 
 _P = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY loaded_at DESC) AS rn FROM parsed_docs) WHERE rn = 1)"
 _O = "o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY loaded_at DESC) AS rn FROM data_objects) WHERE rn = 1)"

@@ -189,6 +189,26 @@ def test_workbook_responses(spark):
     n = {r["response_id"]: r for r in workbook.normalize(df, "id", "uri", "body").collect()}
     assert set(n) == {"0", "1"} and n["0"]["title"] == "N" and n["0"]["avgdl"] == 3.0 and n["0"]["embeddings"] == 1 and n["1"]["title"] == "b.xlsx"
     i = {(r["response_id"], r["item_index"]): r for r in workbook.items(df, "id", "uri", "body").collect()}
-    assert i["0", 0]["item_id"] == "7" and json.loads(i["0", 0]["embeddings"])[0] == {"model": "m", "dimension": 2, "values": [1, 2]}
+    assert i["0", 0]["item_id"] == "7" and i["0", 0]["embeddings"][0].asDict() == {"model": "m", "dimension": 2, "values": [1.0, 2.0], "extensions": None}
     assert i["1", 0]["item_id"] == "b.xlsx:S:0" and i["0", 0]["tf"] == {"1": 1, "x": 1, "y": 1}
     assert {r["response_id"] for r in workbook.invalid(df, "id", "uri", "body").collect()} == {"2", "3", "4"}
+
+
+def test_workbook_annotations_and_odd_shapes(spark):
+    import json
+
+    body = {
+        "structures": [{"workbook": "", "sheet": "S", "status": None, "structure": {"b": 1}, "odd": {"k": 1}, "none": None}, "{}", 3], "workbooks": [None, " ", "one", "two"], "answers": [{"a": 1}], "artifacts": "none", "trace": 1.5,
+        "retrieval": {"items": [{"item_id": 0, "id": "x", "type": "", "content": "bare", "table_name": "T 1", "embeddings": [None, {"values": None, "embedding": [1], "dimension": 0, "unit": "u"}, {"values": 3}]}, None], "scope": "all", "none": None},
+        "metadata_artifacts": [{"workbook": "two", "metadata": {"name": "N", "owner": "o"}, "note": 1}, {"workbook": "one", "metadata": {}}, 7],
+    }
+    df = spark.createDataFrame([("r", "u/one", json.dumps(body), "clash")] * 2 + [(None, "u", "{}", "")], "id string, uri string, body string, title string")
+    n = workbook.normalize(df, "id", "uri", "body").collect()
+    assert len(n) == 1 and n[0]["title"] == "one" and n[0]["tables"] == 1 and json.loads(n[0]["extensions"]) == {"trace": 1.5}
+    assert json.loads(n[0]["table_json"])[0]["workbook"] == "one" and json.loads(json.loads(n[0]["table_json"])[0]["extensions"]) == {"odd": {"k": 1}}
+    i = workbook.items(df, "id", "uri", "body").collect()
+    assert [(r["item_index"], r["item_id"], r["type"], json.loads(r["content"]), r["dl"]) for r in i] == [(0, "x", "table", {"table_name": "T 1"}, 2)]
+    assert [e.asDict() for e in i[0]["embeddings"]] == [{"model": None, "dimension": 1, "values": [1.0], "extensions": '{"unit":"u"}'}]
+    a = {(r["place"], r["key"]): r["value"] for r in workbook.annotations(df, "id", "uri", "body").collect()}
+    assert a == {("answers", "0"): '{"a":1}', ("extensions", "trace"): "1.5", ("extensions", "retrieval.scope"): '"all"', ("extensions", "additional_workbooks[0]"): '" "', ("extensions", "additional_workbooks[1]"): '"one"', ("extensions", "additional_workbooks[2]"): '"two"', ("workbook_metadata[two]", "metadata.owner"): '"o"', ("workbook_metadata[two]", "note"): "1"}
+    assert workbook.items(df.limit(0), "id", "uri", "body").count() == 0
