@@ -14,16 +14,10 @@ EMBEDDING_REPORT, QUALITY_REPORT = "embedding-report-v1", "chunk-embed-quality-v
 
 
 def items(chunks: DataFrame) -> DataFrame:
-    """Retrieval items of document_chunks(): type, position, content, caption and term statistics.
-
-    position_index counts the text chunks of a document in emission order (main text and formulas share it); for tables and figures
-    it is the number of the field. Only ids go through the counting window, texts are joined to it by chunk id within the same row.
-    """
+    """Retrieval items of document_chunks(): type, position, content, caption and term statistics."""
     kind = chunking.retrieval_type(F.col("chunk_type"))
-    w = W.partitionBy("doc_id", "chunk_type").orderBy("route", "field_index", "piece")
-    place = F.when(F.col("chunk_type") == "text_chunk", F.row_number().over(w) - 1).otherwise(F.col("field_index"))
     body = F.when(kind == "text_chunk", F.col("content")).otherwise(F.concat_ws("\n", F.when(~X.blank(F.col("content")), F.col("content")), F.when(~X.blank(F.col("caption")), F.col("caption"))))
-    return chunks.select(F.col("chunk_id").alias("record_id"), F.col("doc_id").alias("source_object_id"), kind.alias("retrieval_type"), F.replace(kind, F.lit("text_chunk"), F.lit("text")).alias("item_type"), "component_type", "field_path", place.cast("int").alias("position_index"), "start", "end", "config_hash", "content", "caption", lexical.payload(body).alias("lexical"))
+    return chunks.select(F.col("chunk_id").alias("record_id"), F.col("doc_id").alias("source_object_id"), kind.alias("retrieval_type"), F.replace(kind, F.lit("text_chunk"), F.lit("text")).alias("item_type"), "component_type", "field_path", "position_index", "start", "end", "config_hash", "content", "caption", lexical.payload(body).alias("lexical"))
 
 
 def vectors(chunks: DataFrame, embedder) -> DataFrame:

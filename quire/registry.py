@@ -5,15 +5,30 @@ from __future__ import annotations
 import importlib
 import pkgutil
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Any
 
+
+@dataclass
+class Unit:
+    """A piece that a chunker makes in place of a span: its own text, and its place in a tree of units, by their numbers."""
+
+    start: int
+    end: int
+    text: str
+    level: int = 0
+    parent: int | None = None
+    children: list[int] = field(default_factory=list)
+    chunk_type: str | None = None
+
+
 _CHUNKERS: dict[str, dict[str, Any]] = {}
 _ALIASES: dict[str, str] = {}
 _EMBEDDERS: dict[str, type] = {}
 
 
 def chunker(name: str, *, needs: tuple[str, ...] = (), aliases: tuple[str, ...] = ()) -> Callable:
-    """Registers f(text, **params) -> [(start, end)]; a name or alias in use is an error."""
+    """Registers f(text, **params) -> [(start, end)] or [Unit]; with needs it is called with resources=. A name or alias in use is an error."""
 
     def add(f: Callable) -> Callable:
         for n in (name, *aliases):

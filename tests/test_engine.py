@@ -75,10 +75,23 @@ def test_document_chunks_and_items(spark):
     assert retrieval.quality(c.limit(0)).count() <= 1
 
 
-def test_units_resolve_parents(spark):
-    u = spark.createDataFrame([("d", "f", 0, 0, 9, None, [1, 2]), ("d", "f", 1, 0, 4, 0, []), ("d", "f", 2, 5, 9, 0, [])], "doc_id string, field_path string, unit int, start int, end int, parent int, children array<int>")
-    r = {x["unit"]: x for x in chunking.unit_chunks(u).collect()}
-    assert r[1]["parent_id"] == r[0]["chunk_id"] and r[0]["child_ids"] == [r[1]["chunk_id"], r[2]["chunk_id"]] and r[2]["child_ids"] == []
+def test_units_and_resources(spark):
+    from quire import registry
+
+    @registry.chunker("halves_of_test", needs=("size",))
+    def halves(text, resources, sep="|"):
+        a, _, b = text.partition(sep)
+        n = resources["size"]
+        return [registry.Unit(0, len(text), text[:n], 0, None, [1, 2, 9]), registry.Unit(0, len(a), a, 1, 0), registry.Unit(len(a) + 1, len(text), b, 1, 0, [], "half_chunk")]
+
+    config = ChunkEmbedConfig(chunker="halves_of_test", chunker_params={"sep": "|"})
+    one = docs(spark).limit(1).withColumn("main_text", F.lit("ab|c"))
+    with pytest.raises(RuntimeError):
+        chunking.document_chunks(one, config)
+    c = {x["unit"]: x for x in chunking.document_chunks(one, config, {"size": 3}).filter("route = 0").collect()}
+    assert c[1]["parent_id"] == c[0]["chunk_id"] and c[0]["child_ids"] == [c[1]["chunk_id"], c[2]["chunk_id"]] and c[2]["child_ids"] == [] and c[0]["parent_id"] is None
+    assert (c[0]["content"], c[2]["content"], c[2]["level"], c[2]["chunk_type"], c[0]["chunk_type"]) == ("ab|", "c", 1, "half_chunk", "text_chunk")
+    assert len({x["chunk_id"] for x in c.values()}) == 3
 
 
 EX = "struct<document_type:string,language:string,title:string,main_text:string,tables:array<string>,figures:array<string>,formulas:array<string>>"

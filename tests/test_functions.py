@@ -39,8 +39,11 @@ def one(spark, value, f, kind="string"):
         (text.s3_key, "s3://b/k?x", None),
         (text.table_html, "a <TABLE x><tr></tr></table> b <table></table>", "<TABLE x><tr></tr></table>"),
         (text.html_text_py, "<p>a &amp; b</p><script>c</script>", "a & b c"),
-        (text.sanitize_html_py, "<p onclick=x>a<script>b</script><td colspan=2>c&lt;</td>", '<p>a<td colspan="2">c&lt;</td>'),
+        (text.sanitize_html_py, "<p onclick=x>a<script>b</script><td colspan=2>c&lt;</td>", "<p>ab<td colspan='2'>c&lt;</td>"),
+        (text.sanitize_html_py, "<A HREF='x>y'>l</A><!-- no --><x>&amp;<br/></br><td rowspan=2px colspan='3'>\"", "<a>l</a>&amp;<br><td colspan='3'>&quot;"),
         (text.casefold_py, "Ǆ’", "ǆ'"),
+        (text.fold, "ﬁn Σίσυφοςs’ e\u0301 ſ µ", "fin σίσυφοσs' é s μ"),
+        (text.fold, "STRASSE Straße’", "strasse strasse'"),
         (lambda c: text.portable_path(c, "/root/"), "/root/a/b", "a/b"),
     ],
 )
@@ -79,7 +82,9 @@ def test_tables_and_cells(spark):
     rows = [[""], ["a", ""], [None], ["b"], ["", " "]]
     assert [(r["row"], r["cells"]) for r in one(spark, rows, cells.trim_outer_rows, "array<array<string>>")] == [(2, ["a", ""]), (3, [None]), (4, ["b"])]
     assert text.table_shape("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td colspan=2>c</td></tr></table>") == (2, 3)
-    assert text.table_shape("<p>no</p>") is None
+    assert text.table_shape("<p>no</p>") is None and text.table_shape(None) is None
+    assert text.table_shape('<TABLE><thead><tr><th COLSPAN="3">a</th></tr></thead><tr><td rowspan="9">b<td><table><tr><td>x<td>y<td>z</table></td><!-- <td> --></tr><tr></tr></TABLE>') == (3, 3)
+    assert text.table_shape("<table><tr><td>a</td></tr><tr><td rowspan=2>b</td></tr><tr><td>c</td><td>d</td></tr></table>") == (3, 3)
     for v, kind, want in ((True, T.BooleanType(), "true"), (3.0, T.DoubleType(), "3"), (2.5, T.DoubleType(), "2.5"), (None, T.StringType(), "")):
         df = spark.createDataFrame([(v,)], T.StructType([T.StructField("x", kind)]))
         assert df.select(cells.cell(F.col("x"), kind)).first()[0] == want
