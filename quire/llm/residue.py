@@ -8,7 +8,7 @@ such things (which hold much else) are none. Texts are read in two kinds of toke
 - words, over windows of one and two units (lines, then sentences). Of a dummy passage, which is longer than a window, any part is
   residue: there the window must be contained in the exemplar.
 - shapes, for exemplars that are a form with a name in it (slots such as ``{{ name }}``, lines of a stack trace): signs and the letter
-  class of the names between them, two neighbours a token, over windows as long as the exemplar. Code blocks and backticks are
+  class of the names between them, two neighbours a token, over windows as long as the exemplar within a unit. Code blocks and backticks are
   examples of syntax and are left out.
 
 Weights come from document frequencies over all texts, of words and shapes alike: exact for the exemplars' tokens, in a table of
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error_page", "script_notice"
 CONTAINMENT, COVERAGE, DUMMY_COVERAGE, DUMMY_TOKENS = 0.8, 0.55, 0.9, 3
 BUCKETS = 1 << 16
+LEAST_SHARE = 1e-4  # of the texts: rarer tokens weigh no more, so that weights do not grow with the corpus
 
 #: Labelled exemplar lines.
 PHRASES = {
@@ -95,6 +96,22 @@ We could not find that document
 The page has moved or was deleted
 This link seems to be broken
 Page not found
+Oops, that page can't be found
+This page does not exist
+This page is no longer available
+The link you followed may be broken or the page may have been removed
+The file could not be found
+The connection has timed out
+The server took too long to respond
+Our website is undergoing scheduled maintenance
+We are down for maintenance and will be back shortly
+Database connection failed
+Could not connect to the database
+Login required
+Sign in to continue
+You must be logged in to view this page
+Your session has timed out, please log in again
+Too many requests, please slow down
 Fatal error Uncaught exception
 Fatal error Uncaught exception thrown in on line #
 Uncaught exception
@@ -122,6 +139,10 @@ Es ist ein Fehler aufgetreten
 Bitte versuchen Sie es später erneut
 Der Server antwortet nicht
 Der Vorgang wurde abgebrochen
+Diese Seite existiert nicht mehr oder wurde verschoben
+Sie haben keine Berechtigung, diese Seite anzuzeigen
+Wegen Wartungsarbeiten vorübergehend nicht erreichbar
+Keine Verbindung zur Datenbank
 Erreur # le serveur ne répond pas
 Service momentanément indisponible
 Réessayez dans quelques instants
@@ -132,6 +153,12 @@ Page introuvable
 Une erreur est survenue
 Veuillez réessayer plus tard
 Veuillez vous reconnecter
+La page demandée est introuvable
+La page que vous cherchez n'existe pas
+Vous n'êtes pas autorisé à accéder à cette page
+Le serveur ne répond pas
+Erreur interne du serveur
+Site en maintenance
 Acceso denegado
 Inicie sesión de nuevo
 No se ha podido encontrar la página solicitada
@@ -141,6 +168,12 @@ El servidor no responde
 Inténtelo de nuevo más tarde
 Página no encontrada
 Su sesión ha caducado
+La página solicitada no existe
+La página solicitada no existe o se ha movido
+No tiene permiso para ver esta página
+Error interno del servidor
+Se ha producido un error
+Sitio en mantenimiento
 Acesso negado
 Acesso recusado
 Inicie sessão novamente
@@ -153,6 +186,11 @@ Serviço temporariamente indisponível
 O servidor não responde
 A sessão expirou
 Volte a iniciar sessão
+A página que procura não existe ou foi movida
+Não tem permissão para ver esta página
+Erro interno do servidor
+Ocorreu um erro
+Site em manutenção
 """,
     SCRIPT: """
 Please enable JavaScript
@@ -179,20 +217,32 @@ Scripts are disabled
 If nothing appears, your browser may not support or permit scripts
 Your browser blocks the script that loads this page
 Your browser does not support JavaScript
+Your browser does not support scripts or they are blocked
+It looks like JavaScript is turned off in your browser settings
+This site works only with scripts enabled
 This viewer does not work without scripts
 Checking your browser before accessing
+Bitte aktivieren Sie JavaScript
 Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen
+JavaScript ist in Ihrem Browser deaktiviert
 Diese Seite benötigt JavaScript
 Ohne Skripte kann der Inhalt nicht geladen werden
 Bitte Skripte zulassen
+Veuillez activer JavaScript
 Veuillez activer JavaScript pour afficher cette page
+JavaScript est désactivé dans votre navigateur
 Cette page nécessite JavaScript
 Votre navigateur bloque les scripts
 Votre navigateur bloque les scripts nécessaires à l'affichage du texte
+Active JavaScript en su navegador
 Active JavaScript en su navegador para ver el contenido
+JavaScript está desactivado en su navegador
+Habilite JavaScript para ver esta página
 Esta página requiere JavaScript
 Actívelo y vuelva a cargarla
+Ative o JavaScript no navegador
 Ative o JavaScript no navegador para ler este documento
+O JavaScript está desativado no seu navegador
 Esta página precisa de JavaScript
 Active o JavaScript para ver o conteúdo
 Os scripts estão bloqueados
@@ -236,7 +286,7 @@ def _slots() -> list[str]:
 
 
 #: Labelled exemplar shapes.
-SHAPES = {PLACEHOLDER: _slots(), ERROR: ["at com.example.Main.main(Main.java:12)", 'File "main.py", line 12, in main', 'File "main.py", line 12, in <module>']}
+SHAPES = {PLACEHOLDER: _slots(), ERROR: ["at com.example.Main.main(Main.java:12)", 'File "main.py", line 12, in main', 'File "main.py", line 12, in <module>', 'File "lib/main.py", line 12, in main']}
 
 _CODE = re.compile(r"(```|~~~).*?\1|(`+)(?!`)[^`\n]+?\2(?!`)", re.S)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
@@ -303,7 +353,7 @@ def _name(run: str, before: str) -> list[str]:
 
 
 def shapes(line: str) -> list[str]:
-    """Shingles of two neighbours among the signs and names of a line. A sign before a name says whether it is set apart from what is around it."""
+    """Shingles of two neighbours among the signs and names of a unit. A sign before a name says whether it is set apart from what is around it."""
     if "XX" in line or "_" in line:
         for affix, sign in _AFFIXES:
             line = affix.sub(sign, line)
@@ -322,8 +372,8 @@ def shapes(line: str) -> list[str]:
     return [f"{x[0]}\0{y[1]}" for x, y in zip(parts, parts[1:])]
 
 
-def _shaped_lines(text: str) -> list[list[str]]:
-    return [s for line in text.split("\n") if _TRIGGER.search(line) and (s := shapes(line))]
+def _shaped(text: str) -> list[list[str]]:
+    return [s for unit in _UNIT.split(text) if _TRIGGER.search(unit) and (s := shapes(unit))]
 
 
 class Weights(dict):
@@ -335,7 +385,7 @@ class Weights(dict):
 
     @staticmethod
     def idf(n: int, n_docs: int) -> float:
-        return math.log((n_docs + 1) / (min(n, n_docs) + 1)) + 0.1
+        return math.log((n_docs + 1) / (min(max(n, LEAST_SHARE * n_docs), n_docs) + 1)) + 0.1
 
     def __missing__(self, t: str) -> float:
         if len(self) > 500_000:
@@ -356,11 +406,11 @@ class Exemplars:
         self.held = [(sort, Counter(toks), toks, dummy) for sort, toks, dummy in labelled if toks]
         self.total = [sum(n * weights[t] for t, n in c.items()) for _, c, _, _ in self.held]
         # A window that holds CONTAINMENT of an exemplar holds one of its heaviest tokens, as soon as these weigh more than the rest may miss.
-        # Of a dummy passage any token may be the one that is held.
+        # Of a dummy passage a window must hold one of the heavier tokens (at least half as heavy as they are on average).
         self.index: dict[str, list[int]] = {}
         for k, (_, c, _, dummy) in enumerate(self.held):
             left = (1 - CONTAINMENT) * self.total[k]
-            for t in sorted(c, key=lambda t: (-c[t] * weights[t], t)):
+            for t in sorted(c, key=lambda t: (-c[t] * weights[t], t)) if not dummy else (t for t in c if weights[t] >= self.total[k] / sum(c.values()) / 2):
                 self.index.setdefault(t, []).append(k)
                 left -= c[t] * weights[t]
                 if left < -1e-9 and not dummy:
@@ -421,7 +471,7 @@ class Detector:
         found: set[str] = set()
         text = without_code(text)
         if _TRIGGER.search(text):
-            for line in _shaped_lines(text):
+            for line in _shaped(text):
                 self.forms.judge_aligned(line, found)
         written = set(text.lower().split())
         if self.words.anchors.isdisjoint(chain.from_iterable(map(_words.__getitem__, written))):
@@ -461,7 +511,7 @@ def frequencies(docs: DataFrame, names: set[str]) -> tuple[dict[str, int], np.nd
                 text = without_code(text)
                 seen.update(set(chain.from_iterable(map(_words.__getitem__, set(text.lower().split())))))
                 if _TRIGGER.search(text):
-                    seen.update(set(chain.from_iterable(_shaped_lines(text))))
+                    seen.update(set(chain.from_iterable(_shaped(text))))
             if len(seen) > 300_000:
                 settle()
         settle()
