@@ -2,8 +2,8 @@
 
 An item is a vector (tokens with its separator, one segment, loss-bearing tokens); a container limits all three at once. The open
 container takes the fitting item whose vector has the greatest dot product with the room left, dimensions weighted by how scarce they
-are; when none fits it is closed. Only items above the token capacity or the loss limit are split, into full pieces and a rest (loss is
-spread evenly over an item's tokens).
+are; when none fits it is closed. Only items above the token capacity or the loss limit, which no container can take whole, are split,
+into full pieces and a rest (loss is spread evenly over an item's tokens).
 
 Where it runs: sizes are counted in Arrow batches, then only ids and sizes move. Items are spread by hash over shards of about
 ``shard_items``, whatever their source, and each shard is packed by itself; the items of poorly filled containers of all shards are
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,17 +47,47 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+_SLICE = 100_000
+_SAFE = re.compile(r"(?<=\S) (?=[^\W\d_])")  # no token of the pattern goes over such a place
+
+
+def count_tokens(encode: Callable[[str], list[int]], text: str) -> int:
+    """Tokens of a text, whole. Long texts are encoded in slices that end where a token ends in any case, so the count is the same."""
+    n, a = 0, 0
+    while len(text) - a > 2 * _SLICE:
+        m = _SAFE.search(text, a + _SLICE)
+        if not m:
+            break
+        n += len(encode(text[a : m.start()]))
+        a = m.start()
+    return n + len(encode(text[a:]))
+
+
+def prompt_length(text: str) -> int:
+    """Characters of the prompt of an instruction example: its first paragraph, if others follow."""
+    m = _PARAGRAPH.search(text)
+    return m.end() if m and text[m.end() :].strip() else 0
+
+
+_PARAGRAPH = re.compile(r"(?<=\S)\s*\n\s*\n\s*")
+
+
 def token_counts(docs: DataFrame, id: str, text: str, path: str) -> DataFrame:
-    """id and number of tokens of each text, whole. Runs of one character are encoded in slices of 100,000 to bound the merge."""
+    """id, number of tokens of each text, and how many of them bear loss: those after its prompt (see prompt_length), or without a
+    prompt all but the first, which nothing comes before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_ordinary
         for b in batches:
-            n = [sum(len(encode(t[i : i + 100_000])) for i in range(0, len(t), 100_000)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["id", "tokens"])
+            n, loss = [], []
+            for t in b.column(1).to_pylist():
+                n.append(count_tokens(encode, t))
+                head = prompt_length(t)
+                loss.append(max(0, n[-1] - (count_tokens(encode, t[:head]) if head else 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["id", "tokens", "loss"])
 
     some = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).filter("id is not null and length(text) > 0")
-    return some.mapInArrow(run, "id string, tokens long")
+    return some.mapInArrow(run, "id string, tokens long, loss long")
 
 
 def pack_vectors(vectors: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -114,12 +145,15 @@ _ITEM = "pack_id string, capacity long, separator long, max_segments long, max_l
 
 
 def pack(sizes: DataFrame, limits: list[dict], *, loss_share: float = 1.0, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Containers for every limit: pack_id, container, id, piece, token_start, tokens, filled.
+    """Containers for every limit: pack_id, container, id, piece, token_start, tokens, loss, filled.
 
-    sizes: id, tokens and optionally loss. limits: pack_id, capacity, separator and optionally max_segments, max_loss; a list that
-    the caller holds, one entry a packing. A separator stands between neighbours, so n items need their sizes and n - 1 separators.
+    sizes: id, tokens and optionally loss. limits: pack_id, capacity, separator and optionally max_segments, max_loss (not given:
+    no limit); a list that the caller holds, one entry a packing. A limit under one is an error. A separator stands between neighbours, so n items need their sizes and n - 1 separators.
     """
-    rows = [F.struct(F.lit(x["pack_id"]).alias("pack_id"), *[F.lit(int(x.get(k) or d)).cast("long").alias(k) for k, d in (("capacity", 0), ("separator", 0), ("max_segments", max(1, x["capacity"] // 4)), ("max_loss", x["capacity"]))]) for x in limits]
+    for x in limits:
+        if min(x[k] for k in ("capacity", "max_segments", "max_loss") if x.get(k) is not None) < 1:
+            raise ValueError(f"a limit of packing {x['pack_id']!r} leaves no room")
+    rows = [F.struct(F.lit(x["pack_id"]).alias("pack_id"), *[F.lit(int(d if x.get(k) is None else x[k])).cast("long").alias(k) for k, d in (("capacity", 0), ("separator", 0), ("max_segments", x["capacity"]), ("max_loss", x["capacity"]))]) for x in limits]
     loss = F.col("loss") if "loss" in sizes.columns else F.ceil(F.col("tokens") * loss_share)
     each = sizes.filter("tokens > 0").select("id", F.col("tokens").cast("long").alias("tokens"), loss.cast("long").alias("all_loss"), F.explode(F.array(*rows)).alias("l")).select("id", "tokens", "all_loss", "l.*")
     step = F.expr("case when all_loss > 0 then least(capacity, max_loss * tokens div least(all_loss, tokens)) else capacity end")  # tokens a piece
@@ -132,7 +166,7 @@ def pack(sizes: DataFrame, limits: list[dict], *, loss_share: float = 1.0, shard
     poor = F.col("filled") < POOR_FILL * F.col("capacity")
     again = _pack_sharded(packed.filter(poor).drop("shard", "bin", "filled"), "b", shard_items)
     done = full.select(*packed.columns).unionByName(packed.filter(~poor)).unionByName(again)
-    return done.select("pack_id", "capacity", F.concat_ws("/", "shard", "bin").alias("container"), "id", "piece", "token_start", F.col("size").alias("tokens"), "filled")
+    return done.select("pack_id", "capacity", F.concat_ws("/", "shard", "bin").alias("container"), "id", "piece", "token_start", F.col("size").alias("tokens"), "loss", "filled")
 
 
 def _pack_sharded(items: DataFrame, stage: str, shard_items: int) -> DataFrame:

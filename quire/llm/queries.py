@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import language, leakage, packing, residue, scannoise, similar, splitting
-from quire.session import read
+from quire.session import cut, read
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,22 +44,57 @@ def _limits(spark: SparkSession, sf_dir: str) -> list[dict]:
     return [{"pack_id": r["pack_id"], "capacity": r["capacity_tokens"], "separator": r["separator_tokens"]} for r in rows]
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = packing.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text", f"{packing.TOKENIZERS}/{packing.VOCABULARY}")
-    return packing.pack(sizes.withColumn("loss", F.col("tokens") - 1), _limits(spark, sf_dir))  # the first token has no context to be predicted from
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text", f"{packing.TOKENIZERS}/{packing.VOCABULARY}")
+
+
+#: Of the instruction packings: segments for each 128 tokens of capacity, and the share of the capacity that may bear loss.
+SEGMENT_TOKENS, LOSS_SHARE = 128, 0.8
+
+
+def _instruction_limits(spark: SparkSession, sf_dir: str) -> list[dict]:
+    return [{**x, "max_segments": max(2, x["capacity"] // SEGMENT_TOKENS), "max_loss": int(LOSS_SHARE * x["capacity"])} for x in _limits(spark, sf_dir)]
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item with its container."""
-    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+    """Every text with its container, under the limits of pack_limits, which are of tokens alone."""
+    return packing.pack(_sizes(spark, sf_dir), _limits(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def p8_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as instruction examples (the first paragraph is the prompt and bears no loss), under limits of tokens, segments and loss."""
+    return packing.pack(_sizes(spark, sf_dir), _instruction_limits(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each packing, the containers used and the fewest that could hold all tokens."""
-    p = _packed(spark, sf_dir).groupBy("pack_id", "capacity", "container").agg(F.sum("tokens").alias("t"))
+    p = p8_containers(spark, sf_dir).groupBy("pack_id", "capacity", "container").agg(F.sum("tokens").alias("t"))
     return p.groupBy("pack_id").agg(F.count("*").alias("containers"), F.ceil(F.sum("t") / F.first("capacity")).alias("at_least"), F.round(F.sum("t") / F.sum("capacity"), 4).alias("fill"))
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of both packings: all texts placed, with all their tokens and once; only those split that fit no container; no limit broken; little room unused."""
+    sizes = cut(_sizes(spark, sf_dir))
+    out = None
+    for name, limits, least in (("tokens", _limits(spark, sf_dir), 0.98), ("instructions", _instruction_limits(spark, sf_dir), 0.9)):
+        p = cut(packing.pack(sizes, limits))
+        most = spark.createDataFrame([(x["pack_id"], x["separator"], x.get("max_segments", x["capacity"]), x.get("max_loss", x["capacity"])) for x in limits], "pack_id string, separator long, max_segments long, max_loss long")
+        own = p.groupBy("pack_id", "id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("pieces"), F.count_distinct("token_start").alias("starts"), F.first("capacity").alias("capacity")).join(sizes, "id").join(F.broadcast(most), "pack_id")  # a row a packing
+        texts = own.groupBy("pack_id").agg(
+            F.count("*").alias("texts"), F.count_if(F.col("placed") != F.col("tokens")).alias("incomplete"), F.count_if(F.col("starts") != F.col("pieces")).alias("repeated"),
+            F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity")) & (F.col("loss") <= F.col("max_loss"))).alias("split_in_vain"),
+        )
+        c = p.groupBy("pack_id", "capacity", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.sum("loss").alias("l")).join(F.broadcast(most), "pack_id")
+        full = F.greatest(F.col("t") / F.col("capacity"), F.col("n") / F.col("max_segments"), F.col("l") / F.col("max_loss"))
+        boxes = c.groupBy("pack_id").agg(
+            F.count_if(F.col("t") + (F.col("n") - 1) * F.col("separator") > F.col("capacity")).alias("over_tokens"), F.count_if(F.col("n") > F.col("max_segments")).alias("over_segments"), F.count_if(F.col("l") > F.col("max_loss")).alias("over_loss"),
+            (F.avg(full) >= least).alias("well_filled"),
+        )
+        one = texts.join(boxes, "pack_id").withColumn("packing", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _model(spark: SparkSession, sf_dir: str) -> language.Model:
     return language.train(read(spark, sf_dir, "documents"), id="doc_id", text="text", label="lang")
 
@@ -112,11 +147,12 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_repaired": p1_repaired,
-    "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_containers": p8_containers, "p8_instructions": p8_instructions, "p8_fill": p8_fill, "p8_check": p8_check,
     "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_clean": p10_clean,
 }
 
 SQL = {
+    "p8_check": "SELECT packing, pack_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0) AS texts, 0 AS incomplete, 0 AS repeated, 0 AS split_in_vain, 0 AS over_tokens, 0 AS over_segments, 0 AS over_loss, true AS well_filled FROM pack_limits, (VALUES ('tokens'), ('instructions')) AS v(packing)",
     "p6_found": r"""
 WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, chunk_type, text, max_rows_per_chunk, max_chars FROM chunks JOIN chunk_configs USING (config_hash) WHERE text IS NOT NULL ORDER BY chunk_id),
 l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS lines, string_split(regexp_replace(text, '<[tT][rR]\b', chr(1), 'g'), chr(1)) AS parts FROM c),

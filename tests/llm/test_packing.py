@@ -38,6 +38,27 @@ def test_loss_limit_splits_items(spark):
     assert not out.duplicated(["id", "token_start"]).any()
 
 
+def test_all_three_limits_bind(spark):
+    """Short examples fill the segments, answers the loss, long prompts the tokens; a limit of nought is refused, not replaced."""
+    rnd = random.Random(4)
+    rows = [(f"s{i}", 5, 2) for i in range(300)] + [(f"a{i}", rnd.randint(20, 40), 0) for i in range(100)] + [(f"l{i}", 45, 44) for i in range(100)]
+    rows = [(i, n, n - 1 if i[0] == "a" else k) for i, n, k in rows] + [(f"p{i}", 60, 3) for i in range(60)]
+    limit = {"pack_id": "x", "capacity": 100, "separator": 1, "max_segments": 4, "max_loss": 60}
+    out = packing.pack(spark.createDataFrame(rows, "id string, tokens long, loss long"), [limit]).toPandas()
+    g = out.groupby("container").agg(t=("tokens", "sum"), n=("id", "count"), l=("loss", "sum"))
+    assert (g.t + g.n - 1 <= 100).all() and (g.n <= 4).all() and (g.l <= 60).all()
+    assert (g.n == 4).sum() > 20 and (g.l >= 57).sum() > 10 and (g.t + g.n - 1 >= 97).sum() > 5
+    assert out.groupby("id").loss.sum().to_dict() == {i: k for i, _, k in rows}
+    for bad in ({"max_loss": 0}, {"max_segments": 0}):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame(rows, "id string, tokens long, loss long"), [{**limit, **bad}])
+
+
+def test_prompts():
+    assert packing.prompt_length("Ask this.\n \n Answer.") == len("Ask this.\n \n ") and packing.prompt_length("No prompt\nhere") == 0
+    assert packing.prompt_length("Only a head.\n\n  ") == 0 and packing.prompt_length("\n\nx") == 0
+
+
 def test_dot_product_balances_dimensions():
     vectors = np.array([[60, 1, 10]] * 10 + [[40, 1, 60]] * 10)
     bins = packing.pack_vectors(vectors, np.array([100, 8, 70]))
@@ -57,3 +78,11 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "a" * 250_000), (None, "x")], "k long, text string")
     n = {r["id"]: r["tokens"] for r in packing.token_counts(df, "k", "text", path).collect()}
     assert n["1"] == 2 and set(n) == {"1", "4"}
+
+
+@pytest.mark.skipif(not os.path.exists(f"{packing.TOKENIZERS}/{packing.VOCABULARY}"), reason="no tokenizer files")
+def test_long_texts_count_as_a_whole():
+    encode = packing.tokenizer(f"{packing.TOKENIZERS}/{packing.VOCABULARY}").encode_ordinary
+    rnd = random.Random(2)
+    text = "".join(rnd.choice(["word ", "don't ", "  ", "\n\n", "naïve, ", "12345 ", "...", "x"]) for _ in range(150_000))
+    assert len(text) > 3 * packing._SLICE and packing.count_tokens(encode, text) == len(encode(text))
