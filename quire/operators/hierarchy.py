@@ -5,8 +5,11 @@ parent, which is peeled once all its children are. What no round can peel lies o
 reverse, every parent is known before its children, so depth, root and path are assigned top-down.
 
 Where it runs: rows are placed by ``group`` (a locality hint such as a document id), and every partition peels all its groups at
-once with vectorised rounds. Groups of more than ``block_rows`` rows, and all rows when links turn out to cross groups, go through
-distributed rounds instead (one aggregation and one join a round, checkpointed) until what is left fits one block.
+once with vectorised rounds. Rows of groups of more than ``block_rows`` rows, and all rows when links turn out to cross groups, are
+placed by their tree instead, which pointer doubling finds in as many joins as the height has binary digits. Only a single tree of
+more than ``block_rows`` rows is peeled in distributed rounds (one aggregation and one join a round, checkpointed) until what is left
+fits one block, or rounds take off only few (a rest of long chains), the sizes of which double likewise; depths, roots and paths come
+from pointer doubling again, so no round reads what earlier ones took off, and rounds are logarithmic in size and height.
 
 Defined results: rows with a null id are ignored; of rows with the same id the one with the greatest ``order`` counts (any, if
 equal or not given); a null or blank parent makes a root; a parent that is no id makes an orphan, whose subtree is kept with the
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import cut, shuffle_partitions, written
 
 TREE, ORPHAN, CYCLE, BELOW = "tree", "orphan", "cycle", "below_cycle"
 _STATES = np.array([TREE, ORPHAN, CYCLE, BELOW], dtype=object)
@@ -34,6 +37,7 @@ NODE_SCHEMA = (
     "children_match boolean, level int, outside_parent boolean"
 )
 BLOCK_ROWS = 200_000
+THIN = 1 / 16  # rounds that take off a smaller share than this are left to doubling
 
 
 def _blank_to_null(c):
@@ -237,12 +241,74 @@ def _outside_exists(block_nodes: DataFrame, rows: DataFrame) -> bool:
     return not rows.select("id").join(names, "id", "left_semi").isEmpty()
 
 
-def _big_groups(rows: DataFrame, block_rows: int) -> DataFrame:
-    return rows.groupBy("grp").count().filter(F.col("count") > block_rows).select("grp")
+def _sizes(rows: DataFrame, block_rows: int) -> tuple[int, list[str]]:
+    """Number of rows, and the groups of more than block_rows rows: fewer than rows / block_rows names."""
+    per = rows.groupBy("grp").count()
+    r = per.agg(F.sum("count").alias("n"), F.collect_list(F.when(F.col("count") > block_rows, F.col("grp"))).alias("big")).first()
+    return r["n"] or 0, r["big"]
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    return rows.repartition("grp")
+def _placed(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
+    """Rows by group, in enough partitions that each holds about block_rows rows at most."""
+    least = -(-2 * n // block_rows)
+    return rows.repartition(least, "grp") if least > shuffle_partitions(rows.sparkSession) else rows.repartition("grp")
+
+
+def _split(rows: DataFrame, group: str | None, block_rows: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Rows placed in blocks that no link leaves, and the rows of trees that no block can hold."""
+    n, big = _sizes(rows, block_rows) if group else (0, [])
+    if group and not _links_leave_groups(rows):
+        if not big:
+            return [_placed(rows, n, block_rows)], None
+        hot = F.col("grp").isin(*big)
+        calm, rows = [_placed(rows.filter(~hot), n, block_rows)], rows.filter(hot)
+    else:
+        calm = []
+    rows = written(rows.groupBy("id").agg(F.max_by(F.struct("parent", "children", "level", "ord"), F.struct("ord", "parent")).alias("r")).select("id", "r.*"))
+    trees = written(rows.join(_trees(rows), "id"))
+    n, big = _sizes(trees, block_rows)
+    if not big:
+        return [*calm, _placed(trees, n, block_rows)], None
+    giant = F.col("grp").isin(*big)
+    return [*calm, _placed(trees.filter(~giant), n, block_rows)], trees.filter(giant)
+
+
+def _doubled(live: DataFrame, more: dict) -> tuple[DataFrame, DataFrame, int]:
+    """Pointer doubling. live: id, at (the node it points to, itself for a top), settled, and columns to be put together by more.
+
+    Every round a node points twice as far, until it points to a top. Ends when no node gets there any more: then those left lie on or
+    below cycles. Gives the settled nodes, those left, and their number.
+    """
+    names = list(more)
+    while True:
+        up = live.select(F.col("id").alias("at"), F.col("at").alias("u_at"), F.col("settled").alias("u_settled"), *[F.col(c).alias(f"u_{c}") for c in names])
+        step = live.filter(~F.col("settled")).join(up, "at").select("id", F.col("u_at").alias("at"), F.col("u_settled").alias("settled"), *[f.alias(c) for c, f in more.items()])
+        step = written(step)
+        n = step.agg(F.count_if("settled").alias("new"), F.count_if(~F.col("settled")).alias("left")).first()
+        live = live.filter("settled").unionByName(step)
+        if not n["new"] or not n["left"]:
+            return live.filter("settled"), live.filter(~F.col("settled")), n["left"]
+
+
+def _on_cycles(left: DataFrame, n: int) -> DataFrame:
+    """id, at, low of n nodes on and below cycles, doubled until each points at least n links on: to a node of its cycle, all of which it has seen."""
+    for _ in range(n.bit_length() + 1):
+        up = left.select(F.col("id").alias("at"), F.col("at").alias("u_at"), F.col("low").alias("u_low"))
+        left = written(left.join(up, "at").select("id", F.col("u_at").alias("at"), F.least("low", "u_low").alias("low")))
+    return left
+
+
+def _trees(rows: DataFrame) -> DataFrame:
+    """id and grp, a name of the tree (the top's id) or, on and below a cycle, of the cycle (its least id). rows: each id once."""
+    there = rows.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    base = rows.select("id", "parent").join(there, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).otherwise(F.col("id")).alias("at"), F.col("there").isNull().alias("settled"))
+    low = {"low": F.least("low", "u_low")}
+    settled, left, n = _doubled(written(base.withColumn("low", F.least("id", "at"))), low)
+    found = settled.select("id", F.col("at").alias("grp"))
+    if not n:
+        return found
+    left = _on_cycles(left, n)
+    return found.unionByName(left.join(left.select(F.col("id").alias("at"), F.col("low").alias("grp")), "at").select("id", "grp"))
 
 
 def nodes(df: DataFrame, id: str, parent: str, *, group: str | None = None, children: str | None = None, level: str | None = None, order: str | None = None, only_faulty: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -251,51 +317,48 @@ def nodes(df: DataFrame, id: str, parent: str, *, group: str | None = None, chil
     only_faulty keeps the nodes that are orphans, on or below a cycle, at another depth than their level, or with other children.
     """
     rows = _normalised(df, id, parent, group, children, level, order)
-    big = {r["grp"] for r in _big_groups(rows, block_rows).collect()} if group else None  # fewer than rows / block_rows names
-    if group and not big:
-        block = cut(_placed(rows).mapInArrow(_nodes_of_blocks(only_faulty), NODE_SCHEMA))
-        if not _outside_exists(block, rows):
-            return block
-    elif group and not _links_leave_groups(rows):
-        hot = F.col("grp").isin(*big)
-        block = cut(_placed(rows.filter(~hot)).mapInArrow(_nodes_of_blocks(only_faulty), NODE_SCHEMA))
-        return block.unionByName(_faulty(_peel_distributed(rows.filter(hot), block_rows).drop("path"), only_faulty))
-    return _faulty(_peel_distributed(rows, block_rows).drop("path"), only_faulty)
+    if group:
+        n, big = _sizes(rows, block_rows)
+        if not big:
+            block = cut(_placed(rows, n, block_rows).mapInArrow(_nodes_of_blocks(only_faulty), NODE_SCHEMA))
+            if not _outside_exists(block, rows):
+                return block
+    blocks, giant = _split(rows, group, block_rows)
+    done = [x.mapInArrow(_nodes_of_blocks(only_faulty), NODE_SCHEMA) for x in blocks]
+    return _all([*done, *([_faulty(_peel_distributed(giant, block_rows).drop("path"), only_faulty)] if giant is not None else [])])
 
 
 def _faulty(n: DataFrame, only: bool) -> DataFrame:
     return n.filter(~F.col("children_match") | F.col("outside_parent") | F.col("state").isin(CYCLE, BELOW) | ((F.col("state") == TREE) & ~F.col("level").eqNullSafe(F.col("depth")))) if only else n
 
 
-def _fits_blocks(rows: DataFrame, group: str | None, block_rows: int) -> bool:
-    return bool(group) and _big_groups(rows, block_rows).isEmpty() and not _links_leave_groups(rows)
-
-
 def paths(df: DataFrame, id: str, parent: str, *, group: str | None = None, order: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id and path (ids from the root, or from the orphan, down to the node) of every node that is not on or below a cycle."""
     rows = _normalised(df, id, parent, group, None, None, order)
-    if _fits_blocks(rows, group, block_rows):
-        return _placed(rows).mapInArrow(_paths_of_blocks, "id string, path array<string>")
-    return _peel_distributed(rows, block_rows).filter("path is not null").select("id", "path")
+    blocks, giant = _split(rows, group, block_rows)
+    done = [x.mapInArrow(_paths_of_blocks, "id string, path array<string>") for x in blocks]
+    return _all([*done, *([_peel_distributed(giant, block_rows, paths=True).filter("path is not null").select("id", "path")] if giant is not None else [])])
 
 
 def descendants(df: DataFrame, id: str, parent: str, *, group: str | None = None, order: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """ancestor, descendant, distance: the descendant lists as rows, since one list may be as long as the table."""
     rows = _normalised(df, id, parent, group, None, None, order)
-    if _fits_blocks(rows, group, block_rows):
-        return _placed(rows).mapInArrow(_descendants_of_blocks, "ancestor string, descendant string, distance int")
-    walked = _peel_distributed(rows, block_rows, below_cycles=True).filter("path is not null")
-    return walked.select(F.col("id").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor")).filter("at < n - 1").select("ancestor", "descendant", (F.col("n") - 1 - F.col("at")).cast("int").alias("distance"))
+    blocks, giant = _split(rows, group, block_rows)
+    done = [x.mapInArrow(_descendants_of_blocks, "ancestor string, descendant string, distance int") for x in blocks]
+    if giant is None:
+        return _all(done)
+    walked = _peel_distributed(giant, block_rows, paths=True, below_cycles=True).filter("path is not null")
+    far = walked.select(F.col("id").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor")).filter("at < n - 1").select("ancestor", "descendant", (F.col("n") - 1 - F.col("at")).cast("int").alias("distance"))
+    return _all([*done, far])
 
 
-def _peel_distributed(rows: DataFrame, block_rows: int, below_cycles: bool = False) -> DataFrame:
-    """The same peeling in rounds over the cluster, for rows that no block can hold.
+def _peel_distributed(rows: DataFrame, block_rows: int, paths: bool = False, below_cycles: bool = False) -> DataFrame:
+    """The same peeling in rounds over the cluster, for trees that no block can hold.
 
-    A round takes the leaves off, sends their counts and sizes to the parents and keeps the rest; once the rest is at most
-    block_rows (or no leaf is left, so that all of it lies on cycles) the reverse order begins. below_cycles: paths also for nodes
-    below a cycle, from the first node off the cycle.
+    A round takes the leaves off, sends their counts and sizes to the parents and keeps the rest. Once the rest is at most block_rows it
+    is peeled in one task; once rounds take off only few (long chains, or nothing but cycles), see _tall. below_cycles: paths also for nodes below a cycle, from
+    the first node off the cycle.
     """
-    spark = rows.sparkSession
     one = rows.groupBy("id").agg(F.max_by(F.struct("parent", "children", "level"), "ord").alias("r")).select("id", "r.parent", "r.children", "r.level")
     known = one.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
     pairs_said = one.select(F.col("id").alias("p"), F.explode(F.array_distinct(F.filter(F.coalesce("children", F.array()), lambda c: F.length(F.trim(c)) > 0))).alias("c")).select("p", "c", F.lit(1).alias("s"), F.lit(0).alias("t"))
@@ -306,38 +369,35 @@ def _peel_distributed(rows: DataFrame, block_rows: int, below_cycles: bool = Fal
         "id", "parent", "level", F.coalesce("odd", F.lit(False)).alias("odd"), (F.col("parent").isNotNull() & F.col("there").isNull()).alias("outside"),
         F.coalesce("pending", F.lit(0)).cast("long").alias("pending"), F.lit(1).cast("long").alias("size"),
     )
-    live = cut(start)
+    live = written(start)
     taken: list[DataFrame] = []
     left = live.count()
     while left > block_rows:
         leaves = live.filter("pending = 0")
         sent = leaves.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("gone"), F.sum("size").alias("more"))
-        rest = cut(live.filter("pending > 0").join(sent, "id", "left").select("id", "parent", "level", "odd", "outside", (F.col("pending") - F.coalesce("gone", F.lit(0))).alias("pending"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        rest = written(live.filter("pending > 0").join(sent, "id", "left").select("id", "parent", "level", "odd", "outside", (F.col("pending") - F.coalesce("gone", F.lit(0))).alias("pending"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
         now = rest.count()
-        if now == left:
+        if now > left * (1 - THIN):
             break
         taken.append(leaves.withColumn("peel_no", F.lit(len(taken))))
         live, left = rest, now
-    done = ["id", "parent", "level", "odd", "outside", "size", "peel_no", "state", "depth", "root", "path"]
-    if left > block_rows:  # nothing but cycles is left
-        top = live.select(*done[:6], F.lit(-1).alias("peel_no"), F.lit(CYCLE).alias("state"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("array<string>").alias("path"))
-    else:
-        top = _finish_in_one_block(live, len(taken), below_cycles)
-    top = cut(top.select(*done))
-    parts = [top]
-    for leaves in reversed(taken):
-        known = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if len(parts) == 2 else _all(parts)
-        up = known.select(F.col("id").alias("parent"), F.col("state").alias("ps"), F.col("depth").alias("pd"), F.col("root").alias("pr"), F.col("path").alias("pp"))
-        none = F.col("parent").isNull() | F.col("outside")
-        level = leaves.join(up, "parent", "left").select(
-            "id", "parent", "level", "odd", "outside", "size", "peel_no",
-            F.when(F.col("outside"), ORPHAN).when(F.col("parent").isNull(), TREE).when(F.col("ps").isin(CYCLE, BELOW), BELOW).otherwise(F.col("ps")).alias("state"),
-            F.when(none, 0).otherwise(F.col("pd") + 1).cast("int").alias("depth"),
-            F.when(none, F.col("id")).otherwise(F.col("pr")).alias("root"),
-            F.when(none, F.array("id")).when(F.col("pp").isNotNull(), F.concat("pp", F.array("id"))).when(F.lit(below_cycles), F.array("id")).alias("path"),
-        )
-        parts.append(cut(level.select(*done)))
-    return _all(parts).select("id", "parent", "state", "depth", "root", "peel_no", F.col("size").alias("subtree_size"), (~F.col("odd")).alias("children_match"), "level", F.col("outside").alias("outside_parent"), "path")
+    kept = ["id", "parent", "level", "odd", "outside", "size", "peel_no"]
+    top = _tall(live, len(taken)) if left > block_rows else _finish_in_one_block(live, len(taken))
+    all_nodes = written(_all([top.select(*kept), *[t.select(*kept) for t in taken]]))
+    cycle = F.col("peel_no") < 0
+    ups = all_nodes.select(F.col("id").alias("parent"), cycle.alias("up_on_cycle"))
+    linked = all_nodes.join(ups, "parent", "left").withColumn("is_top", F.col("parent").isNull() | F.col("outside") | F.coalesce("up_on_cycle", F.lit(False)))
+    own = F.array("id") if paths else F.lit(None).cast("array<string>")
+    at_top = F.when(F.col("outside"), ORPHAN).when(F.col("parent").isNull(), TREE).otherwise(BELOW)
+    start = linked.filter(~cycle).select("id", F.when(F.col("is_top"), F.col("id")).otherwise(F.col("parent")).alias("at"), F.col("is_top").alias("settled"), F.when(F.col("is_top"), 0).otherwise(1).alias("depth"), own.alias("path"), F.when(F.col("is_top"), at_top).alias("state"))
+    # a node's path so far ends with itself; the path of the node it points to, up to its own pointer, is put before it
+    more = {"depth": F.col("depth") + F.col("u_depth"), "path": F.concat("u_path", "path"), "state": F.col("u_state")}
+    found, _, _ = _doubled(written(start), more)
+    off = F.col("state") == BELOW
+    return linked.join(found, "id", "left").select(
+        "id", "parent", F.when(F.col("peel_no") < 0, CYCLE).otherwise(F.col("state")).alias("state"), F.when(~off, F.col("depth")).cast("int").alias("depth"), F.when(~off, F.col("at")).alias("root"),
+        "peel_no", F.col("size").alias("subtree_size"), (~F.col("odd")).alias("children_match"), "level", F.col("outside").alias("outside_parent"), F.when(~off | F.lit(below_cycles), F.col("path")).alias("path"),
+    )
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -347,39 +407,48 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _finish_in_one_block(live: DataFrame, first_peel: int, below_cycles: bool) -> DataFrame:
-    """The top of the forest, at most block_rows rows, in one task."""
+def _tall(live: DataFrame, first_peel: int) -> DataFrame:
+    """Peel numbers (-1 on a cycle) and sizes of a tall rest, all rounds of which at once by doubling: in round k every node sends what it
+    knows of the nodes less than 2**k links below it to the node 2**k links above it."""
+    alone = F.col("parent").isNull() | F.col("outside")
+    base = live.select("id", F.when(alone, F.col("id")).otherwise(F.col("parent")).alias("at"), alone.alias("settled"))
+    _, left, n = _doubled(written(base.withColumn("low", F.least("id", "at"))), {"low": F.least("low", "u_low")})
+    on = written(_on_cycles(left, n).select(F.col("at").alias("id")).distinct().withColumn("on", F.lit(True))) if n else live.select("id", F.lit(True).alias("on")).limit(0)
+    marked = live.join(on, "id", "left").join(on.select(F.col("id").alias("parent"), F.col("on").alias("up_on")), "parent", "left")
+    link = F.when(alone | F.coalesce("on", F.lit(False)) | F.coalesce("up_on", F.lit(False)), None).otherwise(F.col("parent"))
+    known = written(marked.select("id", link.alias("at"), "size", F.lit(0).alias("height")))
+    far = 1
+    while not known.filter("at is not null").isEmpty():
+        sent = known.filter("at is not null").groupBy(F.col("at").alias("id")).agg(F.sum("size").alias("more"), F.max("height").alias("below"))
+        up = known.select(F.col("id").alias("at"), F.col("at").alias("next"))
+        merged = known.join(sent, "id", "left").join(up, "at", "left")
+        known = written(merged.select("id", F.col("next").alias("at"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.greatest("height", F.col("below") + far).alias("height")))
+        far *= 2
+    done = known.join(on, "id", "left").select("id", "size", F.when(F.col("on"), -1).otherwise(F.col("height") + first_peel).cast("int").alias("peel_no"))
+    return live.select("id", "parent", "level", "odd", "outside").join(done, "id")
+
+
+def _finish_in_one_block(live: DataFrame, first_peel: int) -> DataFrame:
+    """Peel numbers (-1 on a cycle) and sizes of the top of the forest, at most block_rows rows, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
         if not held:
             return
-        df = pa.Table.from_batches(held).to_pandas()
-        ids = df["id"].to_numpy(object)
-        parent = pd.Index(ids).get_indexer(pd.Index(df["parent"].to_numpy(object)))
-        parent[df["parent"].isna().to_numpy()] = -1
-        peel, size, rounds = peel_arrays(parent)
-        size = df["size"].to_numpy(np.int64).copy()
+        table = pa.Table.from_batches(held)
+        ids, ups = (table.column(c).to_numpy() for c in ("id", "parent"))
+        parent = pd.Index(ids).get_indexer(pd.Index(ups))
+        parent[pd.isna(ups)] = -1
+        peel, _, rounds = peel_arrays(parent)
+        size = table.column("size").to_numpy().copy()
         for level in rounds:
             sent = level[parent[level] >= 0]
             np.add.at(size, parent[sent], size[sent])
-        state, depth, root = _assign(parent, np.where(df["outside"].to_numpy(bool), 1, 0), peel, rounds)
-        path: list = [None] * len(ids)
-        for level in reversed(rounds):
-            for v in level.tolist():
-                up = parent[v]
-                path[v] = [*path[up], ids[v]] if up >= 0 and path[up] is not None else [ids[v]] if up < 0 or below_cycles else None
-        out = pa.table(
-            {
-                "id": pa.array(ids, pa.string()), "parent": pa.array(df["parent"], pa.string(), from_pandas=True), "level": pa.array(df["level"], pa.int32(), from_pandas=True),
-                "odd": pa.array(df["odd"].to_numpy(bool)), "outside": pa.array(df["outside"].to_numpy(bool)), "size": pa.array(size), "peel_no": pa.array(np.where(peel < 0, -1, peel + first_peel).astype(np.int32)),
-                "state": pa.array(_STATES[state], pa.string()), "depth": pa.array(depth.astype(np.int32), mask=depth < 0), "root": pa.array(np.where(root >= 0, ids[np.maximum(root, 0)], None), pa.string()), "path": pa.array(path, pa.list_(pa.string())),
-            }
-        )
-        yield from out.to_batches(max_chunksize=10_000)
+        number = np.where(peel < 0, -1, peel + first_peel).astype(np.int32)
+        out = table.drop_columns(["size"]).append_column("size", pa.array(size)).append_column("peel_no", pa.array(number))
+        yield from out.select(["id", "parent", "level", "odd", "outside", "size", "peel_no"]).to_batches(max_chunksize=10_000)
 
-    schema = "id string, parent string, level int, odd boolean, outside boolean, size long, peel_no int, state string, depth int, root string, path array<string>"
-    return live.coalesce(1).mapInArrow(run, schema)
+    return live.coalesce(1).mapInArrow(run, "id string, parent string, level int, odd boolean, outside boolean, size long, peel_no int")
 
 
 def faults(df: DataFrame, id: str, parent: str, *, group: str | None = None, children: str | None = None, level: str | None = None, order: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,12 +17,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own is used only where that is unset."""
+    """The cluster names the shared folder in spark.checkpoint.dir.
+
+    Only in local mode, where driver and tasks share one machine, a folder of our own stands in for it, and is removed at the end; on a
+    cluster a folder of one machine would lose data, so it is an error to name none.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    if not shared:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quire-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -27,5 +40,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: for loops, where a checkpoint would keep the size estimates of all joins before it."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

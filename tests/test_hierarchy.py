@@ -83,3 +83,38 @@ def test_deep_chain_and_empty(spark):
     assert hierarchy.faults(empty, **ARGS, group="grp").count() == 0
     assert hierarchy.faults(empty, **ARGS).count() == 0
     assert hierarchy.descendants(empty, "id", "parent", group="grp").count() == 0
+
+
+def test_chain_of_ten_thousand_beyond_a_block(spark):
+    """One tree that no block holds, as high as it is large."""
+    n = 10_000
+    chain = [(f"c{i}", f"c{i - 1}" if i else None, "g", [f"c{i + 1}"] if i < n - 1 else [], i if i != 7777 else 3, 1, "", "") for i in range(n)]
+    df = spark.createDataFrame(chain, SCHEMA)
+    nodes = {r["id"]: r for r in hierarchy.nodes(df, "id", "parent", group="grp", children="children", level="level", block_rows=4000).collect()}
+    assert len(nodes) == n and all(nodes[f"c{i}"]["depth"] == i and nodes[f"c{i}"]["subtree_size"] == n - i and nodes[f"c{i}"]["peel_no"] == n - 1 - i and nodes[f"c{i}"]["root"] == "c0" for i in range(n))
+    assert [k for k, r in nodes.items() if r["level"] != r["depth"]] == ["c7777"] and all(r["children_match"] for r in nodes.values())
+
+
+def test_cycle_and_tail_beyond_a_block(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 70}", "g", None, 0, 1, "", "") for i in range(70)] + [(f"t{i}", f"t{i - 1}" if i else "r5", "g", None, 0, 1, "", "") for i in range(60)]
+    df = spark.createDataFrame(ring, SCHEMA)
+    nodes = {r["id"]: r for r in hierarchy.nodes(df, "id", "parent", group="grp", block_rows=40).collect()}
+    assert len(nodes) == 130 and {k[0]: r["state"] for k, r in nodes.items()} == {"r": "cycle", "t": "below_cycle"}
+    assert all(nodes[f"t{i}"]["subtree_size"] == 60 - i and nodes[f"t{i}"]["depth"] is None for i in range(60))
+    far = hierarchy.descendants(df, "id", "parent", group="grp", block_rows=40)
+    assert far.count() == 60 * 59 // 2 and far.filter("ancestor like 'r%'").count() == 0
+
+
+def test_hot_group_of_many_trees(spark):
+    """A group far above the block size, of trees below it, is placed by tree: no row goes through distributed rounds."""
+    rnd = random.Random(8)
+    rows = []
+    for t in range(60):
+        rows += [(f"{t}.{i}", f"{t}.{rnd.randrange(i)}" if i else None, "hot", None, 1, 1, "", "") for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    _, giant = hierarchy._split(hierarchy._normalised(df, "id", "parent", "grp", None, None, None), "grp", 400)
+    assert giant is None
+    want, depths, _ = truth(rows)
+    n = {r["id"]: r["depth"] for r in hierarchy.nodes(df, "id", "parent", group="grp", block_rows=400).collect()}
+    assert n == depths
+    assert {tuple(r) for r in hierarchy.faults(df, "id", "parent", group="grp", level="level", block_rows=400).collect()} == {x for x in want if x[1] == "level"}
