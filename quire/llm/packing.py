@@ -135,7 +135,9 @@ def _pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     limits = np.array([first["capacity"] + first["separator"], first["max_segments"], first["max_loss"]], dtype=np.int64)
     pdf = pdf.sort_values(["id", "piece"], kind="stable").reset_index(drop=True)
     vectors = np.stack([pdf["size"] + pdf["separator"], np.ones(len(pdf), np.int64), pdf["loss"]], axis=1).astype(np.int64)
-    pdf["bin"] = pack_vectors(vectors, limits)
+    binding = limits < first["capacity"]  # a limit as high as the tokens' is none: an item has no more segments or loss than tokens
+    binding[0] = True
+    pdf["bin"] = pack_vectors(vectors[:, binding], limits[binding])
     filled = pdf.groupby("bin")["size"].transform("sum") + pdf.groupby("bin")["size"].transform("count") * pdf["separator"] - pdf["separator"]
     pdf["filled"] = filled
     return pdf[["pack_id", "capacity", "separator", "max_segments", "max_loss", "id", "piece", "token_start", "size", "loss", "shard", "bin", "filled"]]

@@ -50,6 +50,7 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of the instruction packings: segments for each 128 tokens of capacity, and the share of the capacity that may bear loss.
 SEGMENT_TOKENS, LOSS_SHARE = 128, 0.8
+INSTRUCTION_SHARD = 8_000  # three limits make more kinds of items, and the time for a container grows with them
 
 
 def _instruction_limits(spark: SparkSession, sf_dir: str) -> list[dict]:
@@ -63,7 +64,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as instruction examples (the first paragraph is the prompt and bears no loss), under limits of tokens, segments and loss."""
-    return packing.pack(_sizes(spark, sf_dir), _instruction_limits(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return packing.pack(_sizes(spark, sf_dir), _instruction_limits(spark, sf_dir), shard_items=INSTRUCTION_SHARD).withColumnRenamed("id", "doc_id")
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +77,8 @@ def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of both packings: all texts placed, with all their tokens and once; only those split that fit no container; no limit broken; little room unused."""
     sizes = cut(_sizes(spark, sf_dir))
     out = None
-    for name, limits, least in (("tokens", _limits(spark, sf_dir), 0.98), ("instructions", _instruction_limits(spark, sf_dir), 0.9)):
-        p = cut(packing.pack(sizes, limits))
+    for name, limits, least, shard in (("tokens", _limits(spark, sf_dir), 0.98, packing.SHARD_ITEMS), ("instructions", _instruction_limits(spark, sf_dir), 0.9, INSTRUCTION_SHARD)):
+        p = cut(packing.pack(sizes, limits, shard_items=shard))
         most = spark.createDataFrame([(x["pack_id"], x["separator"], x.get("max_segments", x["capacity"]), x.get("max_loss", x["capacity"])) for x in limits], "pack_id string, separator long, max_segments long, max_loss long")
         own = p.groupBy("pack_id", "id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("pieces"), F.count_distinct("token_start").alias("starts"), F.first("capacity").alias("capacity")).join(sizes, "id").join(F.broadcast(most), "pack_id")  # a row a packing
         texts = own.groupBy("pack_id").agg(
