@@ -6,8 +6,13 @@ reading_order), metadata. Redelivered rows are removed by latest().
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import ids
 from quire.functions import text as X
@@ -16,11 +21,9 @@ SCHEMA_VERSION = "initial-document-schema-v1"  # fixed value
 
 
 def latest(df: DataFrame, id: str, order: str | None = None) -> DataFrame:
-    """One row per id: the one with the greatest order. Rows are combined map-side, so repeated ids do not pile up."""
-    others = [c for c in df.columns if c != id]
-    row = F.struct(*others)
-    best = F.max_by(row, F.col(order)) if order else F.first(row)
-    return df.groupBy(id).agg(best.alias("_r")).select(id, *[F.col("_r")[c].alias(c) for c in others])
+    """One row per id: the one with the greatest order. Ranks are limited within each task before the shuffle, so repeated ids do not pile up."""
+    w = W.partitionBy(id).orderBy(F.col(order).desc_nulls_last() if order else F.lit(0))
+    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
 def _first_of(rows: Column, field: str) -> Column:
@@ -32,13 +35,16 @@ def _flat(rows: Column, field: str) -> Column:
     return F.flatten(F.transform(rows, lambda r: F.coalesce(r["extraction"][field], F.array())))
 
 
-def view(parsed: DataFrame) -> DataFrame:
-    """The merged view of each document: first non-empty type, language and title, texts joined by blank lines, components in order."""
+def view(parsed: DataFrame, *more: Column | str) -> DataFrame:
+    """The merged view of each document: first non-empty type, language and title, texts joined by blank lines, components in order.
+
+    more: columns of parsed to keep beside it.
+    """
     r = F.col("rows")
     texts = F.filter(F.transform(r, lambda x: X.text_or_null(x["extraction"]["main_text"])), lambda t: t.isNotNull())
     return parsed.select(
         F.col("object_id").alias("source_object_id"), "source_uri", _first_of(r, "document_type").alias("document_type"), _first_of(r, "language").alias("language"), _first_of(r, "title").alias("title"),
-        F.array_join(texts, "\n\n").alias("main_text"), _flat(r, "tables").alias("tables"), _flat(r, "figures").alias("figures"), _flat(r, "formulas").alias("formulas"), F.size(r).alias("row_count"),
+        F.array_join(texts, "\n\n").alias("main_text"), _flat(r, "tables").alias("tables"), _flat(r, "figures").alias("figures"), _flat(r, "formulas").alias("formulas"), F.size(r).alias("row_count"), *more,
     )
 
 
@@ -47,31 +53,44 @@ def is_zero(c: Column) -> Column:
     return F.coalesce((X.strip(c.cast("string")) == "0") | (c.cast("string").try_cast("double") == 0), F.lit(False))
 
 
-def has_content(text: Column, rows: Column) -> Column:
-    """Any text, component or layout block."""
+def _says(value: Column, kind: T.DataType) -> Column:
+    """Whether a value says something: text that is not blank, a list that is not empty, anything else that is not null."""
+    if isinstance(kind, T.StringType):
+        return ~X.blank(value)
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.size(value) > 0, F.lit(False))
+    return value.isNotNull()
+
+
+EXTRACTED = ("main_text", "text", "markdown", "content", "tables", "figures", "formulas")  # fixed values: the fields that are content
+
+
+def has_content(text: Column, rows: Column, row_type: T.StructType) -> Column:
+    """Any text, component or other field of a row; of an extraction only its content fields. row_type: what a row may hold."""
 
     def row(r: Column) -> Column:
-        e = r["extraction"]
-        parts = [~X.blank(e["main_text"]), F.size(e["tables"]) > 0, F.size(e["figures"]) > 0, F.size(e["formulas"]) > 0, F.size(r["source_blocks"]) > 0, F.size(r["reading_order"]) > 0]
-        out = F.lit(False)
-        for p in parts:
-            out = out | F.coalesce(p, F.lit(False))
-        return out
+        parts = []
+        for f in row_type:
+            if f.name != "extraction":
+                parts.append(_says(r[f.name], f.dataType))
+            elif isinstance(f.dataType, T.StructType):
+                parts += [_says(r[f.name][x.name], x.dataType) for x in f.dataType if x.name in EXTRACTED]
+        return reduce(or_, parts, F.lit(False))
 
     return ~X.blank(text) | F.coalesce(F.exists(rows, row), F.lit(False))
 
 
-def reasons(page_count: Column, text: Column, rows: Column, hosted: Column) -> Column:
-    """All reasons why a parsed document is unusable: structs code, field, message. hosted: whether the hosted parser made it."""
+def reasons(page_count: Column, text: Column, rows: Column, hosted: Column, row_type: T.StructType, parser: str = "Hosted parser") -> Column:
+    """All reasons why a parsed document is unusable: structs code, field, message. hosted: whether the hosted parser, named so, made it."""
 
     def reason(code: str, field: str, message: str) -> Column:
         return F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), F.lit(message).alias("message"))
 
     none = ~F.coalesce(F.exists(rows, lambda r: r["extraction"].isNotNull()), F.lit(False))
     found = F.array(
-        F.when(is_zero(page_count), reason("zero_page_count", "parsed.metadata.page_count", "The parser returned page_count=0.")),
-        F.when(F.coalesce(hosted, F.lit(False)) & none, reason("null_extraction", "parsed.rows[].extraction", "The hosted parser returned no extraction.")),
-        F.when(~has_content(text, rows), reason("empty_parsed_content", "parsed", "The document has no text, row or component.")),
+        F.when(is_zero(page_count), reason("zero_page_count", "parsed.metadata.page_count", "Parser returned page_count=0.")),
+        F.when(F.coalesce(hosted, F.lit(False)) & none, reason("null_extraction", "parsed.rows[].extraction", f"{parser} returned no extraction object.")),
+        F.when(~has_content(text, rows, row_type), reason("empty_parsed_content", "parsed", "Parsed document has no text, structured row, or component.")),
     )
     return F.array_compact(found)
 
@@ -79,7 +98,7 @@ def reasons(page_count: Column, text: Column, rows: Column, hosted: Column) -> C
 def validated(parsed: DataFrame, hosted: Column | None = None) -> DataFrame:
     """parsed with reasons; accepted() and quarantined() split it."""
     backend = hosted if hosted is not None else F.col("metadata.backend") == "hosted"
-    return parsed.withColumn("reasons", reasons(F.col("metadata.page_count"), F.col("text"), F.col("rows"), backend))
+    return parsed.withColumn("reasons", reasons(F.col("metadata.page_count"), F.col("text"), F.col("rows"), backend, parsed.schema["rows"].dataType.elementType))
 
 
 def accepted(df: DataFrame) -> DataFrame:
@@ -123,9 +142,9 @@ def initial_schema(parsed: DataFrame, headers: Column | None = None) -> DataFram
 
     Tables of a parser (given by their headers) count beside those of the extraction.
     """
-    v = view(parsed).select("source_object_id", *[F.col(c).alias(f"v_{c}") for c in ("document_type", "language", "title", "main_text", "tables", "figures", "formulas", "row_count")])
-    base = parsed.select("object_id", "source_uri", "source_format", "text", (F.size(headers) if headers is not None else F.lit(0)).alias("own_tables"), (header_fields(headers) if headers is not None else F.array().cast("array<string>")).alias("own_fields"), "rows")
-    j = base.drop("rows").join(v, base["object_id"] == v["source_object_id"])
+    own = [(F.size(headers) if headers is not None else F.lit(0)).alias("own_tables"), (header_fields(headers) if headers is not None else F.array().cast("array<string>")).alias("own_fields")]
+    keep = [F.col(c).alias(f"v_{c}") for c in ("document_type", "language", "title", "main_text", "tables", "figures", "formulas", "row_count")]
+    j = view(parsed, F.col("object_id"), "text", *own).select("object_id", "text", "own_tables", "own_fields", *keep)
     texts = F.col("v_main_text")
     stripped = X.stripped_or_null(F.col("text"))
     main = F.when(stripped.isNotNull() & (F.length(texts) == 0), stripped).otherwise(texts)

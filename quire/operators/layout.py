@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import geometry as G
 from quire.functions import text as X
@@ -77,11 +78,29 @@ MIN_AREA_RATIO, MAX_LOGO_CHARS = 0.01, 120
 OCR_FORMATS = ["pdf", "png", "jpg", "jpeg", "gif", "webp", "tif", "tiff"]
 
 
+def source_ref(figure: Column, kind: T.StructType) -> Column:
+    """The block a figure stands in: the first citation of its description, else of its caption, else source_ref, else the first of
+    source_refs (paths, or objects with a component_id); '' if none says any. kind: what a figure may hold."""
+    has = {f.name: f.dataType for f in kind}
+
+    def first(name: str) -> Column:
+        paths = F.coalesce(figure[name], F.array().cast(has[name]))
+        if isinstance(has[name].elementType, T.StructType):
+            paths = F.transform(paths, lambda x: x["component_id"])
+        return F.try_element_at(X.citations(paths), F.lit(1))
+
+    found = [first(n) for n in ("description_citations", "caption_citations") if n in has]
+    found += [X.stripped_or_null(figure["source_ref"])] if "source_ref" in has else []
+    found += [first("source_refs")] if "source_refs" in has else []
+    return F.coalesce(*found, F.lit(""))
+
+
 def figures(parsed: DataFrame) -> DataFrame:
     """Figures of all rows with their number in the document and the reference to their block."""
+    kind = parsed.schema["rows"].dataType.elementType["extraction"].dataType["figures"].dataType.elementType
     f = parsed.select("object_id", F.lower("source_format").alias("source_format"), F.posexplode("rows").alias("row_no", "row")).select("object_id", "source_format", "row_no", F.posexplode("row.extraction.figures").alias("figure_no", "f"))
     n = F.row_number().over(W.partitionBy("object_id").orderBy("row_no", "figure_no")) - 1
-    return f.select("object_id", "source_format", n.alias("original_index"), "row_no", "figure_no", F.coalesce(X.strip(F.col("f.source_ref")), F.lit("")).alias("source_ref"), X.strip(F.coalesce("f.description", F.lit(""))).alias("description"), F.col("f.caption").alias("caption"))
+    return f.select("object_id", "source_format", n.alias("original_index"), "row_no", "figure_no", source_ref(F.col("f"), kind).alias("source_ref"), X.strip(F.coalesce("f.description", F.lit(""))).alias("description"), F.col("f.caption").alias("caption"))
 
 
 def figure_filter(figs: DataFrame, b: DataFrame) -> DataFrame:

@@ -47,14 +47,30 @@ def route_by_extension(spark, sf_dir):
     return _objects(spark, sf_dir).select("object_id", "uri").distinct().select(route(X.file_format(F.col("uri"))).alias("route")).groupBy("route").agg(F.count("*").alias("n"))
 
 
+VARIANTS = ("as_is", "zero_pages", "no_extraction", "no_content", "text_only")
+
+
+def _damaged(spark, sf_dir) -> DataFrame:
+    """Every parsed document as it is and damaged in the ways validation looks for, so that each of its branches has rows."""
+    v, rows, meta = F.col("variant"), F.col("rows"), F.col("metadata")
+    bare = F.transform(rows, lambda r: r.withField("extraction", F.lit(None)))
+    return _parsed(spark, sf_dir).withColumn("variant", F.explode(F.array(*map(F.lit, VARIANTS)))).withColumns({
+        "metadata": meta.withField("page_count", F.when(v == "zero_pages", 0).otherwise(meta["page_count"])).withField("backend", F.when(v == "no_extraction", "hosted").otherwise(meta["backend"])),
+        "rows": F.when(v == "no_extraction", bare).when(v.isin("no_content", "text_only"), F.slice(rows, 1, 0)).otherwise(rows),
+        "text": F.when(v == "no_content", F.lit(" \n")).when(v == "no_extraction", F.lit(None)).when(v == "text_only", F.lit("x")).otherwise(F.col("text")),
+    })
+
+
 def validation_reasons(spark, sf_dir):
-    v = documents.validated(_parsed(spark, sf_dir))
-    return v.select("object_id", F.explode("reasons.code").alias("code"))
+    v = documents.validated(_damaged(spark, sf_dir))
+    return v.select("object_id", "variant", F.inline("reasons"))
 
 
 def quarantine_split(spark, sf_dir):
-    v = documents.validated(_parsed(spark, sf_dir))
-    return v.groupBy((F.size("reasons") == 0).alias("accepted")).agg(F.count("*").alias("n"))
+    v = documents.validated(_damaged(spark, sf_dir))
+    one = documents.accepted(v).select("variant", F.lit("succeeded").alias("status"))
+    two = documents.quarantined(v.withColumn("object_id", F.col("variant"))).select(F.col("document_id").alias("variant"), "status")
+    return one.unionByName(two).groupBy("variant", "status").agg(F.count("*").alias("n"))
 
 
 def document_view(spark, sf_dir):
@@ -117,7 +133,7 @@ def fixed_overlap_chunks(spark, sf_dir):
 
 def sentence_group_chunks(spark, sf_dir):
     s = chunking.spans(_documents(spark, sf_dir).select("doc_id", "text"), "text", "sentence_group", {"n": 5})
-    return s.groupBy("doc_id").agg(F.count("*").alias("groups"))
+    return s.select("doc_id", "piece", "start", "end", F.md5("content").alias("content_md5"))
 
 
 def paragraph_chunks(spark, sf_dir):
@@ -165,7 +181,7 @@ def counts_by_type(spark, sf_dir):
 
 
 def embedding_texts(spark, sf_dir):
-    c = _chunks(spark, sf_dir).select("chunk_id", F.length(chunking.embedding_text(F.col("text"), F.col("metadata.caption"))).alias("chars"))
+    c = _chunks(spark, sf_dir).select("chunk_id", F.md5(chunking.embedding_text(F.col("text"), F.col("metadata.caption"))).alias("text_md5"))
     return c.dropDuplicates(["chunk_id"])
 
 
@@ -260,7 +276,7 @@ def component_boxes(spark, sf_dir):
 
 
 def stage_manifest(spark, sf_dir):
-    v = documents.validated(_parsed(spark, sf_dir)).withColumn("status", F.when(F.size("reasons") == 0, "succeeded").otherwise("quarantined"))
+    v = documents.validated(_damaged(spark, sf_dir)).withColumn("status", F.when(F.size("reasons") == 0, "succeeded").otherwise("quarantined"))
     return retrieval.manifest(v, "ingestion", "object_id", "status")
 
 
@@ -291,9 +307,36 @@ _TOK = "regexp_extract_all(replace(replace(lower({}), 'ß', 'ss'), '’', ''''),
 _SENT = "regexp_replace(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), '\\n\\n+', chr(1), 'g')"
 _STRIPPED = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 
+# Sentences with their places: marks are put after each gap, so that what is between two marks is a sentence and the gap that ends it.
+_SENTENCES = r"""mk AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?。！？])(\s+)', '\1\2' || chr(1), 'g'), '(\n\n+)(' || chr(1) || '?)', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
+ml AS (SELECT doc_id, text, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM mk), mo AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM ml),
+mt AS (SELECT doc_id, text, i, e - length(p) AS a, CASE WHEN regexp_matches(p, '[.!?。！？]\s+$') THEN e - length(p) + length(regexp_replace(p, '\s+$', '')) ELSE e - length(p) + length(regexp_replace(p, '\n\n+$', '')) END AS z, p FROM mo),
+snt AS (SELECT doc_id, text, a, z, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mt WHERE regexp_matches(p, '\S'))"""
+_HAS = "(length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) > 0 OR len(list_filter(rows, lambda r: len(r.source_blocks) > 0 OR len(r.reading_order) > 0 OR (NOT bare AND (length(regexp_replace(coalesce(r.extraction.main_text, ''), '\\s', '', 'g')) > 0 OR len(r.extraction.tables) > 0 OR len(r.extraction.figures) > 0 OR len(r.extraction.formulas) > 0)))) > 0)"
+_DAMAGED = f"""WITH {_P}, q AS (SELECT object_id, variant, variant = 'no_extraction' AS bare, CASE WHEN variant = 'zero_pages' THEN 0 ELSE metadata.page_count END AS pages, CASE WHEN variant = 'no_extraction' THEN 'hosted' ELSE metadata.backend END AS backend,
+  CASE WHEN variant IN ('no_content', 'text_only') THEN rows[1:0] ELSE rows END AS rows, CASE variant WHEN 'no_content' THEN ' ' WHEN 'no_extraction' THEN NULL WHEN 'text_only' THEN 'x' ELSE text END AS text FROM p, (SELECT unnest({list(VARIANTS)}) AS variant)),
+reasons AS (SELECT object_id, variant, 'zero_page_count' AS code, 'parsed.metadata.page_count' AS field, 'Parser returned page_count=0.' AS message FROM q WHERE pages = 0
+UNION ALL SELECT object_id, variant, 'null_extraction', 'parsed.rows[].extraction', 'Hosted parser returned no extraction object.' FROM q WHERE backend = 'hosted' AND (bare OR len(list_filter(rows, lambda r: r.extraction IS NOT NULL)) = 0)
+UNION ALL SELECT object_id, variant, 'empty_parsed_content', 'parsed', 'Parsed document has no text, structured row, or component.' FROM q WHERE NOT coalesce({_HAS}, false))
+"""
+# Paragraphs, of those above 800 characters their sentences, of those again pieces of 800; then runs of what may be packed, and packing by recursion.
+_RECURSIVE = r"""WITH RECURSIVE pk AS (SELECT doc_id, text, string_split(regexp_replace(text, '(\n\n+)', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
+pl AS (SELECT doc_id, text, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM pk), po AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) AS a FROM pl),
+par AS (SELECT doc_id, i, a, regexp_replace(p, '\n\n+$', '') AS p FROM po WHERE regexp_matches(p, '\S')),
+sk AS (SELECT doc_id, i, a, string_split(regexp_replace(p, '([.!?。！？])(\s+)', '\1\2' || chr(1), 'g'), chr(1)) AS ss FROM par WHERE length(p) > 800),
+sl AS (SELECT doc_id, i, a, unnest(ss) AS s, unnest(range(len(ss))) AS j FROM sk), so AS (SELECT *, a + sum(length(s)) OVER (PARTITION BY doc_id, i ORDER BY j) - length(s) AS b FROM sl),
+sen AS (SELECT doc_id, i, j, b, CASE WHEN regexp_matches(s, '[.!?。！？]\s+$') THEN regexp_replace(s, '\s+$', '') ELSE s END AS s FROM so WHERE regexp_matches(s, '\S')),
+atom AS (SELECT doc_id, i, -1 AS j, a, a + length(p) AS z, 'p' AS kind FROM par WHERE length(p) <= 800 UNION ALL SELECT doc_id, i, j, b, b + length(s), 's' || i FROM sen WHERE length(s) <= 800
+  UNION ALL SELECT doc_id, i, j, b + k * 800, b + least((k + 1) * 800, length(s)), 'h' || i || '/' || j || '/' || k FROM sen, LATERAL (SELECT unnest(range(CAST(ceil(length(s) / 800.0) AS BIGINT))) AS k) WHERE length(s) > 800),
+ord AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n, kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY a) AS same FROM atom),
+walk AS (SELECT doc_id, n, a AS start, z AS "end", 0::BIGINT AS piece FROM ord WHERE n = 1
+  UNION ALL SELECT o.doc_id, o.n, CASE WHEN o.same AND o.z - w.start <= 400 THEN w.start ELSE o.a END, o.z, CASE WHEN o.same AND o.z - w.start <= 400 THEN w.piece ELSE w.piece + 1 END FROM walk w JOIN ord o ON o.doc_id = w.doc_id AND o.n = w.n + 1)
+SELECT doc_id, piece, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end" FROM walk GROUP BY doc_id, piece"""
+
 SQL = {
     "doc_ids": "SELECT DISTINCT object_id, substr(sha1('data-object::' || uri), 1, 16) AS document_id, substr(sha1(object_id || '::initial-schema'), 1, 16) AS schema_id FROM data_objects",
-    "quarantine_split": f"WITH {_P} SELECT true AS accepted, count(*) AS n FROM p WHERE length({_STRIPPED.format('coalesce(text, ' + chr(39) * 2 + ')')}) > 0 OR len(list_filter(rows, lambda r: len(r.source_blocks) > 0 OR length(trim(r.extraction.main_text, ' ' || chr(10))) > 0 OR len(r.extraction.tables) > 0 OR len(r.extraction.figures) > 0 OR len(r.extraction.formulas) > 0 OR len(r.reading_order) > 0)) > 0 HAVING count(*) > 0 UNION ALL SELECT false, count(*) FROM p WHERE NOT coalesce(length({_STRIPPED.format('coalesce(text, ' + chr(39) * 2 + ')')}) > 0 OR len(list_filter(rows, lambda r: len(r.source_blocks) > 0 OR length(trim(r.extraction.main_text, ' ' || chr(10))) > 0 OR len(r.extraction.tables) > 0 OR len(r.extraction.figures) > 0 OR len(r.extraction.formulas) > 0 OR len(r.reading_order) > 0)) > 0, false) HAVING count(*) > 0",
+    "validation_reasons": _DAMAGED + "SELECT object_id, variant, code, field, message FROM reasons",
+    "quarantine_split": _DAMAGED + "SELECT variant, CASE WHEN EXISTS (SELECT 1 FROM reasons r WHERE r.object_id = q.object_id AND r.variant = q.variant) THEN 'quarantined' ELSE 'succeeded' END AS status, count(*) AS n FROM q GROUP BY ALL",
     "document_view": f"""WITH {_P} SELECT object_id AS source_object_id, list_filter([x.extraction.document_type FOR x IN rows], lambda v: length(v) > 0)[1] AS document_type, list_filter([x.extraction.language FOR x IN rows], lambda v: length(v) > 0)[1] AS language,
   list_filter([x.extraction.title FOR x IN rows], lambda v: length(v) > 0)[1] AS title, md5(coalesce(array_to_string(list_filter([x.extraction.main_text FOR x IN rows], lambda v: length(v) > 0), chr(10) || chr(10)), '')) AS main_text_md5,
   CAST(list_sum([len(x.extraction.tables) FOR x IN rows]) AS INT) AS tables, CAST(list_sum([len(x.extraction.figures) FOR x IN rows]) AS INT) AS figures, CAST(list_sum([len(x.extraction.formulas) FOR x IN rows]) AS INT) AS formulas, CAST(len(rows) AS INT) AS row_count FROM p""",
@@ -316,7 +359,8 @@ SELECT object_id, row_no, row_number() OVER (PARTITION BY object_id, row_no ORDE
 s AS (SELECT doc_id, text, n, i, length(p) - length(regexp_replace(p, '^\\s+', '')) AS gap, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS z, length(p) AS len FROM t), q AS (SELECT *, z - len + gap AS a FROM s),
 k AS (SELECT doc_id, piece FROM (SELECT doc_id, max(n) AS n FROM q GROUP BY doc_id), LATERAL (SELECT unnest(range(CAST(1 + greatest(0, ceil((n - 512) / 384.0)) AS BIGINT))) AS piece))
 SELECT k.doc_id, k.piece, CAST(a.a AS BIGINT) AS start, CAST(b.z AS BIGINT) AS "end", md5(substr(a.text, CAST(a.a + 1 AS BIGINT), CAST(b.z - a.a AS BIGINT))) AS content_md5 FROM k JOIN q a ON a.doc_id = k.doc_id AND a.i = k.piece * 384 + 1 JOIN q b ON b.doc_id = k.doc_id AND b.i = least(k.piece * 384 + 512, b.n)""",
-    "sentence_group_chunks": f"SELECT doc_id, CAST(ceil(len(list_filter(string_split({_SENT}, chr(1)), lambda s: regexp_matches(s, '\\S'))) / 5.0) AS BIGINT) AS groups FROM documents WHERE len(list_filter(string_split({_SENT}, chr(1)), lambda s: regexp_matches(s, '\\S'))) > 0",
+    "sentence_group_chunks": f"""WITH {_SENTENCES}, g AS (SELECT doc_id, text, CAST(floor((k - 1) / 5) AS BIGINT) AS piece, min(a) AS a, max(z) AS z FROM snt GROUP BY ALL)
+SELECT doc_id, piece, CAST(a AS BIGINT) AS start, CAST(z AS BIGINT) AS "end", md5(substr(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT))) AS content_md5 FROM g""",
     "source_fields": f"""WITH {_O}, x AS (SELECT object_id, uri, metadata AS m, lower(regexp_extract(uri, '[^./][^/]*\\.([^./]+)$', 1)) AS e, regexp_extract(uri, '([^/]*)$', 1) AS base FROM o)
 SELECT object_id, coalesce(nullif(e, ''), 'unknown') AS format, CASE e WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'tif' THEN 'image/tiff' WHEN 'json' THEN 'application/json' WHEN 'html' THEN 'text/html' WHEN 'csv' THEN 'text/csv'
   WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 'xlsx' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN 'pptx' THEN 'application/vnd.openxmlformats-officedocument.presentationml.presentation' ELSE 'application/octet-stream' END AS type_by_name,
@@ -328,7 +372,11 @@ SELECT object_id, coalesce(nullif(e, ''), 'unknown') AS format, CASE e WHEN 'pdf
 SELECT substr(sha1(object_id || '::initial-schema'), 1, 16) AS schema_id, object_id AS source_object_id, CAST(len(rows) AS INT) AS row_count, nt AS table_count, nf AS figure_count, nm AS formula_count,
   concat_ws(',', CASE WHEN dt IS NOT NULL THEN 'document.document_type' END, CASE WHEN la IS NOT NULL THEN 'document.language' END, CASE WHEN ti IS NOT NULL THEN 'document.title' END, CASE WHEN mt <> '' THEN 'document.main_text' END, CASE WHEN nt > 0 THEN 'tables' END, CASE WHEN nf > 0 THEN 'figures' END, CASE WHEN nm > 0 THEN 'formulas' END) AS observed,
   concat_ws(',', CASE WHEN nt > 0 THEN 'has_table' END, CASE WHEN nf > 0 THEN 'has_figure' END, CASE WHEN nm > 0 THEN 'has_formula' END) AS relationships, 21 AS declared FROM q""",
-    "stage_manifest": f"WITH {_P} SELECT 'ingestion' AS stage, count(*) AS document_count, count(*) AS succeeded_count, 0::BIGINT AS other_count, count(DISTINCT object_id) AS distinct_count, 'stage-metadata-v1' AS contract_version FROM p",
+    "stage_manifest": _DAMAGED + "SELECT 'ingestion' AS stage, count(*) AS document_count, count(*) FILTER (NOT bad) AS succeeded_count, count(*) FILTER (bad) AS other_count, count(DISTINCT object_id) AS distinct_count, 'stage-metadata-v1' AS contract_version FROM (SELECT object_id, (object_id, variant) IN (SELECT (object_id, variant) FROM reasons) AS bad FROM q)",
+    "recursive_chunks": _RECURSIVE,
+    "html_table_shapes": f"""WITH {_C}, t AS (SELECT chunk_id, text, string_split(regexp_replace(text, '<tr', chr(1), 'gi'), chr(1))[2:] AS rs FROM c WHERE chunk_type = 'table_chunk' AND text LIKE '<%'),
+w AS (SELECT chunk_id, text, rs, list_max([list_sum([CAST(coalesce(nullif(regexp_extract(d, 'colspan=.?([0-9]+)', 1), ''), '1') AS BIGINT) FOR d IN regexp_extract_all(r, '(?i)<t[dh][^>]*>')]) FOR r IN rs]) AS width FROM t)
+SELECT chunk_id, CASE WHEN len(rs) > 0 THEN CAST(len(rs) AS INT) END AS n_rows, CASE WHEN len(rs) > 0 THEN CAST(coalesce(width, 0) AS INT) END AS n_columns, CAST(len(regexp_extract_all(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) AS INT) AS tokens, CAST(len(regexp_extract_all(text, '(?i)\\browspan\\s*=')) AS INT) AS rowspans FROM w""",
     "paragraph_chunks": r"""WITH s AS (SELECT doc_id, text, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p, ps FROM (SELECT doc_id, text, string_split(regexp_replace(text, '
 
 +', chr(1), 'g'), chr(1)) AS ps, regexp_extract_all(text, '
@@ -356,7 +404,7 @@ SELECT count(*) AS chunks, round(avg(n), 1) AS chars_mean, CAST(max(n) FILTER (p
     "vector_norms": "SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding])), 6) AS norm FROM embeddings",
     "token_estimate": "SELECT doc_id, greatest(1, CAST(floor(length(text) * 0.5) AS INT) + 1) AS tokens, least(length(text), 24000) AS kept_chars FROM documents",
     "counts_by_type": f"WITH {_C} SELECT CASE chunk_type WHEN 'table_chunk' THEN 'table' WHEN 'figure_chunk' THEN 'image' ELSE 'text_chunk' END AS retrieval_type, count(*) AS n FROM c GROUP BY ALL",
-    "embedding_texts": f"WITH {_C} SELECT chunk_id, length(text) + CASE WHEN length(metadata.caption) > 0 AND NOT contains(text, metadata.caption) THEN length(metadata.caption) + 1 ELSE 0 END AS chars FROM c",
+    "embedding_texts": f"WITH {_C} SELECT chunk_id, md5(CASE WHEN length(metadata.caption) > 0 AND NOT contains(text, metadata.caption) THEN metadata.caption || chr(10) || text ELSE text END) AS text_md5 FROM c",
     "skip_existing": "WITH d AS (SELECT DISTINCT doc_id, config_hash FROM chunks), h AS (SELECT DISTINCT config_hash FROM chunks), o AS (SELECT DISTINCT object_id FROM data_objects) SELECT h.config_hash, count(*) AS n FROM o, h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = o.object_id AND d.config_hash = h.config_hash) GROUP BY ALL",
     "skipped_count": "SELECT count(DISTINCT object_id) AS skipped_existing FROM data_objects WHERE object_id IN (SELECT doc_id FROM chunks)",
     "missing_documents": "SELECT DISTINCT object_id AS source_object_id FROM data_objects WHERE object_id NOT IN (SELECT source_object_id FROM vector_records WHERE embedding_status IN ('embedded', 'failed'))",

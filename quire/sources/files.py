@@ -26,39 +26,39 @@ def hidden(relative):
 def local_files(spark: SparkSession, config: InputConfig, content: bool = True) -> DataFrame:
     """Files in the order of their folded relative paths; sizes above the cap are listed without content.
 
-    Spark lists and reads the files; those it skips (empty ones, and names that start with a dot or underscore) are added by a listing
-    of their own, and hidden ones (with a dot) are left out unless they are wanted. The cap on the number of files comes after the order.
+    Spark lists the files; those it skips (empty ones, and names that start with a dot or underscore) are added by a listing of their own,
+    and hidden ones (with a dot) are left out unless they are wanted. Names and sizes alone are put in order, and the cap on the number
+    of files comes after the order; the tasks then read the bytes of their part of the list from the shared folder.
     """
     root = os.path.abspath(config.path)
     base = root if os.path.isdir(root) else os.path.dirname(root)
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(config.recursive).lower())
-    found = r.load(root).select("path", "length", "content")
+    found = r.load(root).select("path", "length")
     special = _special(base, config) if os.path.isdir(root) else []
     if special:
-        found = found.unionByName(spark.createDataFrame([(x,) for x in special], "path string").mapInArrow(_read_special(config.max_bytes), "path string, length long, content binary"))
+        found = found.unionByName(spark.createDataFrame([(x, os.path.getsize(x)) for x in special], "path string, length long"))
     path = F.regexp_replace(F.col("path"), r"^file:/+", "/")
-    rel = X.portable_path(path, base)
-    df = found.select(path.alias("path"), rel.alias("relative"), "length", F.when(F.col("length") <= config.max_bytes, F.col("content")).alias("content") if content else F.lit(None).cast("binary").alias("content")).dropDuplicates(["path"])
+    df = found.select(path.alias("path"), X.portable_path(path, base).alias("relative"), "length").dropDuplicates(["path"])
     if not config.include_hidden:
         df = df.filter(~hidden(F.col("relative")))
     if config.extensions:
         df = df.filter(F.concat(F.lit("."), X.file_format(F.col("relative"))).isin(*config.extensions))
     df = df.orderBy(F.lower("relative"), "relative")
-    return df.limit(config.max_files) if config.max_files else df
+    df = df.limit(config.max_files) if config.max_files else df
+    return df.mapInArrow(_with_content(config.max_bytes), "path string, relative string, length long, content binary") if content else df.withColumn("content", F.lit(None).cast("binary"))
 
 
-def _read_special(max_bytes: int):
-    """Reads the files Spark's own reader passes over, from the shared folder."""
+def _with_content(max_bytes: int):
+    """Reads the listed files one by one, in the order of the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p in b.column(0).to_pylist():
-                n = os.path.getsize(p)
+            for k, p in enumerate(b.column(0).to_pylist()):
                 body = None
-                if n <= max_bytes:
+                if b.column(2)[k].as_py() <= max_bytes:
                     with open(p, "rb") as f:
                         body = f.read()
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([n], pa.int64()), pa.array([body], pa.binary())], names=["path", "length", "content"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in b.columns), pa.array([body], pa.binary())], names=["path", "relative", "length", "content"])
 
     return run
 
