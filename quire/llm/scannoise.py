@@ -2,13 +2,17 @@
 
 Noisy channel: a written word is some true word seen through character confusions, so a line is read by the words that maximise
 confusion probability times n-gram likelihood, decoded by Viterbi over the candidate words of each place. Word and bigram counts come
-from all texts; confusion probabilities are estimated from the corpus by one round of expectation-maximisation over its unknown words.
+from all texts. The confusions are learnt from the corpus: rare words are aligned with frequent ones that they differ from in one
+place by one or two characters, over all words, and a confusion that recurs in a good share of the words that could show it is one of
+the channel's; their probabilities come from a round of expectation-maximisation over all words. A short list of confusions known of
+recognisers is the prior, so that small corpora have a channel too.
 
 What is sent to the tasks is bounded: only words and bigrams with a share of at least ``min_share`` of all tokens belong to the model,
-so there are at most 1 / min_share of each, whatever the size of the corpus. A word that is no more frequent than the misreadings of
-a word that explains it by confusions is dropped from the model as a misreading that is itself frequent.
+so there are at most 1 / min_share of each, whatever the size of the corpus (``min_share=0, least_count=1`` holds every word). A word
+that is no more frequent than the misreadings of a word that explains it by confusions is dropped from the model as a misreading that
+is itself frequent. A word may be read with one confusion for each started three letters.
 
-Layout first: page-number lines and repeated heads are found per text, then words cut at line ends are joined if the joined word is
+Layout first: page-number lines and repeated heads are found per text, in the reading the channel gives their words, then words cut at line ends are joined if the joined word is
 known (after correction) and the form with its hyphen is not, then words are decoded, then lines are unwrapped into paragraphs.
 
 Defined results: null and empty texts have no defects and no repaired text; lines end at line and form feeds; one row per id, field
@@ -20,11 +24,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.session import cut
@@ -32,12 +38,14 @@ from quire.session import cut
 HYPHEN, HEADER, PAGE, MISREAD = "hyphen_break", "running_header", "page_number", "misread"
 MIN_SHARE = 4e-6
 RATE = 4e-3  # of a true word, misread in one way: an upper estimate
-#: True characters and what they are misread as.
-CONFUSIONS = [
-    ("e", "c"), ("c", "e"), ("a", "ä"), ("ä", "a"), ("ã", "a"), ("õ", "o"), ("o", "ö"), ("ö", "o"), ("u", "ü"), ("ü", "u"), ("s", "5"), ("i", "l"), ("l", "i"), ("r", "i"), ("t", "f"), ("f", "t"), ("o", "0"), ("n", "ri"), ("l", "1"), ("i", "1"), ("d", "cl"),
-    ("u", "ii"), ("ü", "ii"), ("m", "rn"), ("rn", "m"), ("g", "9"), ("q", "9"), ("h", "b"), ("b", "h"), ("b", "6"), ("w", "vv"), ("vi", "w"), ("li", "h"), ("ri", "n"), ("rt", "n"), ("cl", "d"), ("é", "c"), ("é", "6"), ("è", "c"), ("ê", "c"), ("z", "2"), ("b", "8"), ("s", "8"), ("t", "7"),
-    ("n", "u"), ("u", "n"), ("y", "v"), ("v", "y"), ("ß", "b"), ("ö", "6"), ("ó", "6"), ("ç", "c"), ("j", "i"), ("i", "j"), ("k", "lc"), ("h", "li"), ("nn", "m"), ("m", "nn"), ("g", "q"), ("c", "("), ("i", "|"), ("l", "|"),
+#: Confusions known of recognisers, true and seen: the prior of the channel.
+PRIOR = [
+    ("e", "c"), ("c", "e"), ("o", "0"), ("0", "o"), ("l", "1"), ("i", "1"), ("i", "l"), ("l", "i"), ("s", "5"), ("b", "8"), ("b", "6"), ("g", "9"), ("q", "9"), ("z", "2"), ("t", "f"), ("f", "t"), ("h", "b"), ("b", "h"), ("n", "u"), ("u", "n"),
+    ("m", "rn"), ("rn", "m"), ("n", "ri"), ("ri", "n"), ("d", "cl"), ("cl", "d"), ("h", "li"), ("li", "h"), ("w", "vv"), ("u", "ii"), ("a", "ä"), ("ä", "a"), ("o", "ö"), ("ö", "o"), ("u", "ü"), ("ü", "u"), ("é", "e"), ("c", "("), ("i", "|"), ("l", "|"),
 ]
+PRIOR_RATE = 1e-3
+# A confusion is learnt if it is seen in at least so many pairs of words, and in at least this share of the frequent words that could show it.
+LEARN_PAIRS, LEARN_SHARE, LEARN_COUNT = 4, 0.04, 100
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _PART = re.compile(r"[^\W_]+")
 _WRITTEN = re.compile(r"[(|]?[^\W_]+(?:[(|][^\W_]+)*")  # with signs that may be misread letters
@@ -47,26 +55,18 @@ _HYPHENS = ("-", "‐", "\xad", "¬")
 _STARTS = re.compile(r"^\s*([^\W_]+(?:[-'’][^\W_]+)*)")
 _SENTENCE_END = re.compile(r"[.!?:…][\"”»)\]]*$")
 _LINES = re.compile(r"[\n\f]")
-_PAGE_WORD = r"(?:(?:p[aá][g9][ei1l](?:n[a0])?|5eite|[s5][ec][ei1l][tf][ec]|p[aá]?g?|s|blatt|folio)\.?\s*)?"
+_LABELS = "page página pagina pag pág seite blatt folio p s".split()  # fixed values: what stands before page numbers
 _NUMBER = r"(?:\d{1,4}|[ivxlc]{1,8})"
-_MARKED = re.compile(rf"[\[(<–—\-·•|~\s]*{_PAGE_WORD}{_NUMBER}(?:\s*(?:[/·|]|of|von|de|sur)\s*\d{{1,5}})?\s*[\])>–—\-·•|~\s]*", re.I)
+_MARKED = re.compile(rf"[\[(<–—\-·•|~\s]*(?:(?:{'|'.join(_LABELS)})\.?\s*)?{_NUMBER}(?:\s*(?:[/·|]|of|von|de|sur)\s*\d{{1,5}})?\s*[\])>–—\-·•|~\s]*", re.I)
 _BARE = re.compile(r"\d{1,4}")
 _ROMAN = re.compile(r"(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _EDGE_NUMBER = re.compile(rf"^\s*{_NUMBER}\s{{2,}}|\s{{2,}}{_NUMBER}\s*$|^\s*\d{{1,4}}\s*[|·]\s*|\s*[|·]\s*\d{{1,4}}\s*$", re.I)
-_SKELETON = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("vi", "w"), ("rt", "n")]
-_SKELETON_ONE = str.maketrans({"c": "e", "é": "e", "è": "e", "ê": "e", "ä": "a", "á": "a", "5": "s", "l": "i", "1": "i", "r": "i", "f": "t", "0": "o", "9": "g", "b": "h", "6": "h", "ö": "o", "ü": "u"})
-
-
-def skeleton(line: str) -> str:
-    """A head line without its page number, case and anything but letters, equal for most misreadings of one another."""
-    s = "".join(_PART.findall(_EDGE_NUMBER.sub("", line).lower()))
-    for a, b in _SKELETON:
-        s = s.replace(a, b)
-    return s.translate(_SKELETON_ONE)
+HEAD_LETTERS = 6
+GRAM = 4
 
 
 def _near(a: str, b: str) -> bool:
-    """Whether two skeletons differ by at most one place in ten."""
+    """Whether two readings differ by at most one place in ten."""
     budget = min(len(a), len(b)) // 10
     if a == b:
         return True
@@ -82,12 +82,12 @@ def _near(a: str, b: str) -> bool:
     return row[-1] <= budget
 
 
-def page_lines(lines: list[str]) -> set[int]:
-    """Lines that hold only the number of their page."""
+def page_lines(lines: list[str], channel: Channel) -> set[int]:
+    """Lines that hold only the number of their page, a word for page before it read through the channel."""
     shown = [(i, s) for i, s in ((i, x.strip()) for i, x in enumerate(lines)) if s]
     out, bare = set(), []
     for k, (i, s) in enumerate(shown):
-        if len(s) > 24 or not _MARKED.fullmatch(s):
+        if s.count(" ") > 8 or not _MARKED.fullmatch(s) and not _MARKED.fullmatch(channel.label(s)):
             continue
         if _BARE.fullmatch(s):
             alone = not (k and _BARE.fullmatch(shown[k - 1][1])) and not (k + 1 < len(shown) and _BARE.fullmatch(shown[k + 1][1]))
@@ -104,24 +104,34 @@ def page_lines(lines: list[str]) -> set[int]:
     return out
 
 
-def head_lines(lines: list[str], pages: set[int]) -> set[int]:
-    """Head and foot lines that repeat over the pages."""
-    maybe: list[tuple[int, str]] = []
+def head_lines(lines: list[str], pages: set[int], channel: Channel) -> set[int]:
+    """Head and foot lines that repeat over the pages: equal, or nearly so, in the reading of the channel.
+
+    Lines that differ in at most one place in ten share a good part of their letter runs of GRAM, so only such groups are compared.
+    """
+    groups: list[tuple[str, list[int]]] = []
+    named: dict[str, int] = {}
+    holding: dict[str, list[int]] = {}
     for i, line in enumerate(lines):
         s = line.strip()
-        if i in pages or not 8 <= len(s) <= 110 or _SENTENCE_END.search(s) or s[-1] in ",;-‐­¬" or not (s[0].isupper() or s[0].isdigit()) or s.startswith(("|", "#")):
+        if i in pages or not s or not (s[0].isupper() or s[0].isdigit()) or s[-1] in ",;-‐­¬" or _SENTENCE_END.search(s):
             continue
-        k = skeleton(s)
-        if len(k) >= 6:
-            maybe.append((i, k))
-    groups: list[tuple[str, list[int]]] = []
-    for i, k in maybe:
-        for name, held in groups:
-            if _near(name, k):
-                held.append(i)
-                break
-        else:
-            groups.append((k, [i]))
+        k = channel.reading(_EDGE_NUMBER.sub("", s))
+        if len(k) < HEAD_LETTERS:
+            continue
+        at = named.get(k)
+        if at is None:
+            grams = {k[j : j + GRAM] for j in range(len(k) - GRAM + 1)}
+            least = len(grams) - GRAM * (len(k) // 10)
+            shared = Counter(g for x in grams for g in holding.get(x, ()))
+            at = next((g for g, n in sorted(shared.items()) if n >= least and _near(groups[g][0], k)), None)
+            if at is None:
+                at = len(groups)
+                groups.append((k, []))
+                for x in grams:
+                    holding.setdefault(x, []).append(at)
+            named[k] = at
+        groups[at][1].append(i)
     out: set[int] = set()
     for _, held in groups:
         if len(held) > 1 and all(b - a > 1 for a, b in zip(held, held[1:])):
@@ -129,89 +139,102 @@ def head_lines(lines: list[str], pages: set[int]) -> set[int]:
     return out
 
 
+class _Written(dict):
+    """Of each written token (between white space, in lower case): its words, and the compounds among them."""
+
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[raw] = tuple(_PART.findall(raw))
+        return got
+
+
+_CUT = re.compile(r"\S*[-‐­¬][ \t]*[\n\f]\s*\S*")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, hyphenated words and bigrams within lines; words cut at line ends are left out. Added up per task first."""
+    """Counts of words, hyphenated words and bigrams; words cut at line ends are left out. Added up per task first."""
     kinds: dict[str, Counter] = {"word": Counter(), "compound": Counter(), "pair": Counter(), "total": Counter()}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for kind, counts in kinds.items():
             if counts:
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(counts), pa.string()), pa.array(list(map(" ".join, counts)) if kind == "pair" else list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "key", "n"])
                 counts.clear()
 
+    written = _Written()
     for b in batches:
         for text in b.column(2).to_pylist():
-            words: list[str] = []
-            pairs: list[str] = []
-            cut_word = False
-            for line in _LINES.split(text.lower()):
-                s = line.strip()
-                if not s:
-                    continue
-                tokens = _TOKEN.findall(s)
-                if cut_word:
-                    tokens = tokens[1:]
-                cut_word = s[-1] in _HYPHENS
-                if cut_word:
-                    tokens = tokens[:-1]
-                parts = _PART.findall(" ".join(tokens))
-                words += parts
-                pairs += map(" ".join, zip(parts, parts[1:]))
-                if "-" in s:
-                    kinds["compound"].update(t for t in tokens if "-" in t)
+            raw = _CUT.sub(" \n ", text.lower()).split()
+            words = list(chain.from_iterable(map(written.__getitem__, raw)))
             kinds["word"].update(words)
-            kinds["pair"].update(pairs)
+            kinds["pair"].update(zip(words, words[1:]))
+            kinds["compound"].update(t for x in raw if "-" in x for t in _TOKEN.findall(x) if "-" in t)
             kinds["total"][""] += len(words)
         if sum(map(len, kinds.values())) > 300_000:
             yield from flush()
     yield from flush()
 
 
-def inverse_edits(word: str, rules: list[tuple[str, str]], places: int = 2) -> dict[str, list[tuple[str, str]]]:
-    """Words that would be written as ``word`` by at most ``places`` confusions, with the confusions."""
-    out: dict[str, list[tuple[str, str]]] = {word: []}
-    new = {word: 0}  # word -> first position that may still be changed
-    for _ in range(places):
-        step: dict[str, int] = {}
-        for w, frm in new.items():
-            for true, seen in rules:
-                at = w.find(seen, frm)
-                while at >= 0:
-                    v = w[:at] + true + w[at + len(seen) :]
-                    if v not in out:
-                        out[v] = [*out[w], (true, seen)]
-                        step[v] = at + len(true)
-                    at = w.find(seen, at + 1)
-        new = step
-    del out[word]
-    return out
-
-
 class Channel:
     """Lexicon, bigrams and confusion probabilities."""
 
-    def __init__(self, words: dict[str, int], compounds: dict[str, int], pairs: dict[str, int], total: int, rates: dict[tuple[str, str], float] | None = None):
-        self.rules = [r for r in CONFUSIONS if rates is None or rates.get(r, 0) > 0]
-        self.rates = {r: math.log((rates or {}).get(r, 1e-3)) for r in self.rules}
+    def __init__(self, words: dict[str, int], compounds: dict[str, int], pairs: dict[str, int], total: int, rates: dict[tuple[str, str], float]):
+        self.rules = [r for r in rates if rates[r] > 0]
+        self.rates = {r: math.log(rates[r]) for r in self.rules}
         self.total = max(1, total)
-        ranked = sorted(words, key=lambda w: -words[w])
-        self.words: dict[str, int] = {}
-        for w in ranked:
-            if _CODE.fullmatch(w) or len(w) < 3 or not self._explained(w, words[w]):
-                self.words[w] = words[w]
+        self.words = words
+        self.order = sorted(words)
+        self.begins: dict[str, list[tuple[str, str]]] = {}
+        for rule in self.rules:
+            self.begins.setdefault(rule[1][0], []).append(rule)
         self.compounds = compounds
         self.pairs = {p: n for p, n in pairs.items() if all(w in self.words for w in p.split(" "))}
         self.unknown = math.log(1e-8 / self.total)  # any explanation by confusions is likelier than a new word
+        self.signs = {seen for _, seen in self.rules if not seen.isalnum()}
         self.cache: dict[str, list[tuple[str, float]]] = {}
+        self.clean: dict[str, bool] = {}
+        self.labels = {seen for t in _LABELS if len(t) > 2 for seen in _written_as(t, self.rules)}
 
-    def _explained(self, w: str, n: int) -> bool:
-        """Whether w is no more frequent than misreadings of some other word of the lexicon are (four standard deviations allowed)."""
-        for v in inverse_edits(w, self.rules, 1 if len(w) < 5 else 2):
-            often = RATE * self.words.get(v, 0)
-            if often and n <= often + 4 * math.sqrt(often) + 4:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}, "clean": {}}
+
+    def explained(self, w: str, n: int) -> bool:
+        """Whether w is no more frequent than misreadings of some more frequent word of the lexicon are (four standard deviations allowed)."""
+        if _CODE.fullmatch(w) or len(w) < 3:
+            return False
+        for v in self.readings(w, 1 if len(w) < 5 else 2):
+            often = RATE * self.words[v]
+            if self.words[v] > n and n <= often + 4 * math.sqrt(often) + 4:
                 return True
         return False
 
+    def readings(self, w: str, places: int) -> dict[str, tuple]:
+        """Words of the lexicon that may be written as ``w`` by one to ``places`` confusions, each with the likeliest ones.
+
+        The word is read from left to right; a reading goes on only as long as some word of the lexicon begins like it.
+        """
+        order, out, n = self.order, {}, len(w)
+        open_ = [(0, "", ())]
+        while open_:
+            at, head, used = open_.pop()
+            if at == n:
+                if used and head in self.words and (head not in out or self.cost(used) > self.cost(out[head])):
+                    out[head] = used
+                continue
+            steps = [(w[at], 1, used)]
+            if len(used) < places:
+                steps += [(rule[0], len(rule[1]), (*used, rule)) for rule in self.begins.get(w[at], ()) if w.startswith(rule[1], at)]
+            for add, width, now in steps:
+                longer = head + add
+                i = bisect_left(order, longer)
+                if i < len(order) and order[i].startswith(longer):
+                    open_.append((at + width, longer, now))
+        return out
+
+    def cost(self, used: tuple) -> float:
+        return sum(self.rates[r] for r in used)
+
     def candidates(self, written: str) -> list[tuple[str, float]]:
         """Possible true words of a written word, with the log-probability of the channel."""
         w = written.lower()
@@ -220,15 +243,34 @@ class Channel:
         if w in self.words or len(w) < 3 or _CODE.fullmatch(w):
             out = [(w, 0.0)]
         else:
-            found = [(v, sum(self.rates[r] for r in rules)) for v, rules in inverse_edits(w, self.rules, 1 if len(w) < 4 else 2).items() if v in self.words]
-            if not found and len(w) >= 9:
-                found = [(v, sum(self.rates[r] for r in rules)) for v, rules in inverse_edits(w, self.rules, 3).items() if v in self.words]
-            out = [(w, 0.0), *found]
+            found = self.readings(w, -(-len(w) // 3))
+            few = [v for v, used in found.items() if len(used) <= 2]
+            out = [(w, 0.0), *((v, self.cost(found[v])) for v in few or found)]  # more than two confusions only where fewer explain nothing
         if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[w] = out
         return out
 
+    def is_clean(self, raw: str) -> bool:
+        """Whether a written token (between white space) can only be read as it stands."""
+        got = self.clean.get(raw)
+        if got is None:
+            if len(self.clean) > 300_000:
+                self.clean.clear()
+            got = all(len(self.candidates(raw[a:z])) == 1 for m in _WRITTEN.finditer(raw) for a, z in _words(m, self))
+            self.clean[raw] = got
+        return got
+
+    def label(self, line: str) -> str:
+        """A short line with the misread words for page put right."""
+        return _LABEL_WORD.sub(lambda m: "page" if m[0].lower() in self.labels else m[0], line)
+
+    def reading(self, line: str) -> str:
+        """The letters and digits of a line as the channel reads it, in lower case."""
+        if all(map(self.is_clean, line.split())):
+            return "".join(_PART.findall(line.lower()))
+        return "".join(_PART.findall(_rewrite(line, self, False)[0].lower()))
+
     def prior(self, w: str, before: str | None) -> float:
         """Interpolated bigram likelihood; an unknown word has a small fixed one."""
         n = self.words.get(w, 0)
@@ -239,18 +281,38 @@ class Channel:
         return math.log(p)
 
     def decode(self, parts: list[str]) -> list[str]:
-        """The likeliest true words of a line, by Viterbi over the candidates of each place."""
+        """The likeliest true words of a line, by Viterbi over the candidates of each place.
+
+        A word with one candidate parts the lattice, so each run of doubtful words is decoded between the sure ones around it.
+        """
         options = [self.candidates(w) for w in parts]
-        if all(len(o) == 1 for o in options):
-            return [o[0][0] for o in options]
-        best = [(c + self.prior(w, None), [w]) for w, c in options[0]]
-        for here in options[1:]:
-            step = []
-            for w, c in here:
-                score, path = max(((s + self.prior(w, p[-1]), p) for s, p in best), key=lambda x: x[0])
-                step.append((score + c, [*path, w]))
-            best = step
-        return max(best, key=lambda x: x[0])[1]
+        out = [o[0][0] for o in options]
+        k, n = 0, len(parts)
+        while k < n:
+            if len(options[k]) == 1:
+                k += 1
+                continue
+            z = k
+            while z < n and len(options[z]) > 1:
+                z += 1
+            before = out[k - 1] if k else None
+            score = [c + self.prior(w, before) for w, c in options[k]]
+            back: list[list[int]] = []
+            for i in range(k + 1, min(z + 1, n)):  # the sure word after the run takes part in its score
+                step, came = [], []
+                for w, c in options[i]:
+                    best = max(range(len(score)), key=lambda j: score[j] + self.prior(w, options[i - 1][j][0]))
+                    step.append(score[best] + self.prior(w, options[i - 1][best][0]) + c)
+                    came.append(best)
+                score = step
+                back.append(came)
+            j = max(range(len(score)), key=score.__getitem__)
+            for i in range(k + len(back), k - 1, -1):
+                out[i] = options[i][j][0]
+                if i > k:
+                    j = back[i - k - 1][j]
+            k = z
+        return out
 
     def corrected(self, w: str) -> str:
         return self.decode([w])[0]
@@ -271,7 +333,7 @@ class Channel:
             return None
         if self._known(whole):
             return left + right
-        if self._known(_fix(self, a)) and self._known(_fix(self, b)):  # two words that are known apart: likely a compound of its own
+        if self._known(a) and self._known(b):  # two words that are known apart: likely a compound of its own
             return None
         return left + right if right[:1].islower() and not re.search(r"\d", whole) else None
 
@@ -279,8 +341,16 @@ class Channel:
         return w in self.words or self.corrected(w) in self.words
 
 
-def _fix(channel: Channel, w: str) -> str:
-    return channel.corrected(w)
+_LABEL_WORD = re.compile(r"[^\W_]+")
+
+
+def _written_as(word: str, rules: list[tuple[str, str]], places: int = 2) -> set[str]:
+    """What a word may be written as by at most ``places`` confusions."""
+    out, new = {word}, {(word, 0)}
+    for _ in range(places):
+        new = {(w[:i] + seen + w[i + len(true) :], i + len(seen)) for w, start in new for true, seen in rules for i in range(start, len(w)) if w.startswith(true, i)}
+        out |= {w for w, _ in new}
+    return out
 
 
 def _match_case(written: str, true: str) -> str:
@@ -298,11 +368,11 @@ def _words(m: re.Match, channel: Channel) -> list[tuple[int, int]]:
 
 
 def _rewrite(line: str, channel: Channel, skip_last: bool) -> tuple[str, bool]:
+    if all(map(channel.is_clean, line.split())):
+        return line, False
     spans = [p for m in _WRITTEN.finditer(line) for p in _words(m, channel)]
     if skip_last and spans and spans[-1][1] == len(line.rstrip()):
         spans = spans[:-1]
-    if not spans:
-        return line, False
     parts = [line[a:z] for a, z in spans]
     out, last, changed = [], 0, False
     for (a, z), written, true in zip(spans, parts, channel.decode(parts)):
@@ -317,8 +387,8 @@ def repair(text: str, channel: Channel) -> tuple[str, set[str]]:
     """Continuous paragraphs and the defects that were there."""
     lines = _LINES.split(text)
     defects: set[str] = set()
-    pages = page_lines(lines)
-    heads = head_lines(lines, pages)
+    pages = page_lines(lines, channel)
+    heads = head_lines(lines, pages, channel)
     if pages:
         defects.add(PAGE)
     if heads:
@@ -373,37 +443,73 @@ def texts_of(df: DataFrame, id: str, text: str, field: str) -> DataFrame:
     return df.select(F.col(id).cast("string").alias("id"), F.lit(field).alias("field"), F.col(text).cast("string").alias("text")).filter("id is not null and length(text) > 0")
 
 
-def fit(texts: DataFrame, min_share: float = MIN_SHARE) -> Channel:
-    """Counts over all texts, then one round of EM for the confusion probabilities over all words."""
+def _holes(word: Column, lengths: list[int]) -> Column:
+    """A word with each of its places (of these lengths) blanked out: structs key, part."""
+
+    def at(n: int) -> Column:
+        last = F.length(word) - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(F.concat(F.substring(word, F.lit(1), i - 1), F.lit("\0"), F.substring(word, i + n, F.length(word))).alias("key"), F.substring(word, i, F.lit(n)).alias("part")))).otherwise(F.array())
+
+    return F.flatten(F.array(*map(at, lengths)))
+
+
+def learnt_confusions(counts: DataFrame) -> list[tuple[str, str]]:
+    """Confusions that recur between rare words and frequent words one place apart. counts: kind, key, n of all words.
+
+    Words meet by what is left of them with one or two neighbouring characters blanked out. Of true and seen at least one is a single
+    character, and they share neither their first nor their last one. What comes to the driver is a row a confusion.
+    """
+    words = counts.filter((F.col("kind") == "word") & (F.length("key") >= 4)).select(F.col("key").alias("word"), "n")
+    often = words.filter((F.col("n") >= LEARN_COUNT) & F.col("word").rlike(r"^\p{L}+$"))
+    true = often.select("word", F.col("n").alias("n_true"), F.explode(_holes(F.col("word"), [1, 2])).alias("h")).select("n_true", "h.key", F.col("h.part").alias("true"))
+    seen = words.filter(~F.col("word").rlike(r"^\p{N}+$")).select("n", F.explode(_holes(F.col("word"), [1, 2])).alias("h")).select("n", "h.key", F.col("h.part").alias("seen"))
+    apart = (F.substring("true", 1, 1) != F.substring("seen", 1, 1)) & (F.right("true", F.lit(1)) != F.right("seen", F.lit(1))) & (F.length("true") + F.length("seen") <= 3)
+    pairs = true.join(seen, "key").filter(apart & (F.col("n") <= RATE * F.col("n_true") + 4 * F.sqrt(RATE * F.col("n_true")) + 4))
+    found = pairs.groupBy("true", "seen").agg(F.count("*").alias("pairs"))
+    could = often.select(F.explode(F.array_distinct(F.transform(_holes(F.col("word"), [1, 2]), lambda h: h["part"]))).alias("true")).groupBy("true").agg(F.count("*").alias("words"))
+    kept = found.filter(F.col("pairs") >= LEARN_PAIRS).join(could, "true").filter(F.col("pairs") >= LEARN_SHARE * F.col("words"))
+    return sorted((r["true"], r["seen"]) for r in kept.collect())
+
+
+def fit(texts: DataFrame, min_share: float = MIN_SHARE, least_count: int = 2, prior: list[tuple[str, str]] = PRIOR) -> Channel:
+    """Counts over all texts, the confusions they show, then one round of EM for their probabilities over all words."""
     counts = cut(texts.mapInArrow(_count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = sum(r["n"] for r in counts.filter("kind = 'total'").collect())
-    least = max(2, math.ceil(min_share * total))
+    least = max(least_count, math.ceil(min_share * total))
     held: dict[str, dict[str, int]] = {"word": {}, "compound": {}, "pair": {}}
     for r in counts.filter((F.col("kind") != "total") & (F.col("n") >= least)).toLocalIterator():  # at most 1 / min_share of each kind
         held[r["kind"]][r["key"]] = r["n"]
-    first = Channel(held["word"], held["compound"], held["pair"], total)
-    sent = texts.sparkSession.sparkContext.broadcast(first)
+    rules = list(dict.fromkeys([*prior, *learnt_confusions(counts)]))
+    spark = texts.sparkSession
+    words = counts.filter("kind = 'word'").select("key", "n")
+    first = spark.sparkContext.broadcast(Channel(held["word"], {}, {}, total, dict.fromkeys(rules, PRIOR_RATE)))
+
+    def misreadings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([first.value.explained(w, n) for w, n in zip(*(c.to_pylist() for c in b.columns))]))
+
+    for r in words.filter(F.col("n") >= least).mapInArrow(misreadings, "key string, n long").toLocalIterator():  # words of the lexicon
+        del held["word"][r["key"]]
+    sent = spark.sparkContext.broadcast(Channel(held["word"], held["compound"], held["pair"], total, dict.fromkeys(rules, PRIOR_RATE)))
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules: Counter = Counter()
+        tally: Counter = Counter()
+        channel = sent.value
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                options = sent.value.candidates(w)
-                if len(options) > 1:
-                    true = sent.value.corrected(w)
-                    if true != w:
-                        for rule in inverse_edits(w, sent.value.rules, 3 if len(w) >= 9 else 2).get(true, []):
-                            rules[rule] += n
-        if rules:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rules], pa.string()), pa.array([r[1] for r in rules], pa.string()), pa.array(list(rules.values()), pa.int64())], names=["true", "seen", "n"])
+                true = channel.corrected(w) if len(channel.candidates(w)) > 1 else w
+                if true != w:
+                    for rule in channel.readings(w, -(-len(w) // 3)).get(true, ()):
+                        tally[rule] += n
+        if tally:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in tally], pa.string()), pa.array([r[1] for r in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], names=["true", "seen", "n"])
 
-    words = counts.filter("kind = 'word'").select("key", "n")
     seen = {(r["true"], r["seen"]): r["n"] for r in words.mapInArrow(explain, "true string, seen string, n long").groupBy("true", "seen").agg(F.sum("n").alias("n")).collect()}  # a row a rule
     chars: Counter = Counter()
-    for w, n in first.words.items():
-        for true in {r[0] for r in CONFUSIONS}:
+    for w, n in held["word"].items():
+        for true in {r[0] for r in rules}:
             chars[true] += n * w.count(true)
-    rates = {r: (seen.get(r, 0) + 0.5) / (chars[r[0]] + 1000.0) for r in CONFUSIONS}
+    rates = {r: (seen.get(r, 0) + 0.5) / (chars[r[0]] + 1000.0) for r in rules}
     return Channel(held["word"], held["compound"], held["pair"], total, rates)
 
 

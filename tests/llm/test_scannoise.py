@@ -91,3 +91,45 @@ def test_query_form(spark):
     assert {r["id"] for r in scannoise.repaired(t).collect()} == {"a", "l"}
     empty = scannoise.texts_of(df.limit(0), "id", "text", "f")
     assert scannoise.defects(empty).count() == 0 and scannoise.repaired(empty).count() == 0
+
+
+def test_confusions_are_learnt_from_the_corpus(spark):
+    """A confusion that is not in the prior is found by aligning words, and corrected in words where it was never seen."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(80):
+        words = [w for line in clean_lines(rnd, 30) for w in [*line.split(), "house", "dispatch", "sustain"]]
+        for k, w in enumerate(words):
+            if "s" in w and w not in ("house", "dispatch") and rnd.random() < 0.015:
+                words[k] = w.replace("s", "z", 1)
+        rows.append((str(i), " ".join(words)))
+    t = scannoise.texts_of(spark.createDataFrame(rows, "id string, text string"), "id", "text", "f")
+    ch = scannoise.fit(t, 1e-5, prior=[])
+    assert ("s", "z") in ch.rules and 0.001 < 2.718281828 ** ch.rates["s", "z"] < 0.05 and len(ch.rules) <= 4
+    assert scannoise.repair("the houze and the dizpatch", ch) == ("the house and the dispatch", {"misread"})
+
+
+def test_the_whole_lexicon_can_be_held(spark):
+    rows = [("a", "the table reader and the unique zebra"), ("b", "the table reader and the table of contents")]
+    t = scannoise.texts_of(spark.createDataFrame(rows, "id string, text string"), "id", "text", "f")
+    assert "zebra" in scannoise.fit(t, 0, 1).words and "zebra" not in scannoise.fit(t).words
+
+
+def test_many_heads_and_misread_labels(channel):
+    n = len(WORDS)
+    heads = [f"The {WORDS[k % n]} {WORDS[(k * 7 + 3) % n]} {WORDS[(k * 11 + 5) % n]} Archive" for k in range(60)]
+    lines = []
+    for n in range(3):
+        for k, h in enumerate(heads):
+            lines += [h if n < 2 else h.replace("e", "c", 1), f"the careful editor writes {k} more", f"{'Page' if n else 'Pagc'} {n * 60 + k + 1}"]
+    got = scannoise.head_lines(lines, scannoise.page_lines(lines, channel), channel)
+    assert {i for i in range(0, len(lines), 3)} == got
+    assert scannoise.page_lines(lines, channel) == set(range(2, len(lines), 3))
+    assert scannoise.page_lines(["Pagc 4", "Pagan 4", "12 of 40", "- xii -", "Seite | 7", "Paragraph 7"], channel) >= {0, 2, 3}
+
+
+def test_runs_of_doubtful_words_are_decoded_between_sure_ones(channel):
+    whole = "the tablc rcader chccks evcry page bordcr and a carcful edifor".split()
+    got = channel.decode(whole)
+    assert got == "the table reader checks every page border and a careful editor".split()
+    assert channel.decode([]) == [] and channel.decode(["tablc"]) == ["table"]
