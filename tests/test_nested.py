@@ -15,7 +15,7 @@ def test_shred_paths_hashes_and_odd_bodies(spark):
     occ = nested.occurrences(s).collect()
     by = {(r["record_id"], r["node_path"]): r for r in occ}
     assert len(by) == len(occ)
-    assert {p for r, p in by if r == "r1"} == {"xs[1]", "xs[1].in.cols[0]", "xs[1].in.cols[1]", "xs[1].in.cols[0].children[2]", "xs[1].in.cols[1].children[2]", "xs[2]", "xs[2].in.cols.k", "xs[2].in.cols.k.children[2]", "xs[2].one", "xs[4]"}
+    assert {p for (r, p), x in by.items() if r == "r1" and x["node_kind"] != nested.INNER} == {"xs[1]", "xs[1].in.cols[0]", "xs[1].in.cols[1]", "xs[1].in.cols[0].children[2]", "xs[1].in.cols[1].children[2]", "xs[2]", "xs[2].in.cols.k", "xs[2].in.cols.k.children[2]", "xs[2].one", "xs[4]"}
     assert by["r1", "xs[1].in.cols[0].children[2]"]["parent_path"] == "xs[1].in.cols[0]" and by["r1", "xs[2]"]["parent_path"] == ""
     assert by["r1", "xs[1].in.cols[0]"]["node_hash"] == by["r1", "xs[2].in.cols.k"]["node_hash"]
     assert by["r6", "xs[0].one"]["node_hash"] == by["r1", "xs[2].one"]["node_hash"]
@@ -28,7 +28,12 @@ def test_shred_paths_hashes_and_odd_bodies(spark):
         return [whole(v) for v in o] if isinstance(o, list) else o
 
     assert whole(objects[by["r1", "xs[1]"]["node_hash"]]) == body["xs"][1]
-    assert nested.flat(s, "c", {"n": "$.n"}).count() == 6
+    assert by["r1", "xs[1].in"]["parent_path"] == "xs[1]" and by["r1", "xs[1].in"]["parent_hash"] == by["r1", "xs[1]"]["node_hash"]
+    flat = nested.shred(df, "record_id", "body", RULES, inline=True)
+    assert nested.flat(flat, "c", {"n": "$.n"}).count() == 6 and not flat.filter(flat.node_kind == nested.INNER).count()
+    assert {(r["record_id"], r["node_path"]): r["node_hash"] for r in flat.collect()} == {k: r["node_hash"] for k, r in by.items() if r["node_kind"] != nested.INNER}
+    again = {(r["record_id"], r["node_path"]): r for r in nested.rebuilt(nested.objects(s), nested.occurrences(s)).collect()}
+    assert json.loads(again["r1", "xs[1]"]["json"]) == body["xs"][1] and json.loads(again["r1", "xs[2]"]["json"]) == json.loads(body["xs"][2]) and again["r1", "xs[4]"]["leaves"] == 2
     assert nested.shred(spark.createDataFrame([], "record_id string, body string"), "record_id", "body", RULES).count() == 0
 
 
