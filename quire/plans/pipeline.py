@@ -25,6 +25,7 @@ EXTRACTION = "struct<document_type:string,language:string,title:string,main_text
 
 @dataclass
 class Output:
+    parsed: DataFrame
     accepted: DataFrame
     quarantined: DataFrame
     chunks: DataFrame
@@ -70,22 +71,26 @@ def run(objects: DataFrame, config: ChunkEmbedConfig, providers: dict | None = N
     embedder = create_embedder(config.embedder, config.embedder_params)
     items, vecs = retrieval.items(chunks), retrieval.vectors(chunks, embedder)
     errors = retrieval.without_records(ok.select(F.col("object_id").alias("source_object_id")), items, retrieval.failures(ok))
-    return Output(ok, out, chunks, items, vecs, retrieval.embedding_report(items, vecs, errors, embedder.model, embedder.dimension))
+    return Output(checked, ok, out, chunks, items, vecs, retrieval.embedding_report(items, vecs, errors, embedder.model, embedder.dimension))
 
 
 def write(out: Output, objects: DataFrame, folder: str) -> None:
-    ingested = artifacts.ingested(out.accepted, out.quarantined)
+    source = objects.drop("content")
+    ingested = artifacts.ingested(source, out.parsed.drop("reasons"), documents.initial_schema(out.accepted).select("source_object_id", "schema_id"), out.quarantined)
     artifacts.write_stage(ingested, folder, "ingested", keep_nulls=True)
-    artifacts.write_manifest(retrieval.manifest(ingested, "ingested", "document_id", "status"), folder, "ingested")
+    artifacts.write_manifest(retrieval.manifest(ingested, "ingested", "document_id", "status").crossJoin(F.broadcast(artifacts.progress(ingested).select(F.struct("*").alias("progress")))), folder, "ingested")  # a row with a row
+    kept = source.join(out.accepted.select("object_id"), "object_id", "left_semi")
     view = documents.view(out.accepted)
-    for stage, kind in (("cleaned", "cleaned"), ("enriched", "enriched")):
-        schemas = documents.next_schema(view.select("source_object_id"), kind)
-        artifacts.write_stage(documents.pass_through(view, schemas), folder, stage)
+    passed = {}
+    for stage in ("cleaned", "enriched"):
+        schemas = documents.next_schema(view.select("source_object_id"), stage)
+        passed[stage] = documents.pass_through(view, schemas)
+        artifacts.write_stage(artifacts.passed_on(kept, passed[stage], schemas, stage), folder, stage)
     nested = retrieval.with_vectors(out.items, out.vectors)
-    artifacts.write_stage(nested.drop("lexical"), folder, "embedded")
-    m = objects.withColumn("metadata", F.col("metadata").withField("s3_bucket", F.lit(None).cast("string")).withField("s3_key", F.lit(None).cast("string")).withField("s3_etag", F.lit(None).cast("string")))
+    artifacts.write_stage(artifacts.embedded(kept, nested), folder, "embedded")
+    m = kept.withColumn("metadata", F.col("metadata").withField("s3_bucket", F.lit(None).cast("string")).withField("s3_key", F.lit(None).cast("string")).withField("s3_etag", F.lit(None).cast("string")))
     identity = retrieval.document_identity(m, view)
-    artifacts.write_stage(artifacts.output(identity, view, nested), folder, "output")
+    artifacts.write_stage(artifacts.output(identity, kept, out.accepted.drop("reasons"), passed["cleaned"], passed["enriched"], nested), folder, "output")
     artifacts.write_manifest(out.report.select(F.lit("output").alias("stage"), F.col("eligible_count").alias("document_count"), "status"), folder, "output")
 
 

@@ -280,6 +280,43 @@ def stage_manifest(spark, sf_dir):
     return retrieval.manifest(v, "ingestion", "object_id", "status")
 
 
+def _stages(spark, sf_dir):
+    """Objects, parsed documents, the schemas of the accepted ones and the quarantine rows; documents without a text of their own are emptied, so that some are quarantined."""
+    o = documents.latest(_objects(spark, sf_dir), "object_id", "loaded_at")
+    p = _parsed(spark, sf_dir)
+    v = documents.validated(p.withColumn("rows", F.when(F.col("text").isNull(), F.slice("rows", 1, 0)).otherwise(F.col("rows"))))
+    ok = documents.accepted(v)
+    return o, v.drop("reasons"), ok, documents.initial_schema(ok).select("source_object_id", "schema_id"), documents.quarantined(v)
+
+
+def ingested_stage(spark, sf_dir):
+    from quire.plans import artifacts
+
+    o, p, _, schemas, bad = _stages(spark, sf_dir)
+    i = artifacts.ingested(o, p, schemas, bad)
+    return i.select("document_id", "contract_version", "status", "source.uri", F.md5("parsed.text").alias("text_md5"), F.size("parsed.rows").alias("rows"), "schema_id", "failure.disposition", F.array_join("failure.reasons.code", ",").alias("codes"))
+
+
+def stage_progress(spark, sf_dir):
+    from quire.plans import artifacts
+
+    o, p, _, schemas, bad = _stages(spark, sf_dir)
+    return artifacts.progress(artifacts.ingested(o, p, schemas, bad))
+
+
+def output_stage(spark, sf_dir):
+    """The five sections of the final documents."""
+    from quire.plans import artifacts
+
+    o, p, ok, _, _ = _stages(spark, sf_dir)
+    kept = o.join(ok.select("object_id"), "object_id", "left_semi")
+    view = documents.view(ok)
+    clean, rich = (documents.pass_through(view, documents.next_schema(view.select("source_object_id"), k)) for k in ("cleaned", "enriched"))
+    items = retrieval.with_vectors(retrieval.items(chunking.document_chunks(_doc_rows(spark, sf_dir).join(ok.select(F.col("object_id").alias("doc_id")), "doc_id", "left_semi"), CONFIG)), read(spark, sf_dir, "vector_records").limit(0))
+    out = artifacts.output(retrieval.document_identity(kept, view), kept, ok.drop("reasons"), clean, rich, items)
+    return out.select("document_id", "document.title", "ingest.source.uri", F.md5("ingest.data.text").alias("text_md5"), "clean.data.row_count", F.col("clean.data.source_schema_id").alias("clean_schema"), F.col("enrich.data.source_schema_id").alias("enrich_schema"), F.coalesce(F.size("retrieval.items"), F.lit(0)).alias("items"), "retrieval.lexical_stats.N", "retrieval.lexical_stats.avgdl")
+
+
 def strip_audit(spark, sf_dir):
     from quire.plans.artifacts import strip_fields_py
 
@@ -294,7 +331,7 @@ def document_search(spark, sf_dir):
     return d.filter(F.contains(hay, F.lit("table summary"))).select("source_object_id", "title")
 
 
-QUERIES = {f.__name__: f for f in (doc_ids, source_fields, route_by_extension, validation_reasons, quarantine_split, document_view, schema_inference, reading_order, page_bounds, figure_filter, source_refs, document_chunks, retrieval_items, retrieval_vectors, fixed_overlap_chunks, sentence_group_chunks, paragraph_chunks, recursive_chunks, term_frequency, corpus_stats, document_frequency, hash_embedding, vector_norms, token_estimate, chunk_quality, counts_by_type, embedding_texts, skip_existing, skipped_count, missing_documents, chunk_vectors, request_order, document_identity, markdown_rows, table_groups, html_table_shapes, table_guard, table_markdown, cell_normalize, json_props, component_boxes, stage_manifest, strip_audit, document_search)}
+QUERIES = {f.__name__: f for f in (doc_ids, source_fields, route_by_extension, validation_reasons, quarantine_split, document_view, schema_inference, reading_order, page_bounds, figure_filter, source_refs, document_chunks, retrieval_items, retrieval_vectors, fixed_overlap_chunks, sentence_group_chunks, paragraph_chunks, recursive_chunks, term_frequency, corpus_stats, document_frequency, hash_embedding, vector_norms, token_estimate, chunk_quality, counts_by_type, embedding_texts, skip_existing, skipped_count, missing_documents, chunk_vectors, request_order, document_identity, markdown_rows, table_groups, html_table_shapes, table_guard, table_markdown, cell_normalize, json_props, component_boxes, stage_manifest, ingested_stage, stage_progress, output_stage, strip_audit, document_search)}
 
 _P = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY loaded_at DESC) AS rn FROM parsed_docs) WHERE rn = 1)"
 _O = "o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY loaded_at DESC) AS rn FROM data_objects) WHERE rn = 1)"
@@ -445,3 +482,12 @@ SELECT id AS record_id, doc_id AS source_object_id, CASE kind WHEN 'table_chunk'
 CAST(CASE WHEN kind = 'text_chunk' THEN k ELSE fi END AS INT) AS position_index, CASE WHEN len(tk) > 0 THEN CAST(len(tk) AS INT) END AS dl, list_sort(tk)[1] AS first_term, CASE WHEN len(tk) > 0 THEN CAST(len(list_distinct(tk)) AS INT) END AS terms FROM ix"""
 SQL["retrieval_vectors"] = _CHUNKS + """, tx AS (SELECT id, CASE WHEN caption <> '' AND NOT contains(content, caption) THEN caption || chr(10) || content ELSE content END AS s0 FROM ch), t AS (SELECT id, CASE WHEN regexp_matches(s0, '\\S') THEN substr(s0, 1, 24000) ELSE ' ' END AS x FROM tx), h AS (SELECT id, sha256('0:' || x) || sha256('1:' || x) AS x FROM t), b AS (SELECT id, k, CAST('0x' || substr(x, k * 2 + 1, 2) AS INT) / 127.5 - 1.0 AS v FROM h, LATERAL (SELECT unnest(range(64)) AS k)), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM b GROUP BY ALL)
 SELECT b.id AS record_id, 64 AS dimension, round(v / n, 6) AS first_value, 1 AS n FROM b JOIN n USING (id) WHERE k = 0"""
+_STAGE = f"""{_CHUNKS}, so AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY loaded_at DESC) AS rn FROM data_objects) WHERE rn = 1),
+sv AS (SELECT *, CASE WHEN text IS NULL THEN [] ELSE rows END AS rs, NOT coalesce(length(regexp_replace(text, '\\s', '', 'g')) > 0 OR (text IS NOT NULL AND len(list_filter(rows, lambda r: len(r.source_blocks) > 0 OR len(r.reading_order) > 0 OR length(regexp_replace(coalesce(r.extraction.main_text, ''), '\\s', '', 'g')) > 0 OR len(r.extraction.tables) > 0 OR len(r.extraction.figures) > 0 OR len(r.extraction.formulas) > 0)) > 0), false) AS bad FROM p),
+sj AS (SELECT so.object_id AS id, so.uri, sv.text, len(sv.rs) AS n_rows, coalesce(bad, false) AS bad, sv.object_id IS NOT NULL AS there, sv.metadata.backend AS backend FROM so LEFT JOIN sv USING (object_id) UNION ALL SELECT sv.object_id, NULL, sv.text, len(sv.rs), true, true, sv.metadata.backend FROM sv WHERE bad AND object_id NOT IN (SELECT object_id FROM so)),
+"""
+SQL["ingested_stage"] = _STAGE + "z AS (SELECT 1) SELECT id AS document_id, 'ingested-document-v2' AS contract_version, CASE WHEN bad THEN 'quarantined' ELSE 'succeeded' END AS status, uri, md5(text) AS text_md5, CAST(n_rows AS INT) AS rows, CASE WHEN there AND NOT bad THEN substr(sha1(id || '::initial-schema'), 1, 16) END AS schema_id, CASE WHEN bad THEN 'quarantined' END AS disposition, CASE WHEN bad THEN concat_ws(',', CASE WHEN backend = 'hosted' THEN 'null_extraction' END, 'empty_parsed_content') END AS codes FROM sj"
+SQL["stage_progress"] = _STAGE + "z AS (SELECT 1) SELECT 'completed' AS status, count(*) AS processed_document_count, count(*) AS expected_document_count, count(*) FILTER (NOT bad) AS succeeded_document_count, count(*) FILTER (bad) AS quarantined_document_count FROM sj"
+SQL["output_stage"] = _STAGE + f"""ti AS (SELECT doc_id, {_TOK.format("CASE WHEN kind = 'text_chunk' THEN content ELSE concat_ws(chr(10), content, caption) END")} AS tk FROM ch), tt2 AS (SELECT doc_id, count(*) AS items, count(*) FILTER (len(tk) > 0) AS n, coalesce(round(sum(len(tk)) / nullif(count(*) FILTER (len(tk) > 0), 0), 6), 0) AS a FROM ti GROUP BY ALL),
+tv AS (SELECT object_id, list_filter([x.extraction.title FOR x IN rs], lambda v: length(v) > 0)[1] AS title FROM sv)
+SELECT id AS document_id, title, uri, md5(text) AS text_md5, CAST(n_rows AS INT) AS row_count, substr(sha1(id || '::cleaned-schema'), 1, 16) AS clean_schema, substr(sha1(id || '::enriched-schema'), 1, 16) AS enrich_schema, coalesce(items, 0) AS items, n AS N, a AS avgdl FROM sj JOIN tv ON tv.object_id = id LEFT JOIN tt2 ON tt2.doc_id = id WHERE there AND NOT bad AND uri IS NOT NULL"""

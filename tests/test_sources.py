@@ -88,11 +88,17 @@ def test_pipeline_end_to_end(spark, folder, tmp_path):
     assert out.report.first()["status"] == "passed"
     pipeline.write(out, objects, str(tmp_path / "runs" / "r1"))
     got = artifacts.read_stage(spark, str(tmp_path / "runs" / "r1"), "output")
-    assert got.count() == 8
     done = {r["document_id"]: r for r in got.collect()}
+    assert {names[i] for i in done} == {"_x.txt", "A.TXT", "b.md", "Sub/c.docx"}  # the quarantined end in the ingested stage
     md = next(r for i, r in done.items() if names[i] == "b.md")
-    assert md["title"] == "Head line" and len(md["items"][0]["embeddings"][0]["values"]) == 8
-    assert artifacts.read_stage(spark, str(tmp_path / "runs" / "r1"), "cleaned").filter("pass_through").count() == 4
+    assert md["document"]["title"] == "Head line" and len(md["retrieval"]["items"][0]["embeddings"][0]["values"]) == 8
+    assert md["ingest"]["source"]["uri"] == "b.md" and md["ingest"]["data"]["text"] and md["clean"]["data"]["pass_through"] and md["enrich"]["data"]["pass_through"] and md["retrieval"]["lexical_stats"]["N"] > 0
+    first = {names[r["document_id"]]: r for r in artifacts.read_stage(spark, str(tmp_path / "runs" / "r1"), "ingested").collect()}
+    assert len(first) == 8 and first["b.md"]["schema_id"] and first["b.md"]["failure"] is None and first["empty.txt"]["failure"]["disposition"] == "quarantined" and first["empty.txt"]["parsed"] is not None and first["odd.xyz"]["source"]["uri"] == "odd.xyz"
+    assert artifacts.read_stage(spark, str(tmp_path / "runs" / "r1"), "cleaned").filter("data.pass_through and schema_id is not null").count() == 4
+    assert artifacts.read_stage(spark, str(tmp_path / "runs" / "r1"), "embedded").filter("size(retrieval.items) > 0").count() == 4
+    m = spark.read.json(str(tmp_path / "runs" / "r1" / "manifests" / "ingested")).first()
+    assert m["progress"]["status"] == "completed" and m["progress"]["quarantined_document_count"] == 4
     runs = files.runs(spark, str(tmp_path / "runs")).collect()
     assert [(r["run_id"], r["stages"]) for r in runs] == [("r1", ["ingested", "output"])]
 
@@ -104,13 +110,13 @@ def test_inventory_run_keeps_lost_entries(spark, tmp_path):
     path = tmp_path / "inv.json"
     path.write_text(json.dumps({"bucket": "b", "files": [{"key": k, "presigned_url": u, "size": n} for k, u, n in entries]}))
     run = f"{tmp_path}/runs/" + pipeline.cli(["--inventory", str(path), "--out", str(tmp_path / "runs"), "--dimension", "8"])
-    got = {r["source_uri"]: r for r in artifacts.read_stage(spark, run, "ingested").collect()}
+    got = {r["source"]["uri"]: r for r in artifacts.read_stage(spark, run, "ingested").collect()}
     assert {k: r["status"] for k, r in got.items()} == {"s3://b/good.txt": "succeeded", "s3://b/size.txt": "quarantined", "s3://b/none.txt": "quarantined", "s3://b/large.txt": "quarantined"}
-    assert {k: r["reasons"][0]["code"] for k, r in got.items() if r["reasons"]} == {"s3://b/size.txt": "download_size_mismatch", "s3://b/none.txt": "download_failed", "s3://b/large.txt": "download_too_large"}
-    assert "No such file" in got["s3://b/none.txt"]["reasons"][0]["message"]
+    assert {k: r["failure"]["reasons"][0]["code"] for k, r in got.items() if r["failure"]} == {"s3://b/size.txt": "download_size_mismatch", "s3://b/none.txt": "download_failed", "s3://b/large.txt": "download_too_large"}
+    assert "No such file" in got["s3://b/none.txt"]["failure"]["reasons"][0]["message"]
     m = spark.read.json(f"{run}/manifests/ingested").first()
     assert (m["document_count"], m["succeeded_count"], m["other_count"]) == (4, 1, 3)
-    assert artifacts.read_stage(spark, run, "output").count() == 4
+    assert artifacts.read_stage(spark, run, "output").count() == 1  # lost entries end in the ingested stage
 
 
 def test_inventory(spark, tmp_path):
