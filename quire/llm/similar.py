@@ -11,8 +11,8 @@ rows, and as many of them visited as hold ``recall`` of the true k nearest of ``
 rows; so the number follows the data and their size. Ties at the k-th place between different vectors are cut in any order there.
 
 The centroids are fitted on a bounded sample (``fit_rows`` vectors a model); every vector is indexed and, unless restricted, a query.
-Where it runs: vectors are placed by first-half centroid (a shard), split further by hash where the sample says that a shard would
-exceed ``shard_rows``; a query goes to the shards of its cells only, once each. Exact copies are one class: the class is searched, and
+Where it runs: vectors are placed by groups of neighbouring first-half centroids (a shard), split further by hash where the sample says
+that a shard would exceed ``shard_rows``; a query goes to the shards of its cells only, once each. Exact copies are one class: the class is searched, and
 its members are put back at the end, each with its first k others at most, so copies make no quadratic output.
 
 Defined results: a vector counts if its status is the wanted one, it has as many elements as its dimension, all finite and not all
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from quire.session import cut
 
 FIT_ROWS = 16_000
-SHARD_ROWS = 40_000
+SHARD_ROWS = 100_000
+LEAST_SHARDS = 8  # of a model, so that small inputs are spread too
 CELL_ROWS = 32
-PROBES = 8
+PROBES = 16
 RECALL = 0.95
 TRIAL_ROWS = 400
 CELL_SHARD_ROWS = 100_000
@@ -109,9 +110,22 @@ class MultiIndex:
         self.first = kmeans(sample[:, : self.half], self.k, rng) if self.half else np.zeros((self.k, 0), np.float32)
         self.second = kmeans(sample[:, self.half :], self.k, rng)
         share = np.bincount(self.distances(sample)[0].argmin(axis=1), minlength=self.k) / len(sample)
-        self.salts = np.maximum(1, np.ceil(share * rows / shard_rows)).astype(np.int64)
+        # Neighbouring first-half centroids share a shard, so that a query is sent once for all cells it visits there.
+        n_groups = int(min(self.k, max(LEAST_SHARDS, np.ceil(rows / shard_rows))))
+        centres = kmeans(self.first, n_groups, rng) if self.half else np.zeros((1, 0), np.float32)
+        self.group = ((centres**2).sum(axis=1) - 2 * self.first @ centres.T).argmin(axis=1)
+        self.place = np.zeros(self.k, np.int64)  # of a centroid within its group
+        for g in range(len(centres)):
+            mine = np.flatnonzero(self.group == g)
+            self.place[mine] = np.arange(len(mine))
+        held = np.bincount(self.group, weights=share, minlength=len(centres))
+        self.salts = np.maximum(1, np.ceil(held * rows / shard_rows)).astype(np.int64)
         self.offset = np.cumsum(self.salts) - self.salts
 
+    def code(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Number of a cell within its shard."""
+        return (self.place[first] * self.k + second).astype(np.uint32)
+
     def distances(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = v[:, : self.half], v[:, self.half :]
         return (self.first**2).sum(axis=1) - 2 * a @ self.first.T, (self.second**2).sum(axis=1) - 2 * b @ self.second.T
@@ -159,25 +173,26 @@ def _spread(indexes: dict[str, MultiIndex], base: dict[str, int], probes: int):
                     v = np.frombuffer(b"".join(raw), dtype=np.int16).reshape(len(raw), -1).astype(np.float32) / SCALE
                     d1, d2 = ix.distances(v)
                     i, j = d1.argmin(axis=1), d2.argmin(axis=1)
-                    salt = np.frombuffer(b"".join(x[:2] for x in raw), dtype=np.uint16).astype(np.int64) * 40503 % 65536 % ix.salts[i]
+                    home = ix.group[i]
+                    salt = np.frombuffer(b"".join(x[:2] for x in raw), dtype=np.uint16).astype(np.int64) * 40503 % 65536 % ix.salts[home]
                     ids = b.column(0)
-                    yield _rows(base[m] + ix.offset[i] + salt, 0, ids, m, [np.array([c], np.uint16).tobytes() for c in j], b.column(3))
+                    yield _rows(base[m] + ix.offset[home] + salt, 0, ids, m, [c.tobytes() for c in ix.code(i, j)], b.column(3))
                     q = np.flatnonzero(b.column(4).to_numpy(zero_copy_only=False))
                     if not len(q):
                         continue
                     v1, v2 = ix.visit(d1[q], d2[q], probes)
                     owner = np.repeat(q, v1.shape[1])
-                    v1, v2 = v1.ravel(), v2.ravel()
-                    order = np.lexsort((v1, owner))
-                    owner, v1, v2 = owner[order], v1[order], v2[order].astype(np.uint16)
-                    start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (v1[1:] != v1[:-1])])
+                    shard, code = ix.group[v1.ravel()], ix.code(v1.ravel(), v2.ravel())
+                    order = np.lexsort((shard, owner))
+                    owner, shard, code = owner[order], shard[order], code[order]
+                    start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])])
                     ends = np.r_[start[1:], len(owner)]
-                    cells = [v2[a:z].tobytes() for a, z in zip(start, ends)]
-                    of, first = owner[start], v1[start]
-                    n = ix.salts[first]
+                    cells = [code[a:z].tobytes() for a, z in zip(start, ends)]
+                    of, asked = owner[start], shard[start]
+                    n = ix.salts[asked]
                     rep = np.repeat(np.arange(len(of)), n)
                     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield _rows(base[m] + ix.offset[first[rep]] + k, 1, ids.take(pa.array(of[rep])), m, [cells[r] for r in rep], b.column(3).take(pa.array(of[rep])))
+                    yield _rows(base[m] + ix.offset[asked[rep]] + k, 1, ids.take(pa.array(of[rep])), m, [cells[r] for r in rep], b.column(3).take(pa.array(of[rep])))
 
     def _rows(shard, kind, ids, model, cells, vec) -> pa.RecordBatch:
         n = len(shard)
@@ -213,7 +228,7 @@ def _search(k: int, least: float | None):
 
     def _table(held):
         ids = np.array([x for p in held for x in p.column(2).to_pylist()], dtype=object)
-        cell = np.frombuffer(b"".join(x for p in held for x in p.column(4).to_pylist()), dtype=np.uint16)
+        cell = np.frombuffer(b"".join(x for p in held for x in p.column(4).to_pylist()), dtype=np.uint32)
         v = np.concatenate([_matrix(p.column(5)) for p in held])
         order = np.argsort(cell, kind="stable")
         cell = cell[order]
@@ -224,8 +239,8 @@ def _search(k: int, least: float | None):
         qid = np.array(part.column(2).to_pylist(), dtype=object)
         qv = _matrix(part.column(5))
         lists = part.column(4).to_pylist()
-        owner = np.repeat(np.arange(len(lists)), [len(x) // 2 for x in lists])
-        wanted = np.frombuffer(b"".join(lists), dtype=np.uint16)
+        owner = np.repeat(np.arange(len(lists)), [len(x) // 4 for x in lists])
+        wanted = np.frombuffer(b"".join(lists), dtype=np.uint32)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for c in np.unique(wanted):
             lo, hi = np.searchsorted(cell, c, "left"), np.searchsorted(cell, c, "right")
@@ -297,7 +312,7 @@ class Classes:
         return within.select("a", F.explode(F.slice(F.filter("bs", lambda x: x != F.col("a")), 1, k)).alias("b"), F.lit(1.0).alias("similarity"))
 
     def named(self, across: DataFrame) -> DataFrame:
-        return across.unionByName(self.copies()).select(expand(F.col("a")).alias("a"), expand(F.col("b")).alias("b"), F.round("similarity", 4).alias("similarity"))
+        return across.unionByName(self.copies()).select(expand(F.col("a")).alias("a"), expand(F.col("b")).alias("b"), "similarity")
 
 
 class Neighbours(Classes):
@@ -320,8 +335,9 @@ class Neighbours(Classes):
         f = self.found
         both = f.unionByName(f.select("model", F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).groupBy("model", "a", "b").agg(F.max("similarity").alias("similarity"))
         many = self.classes.filter(F.size("ids") > 1).select(F.concat_ws("/", "model", "dim").alias("model"), "id", "ids")
-        left = many.select("model", F.col("id").alias("a"), F.col("ids").alias("ids_a"))
-        right = many.select("model", F.col("id").alias("b"), F.col("ids").alias("ids_b"))
+        # classes of copies grow with the data, so they are never the broadcast side
+        left = many.select("model", F.col("id").alias("a"), F.col("ids").alias("ids_a")).hint("merge")
+        right = many.select("model", F.col("id").alias("b"), F.col("ids").alias("ids_b")).hint("merge")
         return both.join(left, ["model", "a"], "left").join(right, ["model", "b"], "left").select("model", "a", "b", "similarity", F.coalesce("ids_a", F.array("a")).alias("ids_a"), F.coalesce("ids_b", F.array("b")).alias("ids_b"))
 
     def pairs(self) -> DataFrame:
@@ -562,6 +578,10 @@ def neighbours(vectors: DataFrame, *, k: int = 10, least: float | None = None, p
 
     probes: cells of the multi-index to visit; without it, whole-vector cells are visited as far as ``recall`` of a sample's true neighbours asks.
     """
+    return _found(vectors, k, least, probes, recall, fit_rows, shard_rows, cell_rows, queries).withColumn("similarity", F.round("similarity", 4))
+
+
+def _found(vectors: DataFrame, k: int, least: float | None, probes: int | None, recall: float = RECALL, fit_rows: int = FIT_ROWS, shard_rows: int | None = None, cell_rows: int = CELL_ROWS, queries: Column | None = None) -> DataFrame:
     if probes is None:
         return CellNeighbours(vectors, k, least, recall, fit_rows, shard_rows or CELL_SHARD_ROWS, queries).pairs()
     return Neighbours(vectors, k, least, probes, fit_rows, shard_rows or SHARD_ROWS, cell_rows, queries).pairs()
@@ -569,5 +589,6 @@ def neighbours(vectors: DataFrame, *, k: int = 10, least: float | None = None, p
 
 def similar_pairs(vectors: DataFrame, *, k: int = 10, least: float = 0.9, probes: int = PROBES, **how) -> DataFrame:
     """record_id_a < record_id_b, similarity: at least one is among the other's k most similar, with cosine of at least ``least``."""
-    n = neighbours(vectors, k=k, least=least, probes=probes, **how)
-    return n.groupBy(F.least("a", "b").alias("record_id_a"), F.greatest("a", "b").alias("record_id_b")).agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= least)
+    n = _found(vectors, k, least, probes, **how).filter(F.col("similarity") >= least)  # compared as computed, rounded afterwards
+    pairs = n.groupBy(F.least("a", "b").alias("record_id_a"), F.greatest("a", "b").alias("record_id_b")).agg(F.max("similarity").alias("similarity"))
+    return pairs.withColumn("similarity", F.round("similarity", 4))
