@@ -137,3 +137,54 @@ def refinement_accepted(before: str, after: str, floor: float = 0.99) -> bool:
     precision, recall = shared / max(1, sum(y.values())), shared / max(1, sum(x.values()))
     smaller = b[0] < a[0] or b[1] < a[1]
     return precision >= floor and (recall >= floor or smaller)
+
+
+FIGURE_BLOCKS = ("Image", "Figure", "Diagram")  # fixed values
+
+
+def _file(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(F.coalesce(path, F.lit("")), "/"), -1))
+
+
+def candidate_names(block_images: Column, page_images: Column, block_type: Column) -> Column:
+    """File names a figure's picture may have: those its block shows, those its page shows with the same alternative text, and for a
+    picture block without any, all its page shows. Images are structs src, alt."""
+
+    def names(images: Column) -> Column:
+        return F.filter(F.transform(images, lambda i: _file(i["src"])), lambda n: F.length(n) > 0)
+
+    block, page = (F.coalesce(c, F.array().cast("array<struct<src:string,alt:string>>")) for c in (block_images, page_images))
+    alts = F.filter(F.transform(block, lambda i: F.lower(X.collapse(F.coalesce(i["alt"], F.lit(""))))), lambda a: F.length(a) > 0)
+    like = F.filter(page, lambda i: F.array_contains(alts, F.lower(X.collapse(F.coalesce(i["alt"], F.lit(""))))))
+    own = F.array_union(names(block), names(like))
+    return F.when((F.size(own) == 0) & block_type.isin(*FIGURE_BLOCKS), F.array_distinct(names(page))).otherwise(own)
+
+
+def align_images(figures: DataFrame, images: DataFrame) -> DataFrame:
+    """Figures with the saved image each gets: the first unused one of its page with one of its names; then the images left over.
+
+    figures: object_id, figure_index, component_id, page, names; images: object_id, image_index, page, name, original_name. Without an
+    image a figure is unavailable. A document's matches depend on each other, so they are made within its row; groups are documents.
+    """
+    f = figures.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("figure_index", "component_id", "page", "names"))).alias("figs"))
+    i = images.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("image_index", "page", F.array(_file(F.col("name")), _file(F.col("original_name"))).alias("names")))).alias("images"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, figs, pictures in zip(*(c.to_pylist() for c in b.columns)):
+                free: dict[tuple, list[int]] = {}
+                for x in pictures or []:
+                    for n in set(x["names"]) - {""}:
+                        free.setdefault((x["page"], n), []).append(x["image_index"])
+                left = {x["image_index"] for x in pictures or []}
+                for x in figs or []:
+                    fits = [k for n in x["names"] or [] for k in free.get((x["page"] or 0, n), ()) if k in left]
+                    got = min(fits, default=None)
+                    left.discard(got)
+                    out.append((doc, x["figure_index"], got, "unavailable" if got is None else "matched", x["component_id"] or f"figure:{x['figure_index']}"))
+                out += [(doc, None, k, "unused", None) for k in sorted(left)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["object_id", "figure_index", "image_index", "status", "source_ref"])
+
+    return f.join(i, "object_id", "full").select(F.col("object_id").cast("string"), "figs", "images").mapInArrow(run, "object_id string, figure_index int, image_index int, status string, source_ref string")

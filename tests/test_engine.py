@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -7,6 +8,8 @@ from quire import registry
 from quire.config import ChunkEmbedConfig, InputConfig, input_mode
 from quire.operators import chunking, documents, embedding, layout, retrieval, workbook
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def texts(rnd):
     return "".join(rnd.choice(["Wort ", "Satz. ", "Frage? ", "\n\n", "x" * rnd.randint(1, 60) + " ", "\n", "。 "]) for _ in range(rnd.randint(0, 80)))
@@ -225,3 +228,52 @@ def test_workbook_annotations_and_odd_shapes(spark):
     a = {(r["place"], r["key"]): r["value"] for r in workbook.annotations(df, "id", "uri", "body").collect()}
     assert a == {("answers", "0"): '{"a":1}', ("extensions", "trace"): "1.5", ("extensions", "retrieval.scope"): '"all"', ("extensions", "additional_workbooks[0]"): '" "', ("extensions", "additional_workbooks[1]"): '"one"', ("extensions", "additional_workbooks[2]"): '"two"', ("workbook_metadata[two]", "metadata.owner"): '"o"', ("workbook_metadata[two]", "note"): "1"}
     assert workbook.items(df.limit(0), "id", "uri", "body").count() == 0
+
+
+def test_provider_retries_halves_and_fills_its_cache(spark, tmp_path):
+    from quire.operators.embedding import OutOfMemory, Provider, Transient, halved, retried, tiered
+
+    pauses, left = [], [3]
+
+    def flaky():
+        left[0] -= 1
+        if left[0]:
+            raise Transient
+        return "done"
+
+    assert retried(flaky, 6, pauses.append) == "done" and pauses == [2.0, 4.0]
+    with pytest.raises(Transient):
+        retried(lambda: (_ for _ in ()).throw(Transient()), 2, pauses.append)
+
+    def small(texts):
+        if len(texts) > 2:
+            raise OutOfMemory
+        return [len(t) for t in texts]
+
+    assert halved(small, ["a", "bb", "ccc", "dddd", "e"]) == [1, 2, 3, 4, 1]
+    with pytest.raises(OutOfMemory):
+        halved(lambda t: (_ for _ in ()).throw(OutOfMemory()), ["a"])
+    batches = tiered([10, 9000, 600, 20, 3000, 600], 64)
+    assert sorted(i for b in batches for i in b) == list(range(6)) and batches[0] == [0, 3, 2, 5] or all(len(b) <= 64 for b in batches)
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a")], "k int, t string")
+    path = str(tmp_path / "cache")
+    first = {r["k"]: r["v"] for r in Provider(lambda ts: [[float(len(t))] for t in ts], "m", 1, cache_path=path, tiers=True).apply(df, "t", "v").collect()}
+
+    def never(texts):
+        raise AssertionError("all vectors are in the cache")
+
+    assert first == {1: [1.0], 2: [2.0], 3: [1.0]} == {r["k"]: r["v"] for r in Provider(never, "m", 1, cache_path=path).apply(df, "t", "v").collect()}
+    assert spark.read.parquet(path).count() == 2
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no tokenizer files")
+def test_exact_token_limit(spark):
+    from quire.functions import text as X
+
+    long, short = "word " * 9000, "word " * 500
+    df = spark.createDataFrame([(long,), (short,), (None,), (" ",)], "t string")
+    rows = df.select(X.limited_py(VOCABULARY)(X.sanitize(F.col("t"))).alias("cut"), X.token_count_py(VOCABULARY)(F.col("t")).alias("n"))
+    got = rows.withColumn("m", X.token_count_py(VOCABULARY)(F.col("cut"))).collect()
+    e = X.encoding(VOCABULARY)
+    assert [r["n"] for r in got] == [len(e.encode_ordinary(long)), len(e.encode_ordinary(short)), None, 1]
+    assert got[0]["cut"] == e.decode(e.encode_ordinary(long[:24000])[:8000]) and got[1]["cut"] == short and got[3]["cut"] == " "

@@ -40,3 +40,19 @@ def test_tables():
     assert images.refinement_accepted(big, big.replace("w00", "zz")) and not images.refinement_accepted(t(list("abcdefghij")), t(list("abcdefghix")))
     assert images.refinement_accepted(t(["a", "b"], ["c", "d"]), t(["a", "b"]))
     assert not images.refinement_accepted("no table", t(["a"]))
+
+
+def test_align_images_by_page_and_names(spark):
+    im = "array<struct<src:string,alt:string>>"
+    rows = [
+        ("d", 0, "/page/0/Image/1", 0, "Image", [("x/A.png", "a  cat")], [("b.png", "A cat"), ("c.png", "dog")]),
+        ("d", 1, "/page/0/Image/2", 0, "Image", [], [("b.png", "A cat"), ("c.png", "dog")]),
+        ("d", 2, None, 1, "Text", [], [("c.png", "dog")]),
+        ("e", 0, "/page/0/Figure/0", 0, "Figure", None, None),
+    ]
+    figs = spark.createDataFrame(rows, f"object_id string, figure_index int, component_id string, page int, type string, own {im}, shown {im}")
+    figs = figs.withColumn("names", images.candidate_names(F.col("own"), F.col("shown"), F.col("type")))
+    assert [sorted(r["names"]) for r in figs.orderBy("object_id", "figure_index").collect()] == [["a.png", "b.png"], ["b.png", "c.png"], [], []]
+    saved = spark.createDataFrame([("d", 0, 0, "1.png", "B.PNG"), ("d", 1, 0, "2.png", "c.png"), ("d", 2, 1, "3.png", "a.png"), ("f", 0, 0, "x.png", None)], "object_id string, image_index int, page int, name string, original_name string")
+    got = {(r["object_id"], r["figure_index"], r["image_index"]): (r["status"], r["source_ref"]) for r in images.align_images(figs, saved).collect()}
+    assert got == {("d", 0, 0): ("matched", "/page/0/Image/1"), ("d", 1, 1): ("matched", "/page/0/Image/2"), ("d", 2, None): ("unavailable", "figure:2"), ("d", None, 2): ("unused", None), ("e", 0, None): ("unavailable", "/page/0/Figure/0"), ("f", None, 0): ("unused", None)}
