@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 
-SCHEMA = "object_id string, source_uri string, status string, error_type string, error_message string, title string, text string, tables array<struct<name:string,headers:array<string>,rows:array<array<string>>>>, blocks array<struct<component_id:string,page:int,block_index:int,type:string,text:string>>"
+SCHEMA = "object_id string, source_uri string, status string, error_type string, error_message string, title string, text string, tables array<struct<name:string,headers:array<string>,rows:array<array<string>>>>, blocks array<struct<component_id:string,page:int,block_index:int,type:string,text:string>>, unsupported map<string,int>, pictures array<struct<name:string,alt:string,page:int,content:binary>>"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
@@ -30,19 +32,45 @@ _HEADING = re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$", re.M)
 
 
 class Parsed:
+    """What a parser finds: title, texts in order, tables, layout blocks, pictures (name, alt, page, content), and how often content of
+    each kind was met that it does not read."""
+
     def __init__(self, title: str | None = None) -> None:
-        self.title, self.lines, self.tables, self.blocks = title, [], [], []
+        self.title, self.lines, self.tables, self.blocks, self.pictures = title, [], [], [], []
+        self.unsupported: Counter = Counter()
+        self._on_page: Counter = Counter()
 
     def add(self, kind: str, text: str, page: int = 0) -> None:
-        index = sum(1 for b in self.blocks if b["page"] == page)
+        index = self._on_page[page]
+        self._on_page[page] += 1
         self.blocks.append({"component_id": f"/page/{page}/{kind}/{index}", "page": page, "block_index": index, "type": kind, "text": text})
         self.lines.append(text)
 
+    def picture(self, about: ET.Element | None, part: str | None, z: zipfile.ZipFile, page: int = 0) -> None:
+        """A picture of the file: its bytes, and its description as a block, unless that is only a made-up name."""
+        said = next((x for x in ((about.get(k) or "").strip() for k in ("descr", "title", "name")) if x and not _MADE_UP.fullmatch(x)), "") if about is not None else ""
+        if said:
+            self.add("Picture", clean(said), page)
+        if part and part in z.namelist():
+            self.pictures.append({"name": part.rpartition("/")[2], "alt": said or None, "page": page, "content": z.read(part)})
+
     @property
     def text(self) -> str:
         return "\n\n".join(x for x in self.lines if x.strip())
 
 
+_MADE_UP = re.compile(r"(?:picture|image|graphic)\s+\d+", re.I)  # fixed value: names that say nothing
+
+
+def _parts(z: zipfile.ZipFile, of: str) -> dict[str, str]:
+    """Relation ids of a part to the parts they name."""
+    folder, _, file = of.rpartition("/")
+    rels = f"{folder}/_rels/{file}.rels"
+    if rels not in z.namelist():
+        return {}
+    return {r.get("Id"): posixpath.normpath(r.get("Target").lstrip("/") if (r.get("Target") or "").startswith("/") else f"{folder}/{r.get('Target')}") for r in ET.fromstring(z.read(rels)) if r.get("TargetMode") != "External"}
+
+
 def clean(text: str) -> str:
     return "\n".join(x.rstrip() for x in text.replace("\r", "").split("\n")).strip()
 
@@ -71,9 +99,9 @@ def _table(p: Parsed, name: str, rows: list[list[str]], page: int = 0) -> None:
 
 
 def docx(data: bytes, name: str) -> Parsed:
-    """Paragraphs (headings, list items with their level) and tables of a word-processor file, in order."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    """Paragraphs (headings, list items with their level), tables and pictures of a word-processor file, in order."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    body, parts = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body"), _parts(z, "word/document.xml")
     p = Parsed()
 
     def words(e: ET.Element) -> str:
@@ -93,6 +121,13 @@ def docx(data: bytes, name: str) -> Parsed:
             style = e.find(f"{_W}pPr/{_W}pStyle")
             level = e.find(f"{_W}pPr/{_W}numPr/{_W}ilvl")
             kind = (style.get(f"{_W}val") or "") if style is not None else ""
+            for drawing in e.iter(f"{_W}drawing"):
+                blip = drawing.find(f".//{_A}blip")
+                if blip is None:
+                    p.unsupported["drawing"] += 1
+                else:
+                    p.picture(next((x for x in drawing.iter() if x.tag.endswith("}docPr")), None), parts.get(blip.get(f"{_R}embed")), z)
+            p.unsupported.update({k: n for k in ("object", "pict") if (n := sum(1 for _ in e.iter(f"{_W}{k}")))})
             if not text:
                 continue
             if kind.lower() == "title" or kind.lower().startswith("heading"):
@@ -104,17 +139,24 @@ def docx(data: bytes, name: str) -> Parsed:
                 p.add("Text", text)
         elif e.tag == f"{_W}tbl":
             _table(p, f"Table {len(p.tables) + 1}", [[words(c) for c in r.findall(f"{_W}tc")] for r in e.findall(f"{_W}tr")])
+        elif e.tag != f"{_W}sectPr":
+            p.unsupported[e.tag.rpartition("}")[2]] += 1
     p.title = p.title or name.rpartition("/")[2].rpartition(".")[0]
     return p
 
 
 def pptx(data: bytes, name: str) -> Parsed:
-    """Slides in order; on each the title first, then placeholders, then other shapes from top left; groups are entered."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        trees = [ET.fromstring(z.read(n)) for n in slides]
+    """Slides in the order of the presentation (without its list, of their numbers); on each the title first, then placeholders, then
+    other shapes from top left; groups are entered."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    if "ppt/presentation.xml" in z.namelist():
+        named = _parts(z, "ppt/presentation.xml")
+        listed = [named.get(x.get(f"{_R}id")) for x in ET.fromstring(z.read("ppt/presentation.xml")).iter(f"{_P}sldId")]
+        slides = [n for n in listed if n in set(slides)] or slides
     p = Parsed()
-    for page, root in enumerate(trees):
+    for page, (slide, root) in enumerate((n, ET.fromstring(z.read(n))) for n in slides):
+        parts = _parts(z, slide)
         shapes = []
         for k, s in enumerate(x for x in root.iter() if x.tag in (f"{_P}sp", f"{_P}graphicFrame", f"{_P}pic")):
             ph = s.find(f".//{_P}nvPr/{_P}ph")
@@ -125,13 +167,13 @@ def pptx(data: bytes, name: str) -> Parsed:
             shapes.append((rank, int(off.get("y", 0)) if off is not None else 0, int(off.get("x", 0)) if off is not None else 0, k, s))
         for rank, *_, s in sorted(shapes, key=lambda x: x[:4]):
             lines = lambda e: clean("\n".join("".join(t.text or "" for t in par.iter(f"{_A}t")) for par in e.iter(f"{_A}p")))
-            if s.tag == f"{_P}graphicFrame":
+            if s.tag == f"{_P}graphicFrame" and s.find(f".//{_A}tbl") is None:
+                p.unsupported["graphicFrame"] += 1
+            elif s.tag == f"{_P}graphicFrame":
                 _table(p, f"Table {len(p.tables) + 1}", [[lines(c) for c in r.findall(f"{_A}tc")] for r in s.iter(f"{_A}tr")], page)
             elif s.tag == f"{_P}pic":
-                about = s.find(f".//{_P}cNvPr")
-                alt = clean((about.get("descr") or about.get("title") or "") if about is not None else "")
-                if alt:
-                    p.add("Picture", alt, page)
+                blip = s.find(f".//{_A}blip")
+                p.picture(s.find(f".//{_P}cNvPr"), parts.get(blip.get(f"{_R}embed")) if blip is not None else None, z, page)
             elif text := lines(s):
                 p.title = p.title or (text if rank == 0 else None)
                 p.add("Title" if rank == 0 else "Text", text, page)
@@ -153,7 +195,7 @@ def xlsx(data: bytes, name: str) -> Parsed:
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         links = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = [(s.get("name"), links[s.get(f"{_R}id")]) for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+        sheets = [(s.get("name"), links[s.get(f"{_R}id")], s.get("state") or "visible") for s in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
         dates: set[int] = set()
         if "xl/styles.xml" in names:
             styles = ET.fromstring(z.read("xl/styles.xml"))
@@ -163,7 +205,8 @@ def xlsx(data: bytes, name: str) -> Parsed:
                 if 14 <= k <= 22 or 45 <= k <= 47 or re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(k, "")), re.I):
                     dates.add(i)
         p = Parsed(name.rpartition("/")[2].rpartition(".")[0])
-        for title, target in sheets:
+        for title, target, state in sheets:
+            p.unsupported.update({f"{state}_sheet": 1} if state != "visible" else {})
             root = ET.fromstring(z.read("xl/" + target.lstrip("/").removeprefix("xl/")))
             rows: dict[int, dict[int, str]] = {}
             for c in root.iter(f"{_S}c"):
@@ -202,25 +245,31 @@ PARSERS = {**dict.fromkeys(["txt", "md", "json", "jsonl", "yaml", "yml"], plain_
 DEFERRED = {"pdf", "png", "jpg", "jpeg", "gif", "webp", "tif", "tiff", "doc", "xls"}
 
 
-def parse_files(objects: DataFrame, providers: dict | None = None) -> DataFrame:
+def unsupported_counts(outcomes: DataFrame) -> DataFrame:
+    """Content that the parsers met and did not read, by kind, over all files."""
+    return outcomes.select(F.explode("unsupported").alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+
+
+def parse_files(objects: DataFrame, providers: dict | None = None, pictures: bool = False) -> DataFrame:
     """Outcome of every file (object_id, uri, content): success, deferred, unsupported or failed with its error.
 
-    providers: format -> f(bytes, name) -> Parsed, for formats that need a service; without one they are deferred.
+    providers: format -> f(bytes, name) -> Parsed, for formats that need a service; without one they are deferred. pictures: whether the
+    bytes of pictures are wanted.
     """
     parsers = {**PARSERS, **(providers or {})}
-    schema = pa.schema([("object_id", pa.string()), ("source_uri", pa.string()), ("status", pa.string()), ("error_type", pa.string()), ("error_message", pa.string()), ("title", pa.string()), ("text", pa.string()), ("tables", pa.list_(pa.struct([("name", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))]))), ("blocks", pa.list_(pa.struct([("component_id", pa.string()), ("page", pa.int32()), ("block_index", pa.int32()), ("type", pa.string()), ("text", pa.string())])))])
+    schema = pa.schema([("object_id", pa.string()), ("source_uri", pa.string()), ("status", pa.string()), ("error_type", pa.string()), ("error_message", pa.string()), ("title", pa.string()), ("text", pa.string()), ("tables", pa.list_(pa.struct([("name", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))]))), ("blocks", pa.list_(pa.struct([("component_id", pa.string()), ("page", pa.int32()), ("block_index", pa.int32()), ("type", pa.string()), ("text", pa.string())]))), ("unsupported", pa.map_(pa.string(), pa.int32())), ("pictures", pa.list_(pa.struct([("name", pa.string()), ("alt", pa.string()), ("page", pa.int32()), ("content", pa.binary())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, uri, fmt, data in zip(*(c.to_pylist() for c in b.columns)):
-                row = {"object_id": i, "source_uri": uri, "status": "success", "error_type": None, "error_message": None, "title": None, "text": None, "tables": [], "blocks": []}
+                row = {"object_id": i, "source_uri": uri, "status": "success", "error_type": None, "error_message": None, "title": None, "text": None, "tables": [], "blocks": [], "unsupported": [], "pictures": []}
                 if fmt not in parsers:
                     row["status"] = "deferred" if fmt in DEFERRED else "unsupported"
                 else:
                     try:
                         p = parsers[fmt](data or b"", uri)
-                        row |= {"title": p.title, "text": p.text, "tables": p.tables, "blocks": p.blocks}
+                        row |= {"title": p.title, "text": p.text, "tables": p.tables, "blocks": p.blocks, "unsupported": sorted(p.unsupported.items()), "pictures": p.pictures if pictures else []}
                     except Exception as e:  # noqa: BLE001 (one bad file must not end the job)
                         row |= {"status": "failed", "error_type": type(e).__name__, "error_message": str(e)}
                 out.append(row)

@@ -52,6 +52,31 @@ def test_office_parsers():
     assert x.tables == [{"name": "One", "headers": ["", "head", "x"], "rows": [["", "", ""], ["", "3", "2023-03-15"], ["", "true", "=A1+1"]]}]
 
 
+def test_pictures_order_and_unread_content(spark):
+    ns = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rels = lambda **k: "<Relationships>" + "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in k.items()) + "</Relationships>"
+    pic = lambda name, descr, rid: f'<p:pic><p:nvPicPr><p:cNvPr id="1" name="{name}" descr="{descr}"/></p:nvPicPr><p:blipFill><a:blip r:embed="{rid}"/></p:blipFill></p:pic>'
+    slide = lambda body: f"<p:sld {ns}><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>"
+    text = lambda t: f"<p:sp><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>"
+    deck = packed({
+        "ppt/presentation.xml": f'<p:presentation {ns}><p:sldIdLst><p:sldId id="1" r:id="b"/><p:sldId id="2" r:id="a"/></p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": rels(a="slides/slide1.xml", b="slides/slide2.xml"),
+        "ppt/slides/slide1.xml": slide(text("second") + pic("Picture 3", "", "x") + "<p:graphicFrame><a:graphic/></p:graphicFrame>"), "ppt/slides/_rels/slide1.xml.rels": rels(x="../media/one.png"),
+        "ppt/slides/slide2.xml": slide(text("first") + pic("Picture 1", "A chart", "y")), "ppt/slides/_rels/slide2.xml.rels": rels(y="/ppt/media/two.png"), "ppt/media/one.png": "1", "ppt/media/two.png": "22",
+    })
+    p = office.pptx(deck, "a.pptx")
+    assert [(b["text"], b["page"]) for b in p.blocks] == [("first", 0), ("A chart", 0), ("second", 1)] and p.unsupported == {"graphicFrame": 1}
+    assert [(x["name"], x["alt"], x["page"], x["content"]) for x in p.pictures] == [("two.png", "A chart", 0, b"22"), ("one.png", None, 1, b"1")]
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" ' + ns
+    body = '<w:p><w:r><w:drawing><wp:docPr xmlns:wp="u" name="Image 1" descr="A seal"/><a:blip r:embed="i"/></w:drawing></w:r></w:p><w:p><w:r><w:drawing/><w:object/></w:r></w:p><w:sdt/><w:sectPr/>'
+    doc = packed({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>", "word/_rels/document.xml.rels": rels(i="media/seal.png"), "word/media/seal.png": "s"})
+    d = office.docx(doc, "b.docx")
+    assert [b["text"] for b in d.blocks] == ["A seal"] and d.pictures[0]["content"] == b"s" and d.unsupported == {"drawing": 1, "object": 1, "sdt": 1}
+    rows = spark.createDataFrame([("1", "a.pptx", bytearray(deck)), ("2", "b.docx", bytearray(doc))], "object_id string, uri string, content binary")
+    got = office.parse_files(rows, pictures=True)
+    assert {r["object_id"]: len(r["pictures"]) for r in got.collect()} == {"1": 2, "2": 1} and office.parse_files(rows).filter(F.size("pictures") > 0).count() == 0
+    assert {r["kind"]: (r["n"], r["files"]) for r in office.unsupported_counts(got).collect()} == {"graphicFrame": (1, 1), "drawing": (1, 1), "object": (1, 1), "sdt": (1, 1)}
+
+
 @pytest.fixture()
 def folder(tmp_path):
     (tmp_path / "in" / "Sub").mkdir(parents=True)
