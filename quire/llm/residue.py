@@ -2,8 +2,8 @@
 
 Exemplars are labelled lines and passages. An inverted index from their heaviest tokens retrieves those a passage window may hold;
 containment is the share of an exemplar's TF-IDF weight that the window holds, coverage the share of the window's weight that the
-exemplar holds. A window that holds most of an exemplar and little else is residue of the exemplar's sort, so texts that talk about
-such things (which hold much else) are none. Texts are read in two kinds of tokens:
+exemplar holds (or, where it alone holds less, all exemplars of its sort together). A window that holds most of an exemplar and little
+else is residue of the exemplar's sort, so texts that talk about such things (which hold much else) are none. Texts are read in two kinds of tokens:
 
 - words, over windows of one and two units (lines, then sentences). Of a dummy passage, which is longer than a window, any part is
   residue: there the window must be contained in the exemplar.
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 PLACEHOLDER, FILLER, ERROR, SCRIPT = "placeholder", "filler", "error_page", "script_notice"
 CONTAINMENT, COVERAGE, DUMMY_COVERAGE, DUMMY_TOKENS = 0.8, 0.55, 0.9, 3
+OWN_COVERAGE, SORT_COVERAGE = 0.35, 0.75  # what an exemplar, and all exemplars of its sort together, must cover instead
 BUCKETS = 1 << 16
 LEAST_SHARE = 1e-4  # of the texts: rarer tokens weigh no more, so that weights do not grow with the corpus
 
@@ -416,17 +417,23 @@ class Exemplars:
                 if left < -1e-9 and not dummy:
                     break
         self.anchors = frozenset(self.index)
+        self.of_sort: dict[str, set[str]] = {}
+        for sort, c, _, dummy in self.held:
+            self.of_sort.setdefault(sort, set()).update(() if dummy else c)
 
     def match(self, k: int, window: Counter, whole: float) -> float:
         """Coverage of a window by an exemplar that it matches, else 0."""
-        _, own, _, dummy = self.held[k]
+        sort, own, _, dummy = self.held[k]
         weights = self.weights
         both = own.keys() & window.keys()
         coverage = sum(window[t] * weights[t] for t in both) / whole
         if dummy:
             return coverage if coverage >= DUMMY_COVERAGE and sum(window[t] for t in both) >= DUMMY_TOKENS else 0.0
-        enough = coverage >= COVERAGE and sum(min(own[t], window[t]) * weights[t] for t in both) >= CONTAINMENT * self.total[k] - 1e-9
-        return coverage if enough else 0.0
+        if coverage < OWN_COVERAGE or sum(min(own[t], window[t]) * weights[t] for t in both) < CONTAINMENT * self.total[k] - 1e-9:
+            return 0.0
+        if coverage >= COVERAGE or sum(window[t] * weights[t] for t in window.keys() & self.of_sort[sort]) >= SORT_COVERAGE * whole:
+            return coverage
+        return 0.0
 
     def judge(self, toks: list[str], found: set[str]) -> None:
         """Adds the sort of the exemplar that covers a window of words best, of those it matches."""
