@@ -85,11 +85,12 @@ def _sha(text: str) -> str:
 INNER = "object"  # kind of the objects that no rule names
 
 
-def shred_one(record: dict, rules: dict[str, list[Rule]], inline: bool = True) -> list[tuple]:
+def shred_one(record: dict, rules: dict[str, list[Rule]], inline: bool = True, content: bool = True) -> list[tuple]:
     """Rows of one record: (path, parent path, kind, ordinal, hash, parent's hash, content).
 
     inline: rows of the rule objects alone; their content has the objects that no rule names written out. Else every object has a row,
-    and content holds the hashes of the objects directly below. Hashes are the same in both forms.
+    and content holds the hashes of the objects directly below. Hashes are the same in both forms. content: whether it is wanted at all
+    (of inline rows; where only places and identities count, it need not be written).
     """
     found: list[tuple] = []  # path, parent path, kind, ordinal, object
     stack: list[tuple[dict, str, str]] = [(record, "", "")]
@@ -115,10 +116,12 @@ def shred_one(record: dict, rules: dict[str, list[Rule]], inline: bool = True) -
         return {"$": hash_of[id(v)]}
 
     def note(obj: dict, at: str, owner: str, kind: str, n: int) -> None:
-        content = _dumped({k: identified(x, f"{at}.{k}", at, i) for i, (k, x) in enumerate(obj.items())})
-        hash_of[id(obj)] = hash_at[at] = h = _sha(kind + "\0" + content)
+        reduced = _dumped({k: identified(x, f"{at}.{k}", at, i) for i, (k, x) in enumerate(obj.items())})
+        hash_of[id(obj)] = hash_at[at] = h = _sha(kind + "\0" + reduced)
         if not inline:
-            rows.append((at, owner, kind, n, h, content))
+            rows.append((at, owner, kind, n, h, reduced))
+        elif kind != INNER and not content:
+            rows.append((at, owner, kind, n, h, None))
         elif kind != INNER:
             rows.append((at, owner, kind, n, h, _dumped({k: _written_out(x, hash_of, ruled) for k, x in obj.items()})))
 
@@ -140,7 +143,7 @@ def _written_out(v, hash_of: dict[int, str], ruled: set[int]):
     return v
 
 
-def shred(df: DataFrame, id: str, body: str, rules: list[Rule], inline: bool = False) -> DataFrame:
+def shred(df: DataFrame, id: str, body: str, rules: list[Rule], inline: bool = False, content: bool = True) -> DataFrame:
     """One row per object of every record (inline: per rule object), with its path, parent, ordinal, hash and content. See shred_one."""
     by_owner: dict[str, list[Rule]] = {}
     for r in rules:
@@ -153,7 +156,7 @@ def shred(df: DataFrame, id: str, body: str, rules: list[Rule], inline: bool = F
                 try:
                     record = json.loads(text)
                     if isinstance(record, dict):
-                        rows.extend((rid, *r) for r in shred_one(record, by_owner, inline))
+                        rows.extend((rid, *r) for r in shred_one(record, by_owner, inline, content))
                 except (ValueError, RecursionError):
                     continue
                 if len(rows) > 20_000:

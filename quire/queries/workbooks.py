@@ -26,12 +26,12 @@ FIELDS = {
 }
 
 
-def _shredded(spark: SparkSession, sf_dir: str, inline: bool = False) -> DataFrame:
-    return nested.shred(read(spark, sf_dir, "workbook_responses"), "response_id", "body", RULES, inline=inline)
+def _shredded(spark: SparkSession, sf_dir: str, inline: bool = False, content: bool = True) -> DataFrame:
+    return nested.shred(read(spark, sf_dir, "workbook_responses"), "response_id", "body", RULES, inline=inline, content=content)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = nested.occurrences(_shredded(spark, sf_dir, inline=True))
+    o = nested.occurrences(_shredded(spark, sf_dir, inline=True, content=False))
     return o.select(o.record_id.alias("response_id"), "node_path", "parent_path", "node_kind")
 
 
