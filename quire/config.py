@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -57,3 +58,28 @@ def input_mode(explicit: dict[str, Any], configured: str) -> str:
     if mode not in ("local", "s3_object", "inventory"):
         raise ValueError(f"unknown input mode {mode!r}")
     return mode
+
+
+def load(path: str | None) -> dict[str, Any]:
+    """A configuration file: JSON, or YAML where its library is installed. Sections input, chunk_embed; no file is no setting."""
+    if not path:
+        return {}
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.lower().endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML files need the yaml library; JSON needs none") from e
+        found = yaml.safe_load(text)
+    else:
+        found = json.loads(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no configuration")
+    return found
+
+
+def input_config(settings: dict[str, Any], path: str) -> InputConfig:
+    """Settings of the input section; unknown keys are ignored."""
+    known = {k: v for k, v in settings.items() if k in InputConfig.__dataclass_fields__ and k != "path"}
+    return InputConfig(path, **known)

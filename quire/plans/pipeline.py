@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import argparse
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.config import ChunkEmbedConfig, InputConfig, input_mode
+from quire.config import ChunkEmbedConfig, input_config, input_mode, load
 from quire.functions import ids
 from quire.operators import chunking, documents, embedding, retrieval  # noqa: F401 (embedding registers the embedders)
 from quire.plans import artifacts
@@ -99,21 +99,32 @@ def cli(argv: list[str] | None = None) -> str:
     p.add_argument("--local", help="file or folder")
     p.add_argument("--inventory", help="inventory file of presigned urls")
     p.add_argument("--object-key", help="only this entry of the inventory")
+    p.add_argument("--s3-uri", help="address of one object, read by the cluster's own file system client")
+    p.add_argument("--config", help="JSON or YAML file; what is given on the command line goes before it")
     p.add_argument("--out", required=True)
-    p.add_argument("--chunker", default=ChunkEmbedConfig.chunker)
-    p.add_argument("--dimension", type=int, default=256)
+    p.add_argument("--chunker")
+    p.add_argument("--dimension", type=int)
     a = p.parse_args(argv)
-    mode = input_mode({"local": a.local, "inventory": a.inventory}, "local")
+    settings = load(a.config)
+    given = settings.get("input") or {}
+    mode = input_mode({"local": a.local, "s3_object": a.s3_uri, "inventory": a.inventory}, given.get("mode", "local"))
+    a.local, a.inventory, a.s3_uri, a.object_key = a.local or given.get("path"), a.inventory or given.get("inventory"), a.s3_uri or given.get("s3_uri"), a.object_key or given.get("object_key")
+    if not {"local": a.local, "inventory": a.inventory, "s3_object": a.s3_uri}[mode]:
+        raise ValueError(f"input mode {mode} names no input")
     spark = SparkSession.builder.appName("quire").getOrCreate()
     if mode == "local":
-        objects, bad = files.data_objects(files.local_files(spark, InputConfig(a.local))), None
+        objects, bad = files.data_objects(files.local_files(spark, input_config(given, a.local))), None
+        every = objects
+    elif mode == "s3_object":
+        objects, bad = files.s3_object(spark, a.s3_uri), None
         every = objects
     else:
         entries = files.inventory(spark, a.inventory)
         got = cut(files.download(files.select_entry(entries, a.object_key) if a.object_key else entries))  # one request an entry
         objects, lost, bad = downloaded(got)
         every = objects.unionByName(lost)
-    config = ChunkEmbedConfig(chunker=a.chunker, embedder_params={"dimension": a.dimension})
+    config = ChunkEmbedConfig.of(settings.get("chunk_embed"))
+    config = replace(config, chunker=a.chunker or config.chunker, embedder_params={**config.embedder_params, **({"dimension": a.dimension} if a.dimension else {})})
     run_id = f"run-{ids.config_hash({'t': time.time_ns()})[:12]}"
     write(run(cut(objects), config, lost=bad), every, f"{a.out}/{run_id}")
     return run_id

@@ -188,10 +188,9 @@ def embedding_texts(spark, sf_dir):
 def skip_existing(spark, sf_dir):
     """Documents not yet chunked under each configuration."""
     done = _chunks(spark, sf_dir).select("doc_id", "config_hash").distinct()
-    hashes = done.select("config_hash").distinct()
-    docs = _objects(spark, sf_dir).select(F.col("object_id").alias("doc_id")).distinct()
-    one = hashes.agg(F.sort_array(F.collect_set("config_hash")).alias("h"))  # a fixed set of configurations
-    wanted = docs.withColumn("config_hash", F.explode(F.lit(one.first()["h"])))
+    docs = _objects(spark, sf_dir).select(F.col("object_id").alias("doc_id"), F.lit(1).alias("one")).distinct()
+    hashes = done.groupBy(F.lit(1).alias("one")).agg(F.collect_set("config_hash").alias("h"))  # one row: a fixed set of configurations
+    wanted = docs.join(F.broadcast(hashes), "one").select("doc_id", F.explode("h").alias("config_hash"))
     return retrieval.unprocessed(wanted, done, ["doc_id", "config_hash"]).groupBy("config_hash").agg(F.count("*").alias("n"))
 
 
@@ -340,7 +339,7 @@ _C = "c AS (SELECT DISTINCT ON (chunk_id) * FROM chunks ORDER BY chunk_id)"
 _R = "r AS (SELECT object_id, source_format, unnest(range(len(rows))) AS row_no, unnest(rows) AS r FROM p)"
 _B = "b AS (SELECT object_id, row_no, unnest(range(len(r.source_blocks))) AS block_no, unnest(r.source_blocks) AS b FROM r), f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, b.component_id ORDER BY row_no, block_no) AS k FROM b WHERE length(b.component_id) > 0) WHERE k = 1)"
 _BOX = "CASE WHEN len(b.bbox) = 4 AND b.bbox[3] > b.bbox[1] AND b.bbox[4] > b.bbox[2] THEN b.bbox END"
-_TOK = "regexp_extract_all(replace(replace(lower({}), 'ß', 'ss'), '’', ''''), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*')"
+_TOK = "regexp_extract_all(replace(replace(lower(nfc_normalize({})), 'ß', 'ss'), '’', ''''), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*')"
 _SENT = "regexp_replace(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), '\\n\\n+', chr(1), 'g')"
 _STRIPPED = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 

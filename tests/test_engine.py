@@ -277,3 +277,23 @@ def test_exact_token_limit(spark):
     e = X.encoding(VOCABULARY)
     assert [r["n"] for r in got] == [len(e.encode_ordinary(long)), len(e.encode_ordinary(short)), None, 1]
     assert got[0]["cut"] == e.decode(e.encode_ordinary(long[:24000])[:8000]) and got[1]["cut"] == short and got[3]["cut"] == " "
+
+
+def test_content_may_stand_in_any_row_field(spark):
+    row = "struct<text:string,extraction:struct<document_type:string,main_text:string,markdown:string,tables:array<string>>,notes:array<string>,extra:struct<k:int>,pages:map<string,int>>"
+    cases = [
+        (None, [], True), (" ", None, True), ("x", [], False), (None, [(None, None, None, None, None)], True), (None, [(" t", None, [], None, {})], False), (None, [(None, ("letter", " ", "\n", []), [], None, {})], True),
+        (None, [(None, (None, None, "m", None), None, None, None)], False), (None, [(None, (None, None, None, ["t"]), None, None, None)], False), (None, [(None, None, ["n"], None, None)], False), (None, [(None, None, None, (1,), None)], False), (None, [(None, None, None, None, {"a": 1})], False),
+    ]
+    df = spark.createDataFrame([(str(i), t, r) for i, (t, r, _) in enumerate(cases)], f"object_id string, text string, rows array<{row}>").withColumn("metadata", F.expr("struct(1 as page_count, 'native' as backend)"))
+    got = {int(r["object_id"]): [x["code"] for x in r["reasons"]] for r in documents.validated(df).collect()}
+    assert got == {i: ["empty_parsed_content"] if empty else [] for i, (_, _, empty) in enumerate(cases)}
+
+
+def test_figure_reference_has_four_levels(spark):
+    kind = "struct<description:string,caption:string,source_ref:string,description_citations:array<string>,caption_citations:array<string>,source_refs:array<struct<component_id:string,page:int>>>"
+    figs = [("d", "c", " /a ", [" ", "/x"], ["/y"], [("/z", 1)]), ("d", "c", " /a ", None, [None, " /y "], None), ("d", "c", " /a ", [], [], [("/z", 1)]), ("d", "c", " ", None, None, [(" ", 0), (None, 1), ("/z", 2)]), ("d", "c", None, None, None, None)]
+    df = spark.createDataFrame([("o", "PDF", [((figs,),)])], f"object_id string, source_format string, rows array<struct<extraction:struct<figures:array<{kind}>>>>")
+    assert [r["source_ref"] for r in layout.figures(df).orderBy("original_index").collect()] == ["/x", "/y", "/a", "/z", ""]
+    plain = spark.createDataFrame([("o", "PDF", [(([("d", "c", ["p", "q"])],),)])], "object_id string, source_format string, rows array<struct<extraction:struct<figures:array<struct<description:string,caption:string,source_refs:array<string>>>>>>")
+    assert [r["source_ref"] for r in layout.figures(plain).collect()] == ["p"]

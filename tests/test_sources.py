@@ -128,6 +128,21 @@ def test_pipeline_end_to_end(spark, folder, tmp_path):
     assert [(r["run_id"], r["stages"]) for r in runs] == [("r1", ["ingested", "output"])]
 
 
+def test_configured_run(spark, folder, tmp_path):
+    for name, text in (("c.json", json.dumps({"input": {"path": folder, "extensions": ["md"], "odd": 1}, "chunk_embed": {"chunker": "paragraph", "embedder_params": {"dimension": 4}}})), ("c.yaml", f"input:\n  path: {folder}\n  extensions: [md, TXT]\nchunk_embed:\n  embedder_params: {{dimension: 6}}\n")):
+        (tmp_path / name).write_text(text)
+    run = f"{tmp_path}/runs/" + pipeline.cli(["--config", str(tmp_path / "c.json"), "--out", str(tmp_path / "runs")])
+    got = artifacts.read_stage(spark, run, "output").collect()
+    assert [r["document"]["file_name"] for r in got] == ["b.md"] and len(got[0]["retrieval"]["items"][0]["embeddings"][0]["values"]) == 4
+    run = f"{tmp_path}/runs/" + pipeline.cli(["--config", str(tmp_path / "c.yaml"), "--dimension", "3", "--out", str(tmp_path / "runs")])
+    got = artifacts.read_stage(spark, run, "output").collect()
+    assert {r["document"]["file_name"] for r in got} == {"b.md", "A.TXT", "_x.txt"} and {len(r["retrieval"]["items"][0]["embeddings"][0]["values"]) for r in got} == {3}
+    with pytest.raises(ValueError):
+        pipeline.cli(["--out", str(tmp_path / "runs")])
+    with pytest.raises(ValueError):
+        pipeline.cli(["--local", folder, "--s3-uri", "s3://b/k", "--out", str(tmp_path / "runs")])
+
+
 def test_inventory_run_keeps_lost_entries(spark, tmp_path):
     (tmp_path / "a.txt").write_text("One sentence. Another one.")
     url = f"file://{tmp_path}/a.txt"
