@@ -70,7 +70,7 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Of the instruction packings: segments for each 128 tokens of capacity, and the share of the capacity that may bear loss.
 SEGMENT_TOKENS, LOSS_SHARE = 128, 0.8
-INSTRUCTION_SHARD = 8_000  # three limits make more kinds of items, and the time for a container grows with them
+INSTRUCTION_SHARD = 3_000  # three limits make more kinds of items, and the time for a container grows with them
 
 
 def _instruction_limits(spark: SparkSession, sf_dir: str) -> list[dict]:
