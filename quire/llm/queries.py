@@ -184,3 +184,9 @@ FROM n WHERE CASE WHEN chunk_type = 'table_chunk' THEN data_rows > max_rows_per_
 """,
 }
 SQL["p6_check"] = f"SELECT chunk_id, limit_kind, true AS under_limit, true AS as_in_text, true AS overlaps, true AS whole FROM ({SQL['p6_found']})"
+# All pairs of a model, by brute force: what the index must find.
+SQL["p3_found"] = """WITH v AS (SELECT DISTINCT ON (record_id, embedding_model) record_id AS id, embedding_model AS m, len(embedding) AS d, CAST(embedding AS DOUBLE[]) AS e FROM vector_records
+WHERE embedding_status = 'embedded' AND len(embedding) = embedding_dimension AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY record_id, embedding_model, loaded_at),
+p AS (SELECT a.m, a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.m = b.m AND a.d = b.d AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY m, a ORDER BY s DESC, b) AS k FROM p)
+SELECT DISTINCT least(a, b) AS record_id_a, greatest(a, b) AS record_id_b FROM r WHERE k <= 10 AND s >= 0.90"""
