@@ -13,6 +13,7 @@ import sys
 import time
 import unicodedata
 from collections import Counter
+from functools import partial
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -72,21 +73,6 @@ def hash_embedding() -> int:
     return n
 
 
-def p1_found() -> int:
-    import pyarrow as pa
-    from quire.llm import scannoise as s
-
-    texts = [t for t in column("parsed_docs", "text")[0] + column("document_views", "main_text")[0] if t]
-    counts = {k: Counter() for k in ("word", "compound", "pair", "total")}
-    batch = pa.record_batch([pa.array(texts)] * 3, names=["id", "field", "text"])
-    for b in s._count(batch.slice(i, 2000) for i in range(0, len(texts), 2000)):
-        for kind, key, n in zip(*(c.to_pylist() for c in b.columns)):
-            counts[kind][key] += n
-    kept = {k: {w: n for w, n in c.items() if n >= 4} for k, c in counts.items()}
-    channel = s.Channel(kept["word"], kept["compound"], kept["pair"], counts["total"][""], dict.fromkeys(s.PRIOR, s.PRIOR_RATE))
-    return sum(len(s.repair(t, channel)[1]) for t in texts)
-
-
 def p7_found() -> int:
     from quire.operators import nested
     from quire.queries.workbooks import RULES
@@ -104,53 +90,26 @@ def p7_found() -> int:
     return n
 
 
-def p8_containers() -> int:
-    import numpy as np
-    from quire.llm import packing
-
-    encode = packing.tokenizer(f"{packing.TOKENIZERS}/{packing.VOCABULARY}").encode_ordinary
-    sizes = np.array([len(encode(t)) for t in column("documents", "text")[0] if t])
-    bins = 0
-    for capacity, separator in zip(*column("pack_limits", "capacity_tokens", "separator_tokens")):
-        rest = np.where(sizes > capacity, sizes % capacity, sizes)
-        whole = (sizes // capacity)[sizes > capacity].sum()
-        bins += int(whole) + int(packing.pack_vectors(rest[rest > 0, None] + separator, np.array([capacity + separator])).max()) + 1
-    return bins
-
-
-def p10_found() -> int:
-    from itertools import chain
-
-    import numpy as np
-    from quire.llm import residue as r
-
-    texts = [t for t in column("documents", "text")[0] if t]
-    words, forms = r.labelled_words(), r.labelled_shapes()
-    exact, buckets, seen = {t: 0 for _, ts, _ in words + forms for t in ts}, np.zeros(r.BUCKETS, np.int64), Counter()
-    for t in map(r.without_code, texts):
-        seen.update(set(chain.from_iterable(map(r._words.__getitem__, set(t.lower().split())))))
-        seen.update(set(chain.from_iterable(r._shaped(t))))
-    for t, n in seen.items():
-        if t in exact:
-            exact[t] = n
-        else:
-            buckets[r._bucket(t)] += n
-    d = r.Detector(words, forms, r.Weights(exact, buckets, len(texts)))
-    return sum(len(d.sorts(t)) for t in texts)
-
-
-LOOPS = (fixed_overlap_chunks, recursive_chunks, term_frequency, document_frequency, hash_embedding, p1_found, p7_found, p8_containers, p10_found)
+LOOPS = [fixed_overlap_chunks, recursive_chunks, term_frequency, document_frequency, hash_embedding, p7_found]
+try:
+    from quire.llm import loops
+except ModuleNotFoundError as e:
+    if e.name != "quire.llm":
+        raise
+else:
+    LOOPS += [partial(f, column) for f in loops.LOOPS]
 
 
 def main() -> None:
     took, rows = {}, {}
     for f in LOOPS:
+        name = getattr(f, "func", f).__name__
         runs = []
         for _ in range(3):
             start = time.time()
-            rows[f.__name__] = f()
+            rows[name] = f()
             runs.append(time.time() - start)
-        took[f.__name__] = round(statistics.median(runs), 3)
+        took[name] = round(statistics.median(runs), 3)
     print(json.dumps({"metric": "single_process_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "rows": rows, "sf": os.path.basename(SF_DIR.rstrip("/"))}))
 
 
