@@ -46,6 +46,7 @@ PRIOR = [
 PRIOR_RATE = 1e-3
 # A confusion is learnt if it is seen in at least so many pairs of words, and in at least this share of the frequent words that could show it.
 LEARN_PAIRS, LEARN_SHARE, LEARN_COUNT = 4, 0.04, 100
+CONTEXT = 4  # characters that two words must share for one to be a misreading of the other: fewer bring together words that have nothing to do with each other
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _PART = re.compile(r"[^\W_]+")
 _WRITTEN = re.compile(r"[(|]?[^\W_]+(?:[(|][^\W_]+)*")  # with signs that may be misread letters
@@ -444,13 +445,13 @@ def texts_of(df: DataFrame, id: str, text: str, field: str) -> DataFrame:
 
 
 def _holes(word: Column, lengths: list[int]) -> Column:
-    """A word with each of its places (of these lengths) blanked out: structs key, part."""
+    """A word with each of its places (of these lengths) blanked out, where CONTEXT characters are left: structs key, part."""
 
     def at(n: int) -> Column:
         last = F.length(word) - n + 1
         return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(F.concat(F.substring(word, F.lit(1), i - 1), F.lit("\0"), F.substring(word, i + n, F.length(word))).alias("key"), F.substring(word, i, F.lit(n)).alias("part")))).otherwise(F.array())
 
-    return F.flatten(F.array(*map(at, lengths)))
+    return F.filter(F.flatten(F.array(*map(at, lengths))), lambda h: F.length(h["key"]) > CONTEXT)
 
 
 def learnt_confusions(counts: DataFrame) -> list[tuple[str, str]]:
