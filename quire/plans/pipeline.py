@@ -78,7 +78,9 @@ def write(out: Output, objects: DataFrame, folder: str) -> None:
     source = objects.drop("content")
     ingested = artifacts.ingested(source, out.parsed.drop("reasons"), documents.initial_schema(out.accepted).select("source_object_id", "schema_id"), out.quarantined)
     artifacts.write_stage(ingested, folder, "ingested", keep_nulls=True)
-    artifacts.write_manifest(retrieval.manifest(ingested, "ingested", "document_id", "status").crossJoin(F.broadcast(artifacts.progress(ingested).select(F.struct("*").alias("progress")))), folder, "ingested")  # a row with a row
+    one = F.lit(1).alias("one")  # a row with a row
+    counted, done = retrieval.manifest(ingested, "ingested", "document_id", "status"), artifacts.progress(ingested)
+    artifacts.write_manifest(counted.select("*", one).join(done.select(F.struct("*").alias("progress"), one), "one").drop("one"), folder, "ingested")
     kept = source.join(out.accepted.select("object_id"), "object_id", "left_semi")
     view = documents.view(out.accepted)
     passed = {}
